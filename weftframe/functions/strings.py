@@ -154,10 +154,13 @@ def html_encode(column) -> Column:
     for found, wanted in HTML_ENTITIES:
         encoded = F.replace(encoded, F.lit(found), F.lit(wanted))
     special = r"[\x{A0}-\x{FF}\x{10000}-\x{10FFFF}]"
-    # runs of plain text stay whole, special characters stand alone
+    # cut before every special character: it leads its piece
     pieces = F.transform(
-        F.split(encoded, f"(?={special})|(?<={special})"),
-        lambda c: F.when(c.rlike(f"^{special}$"), F.concat(F.lit("&#"), F.ascii(c).cast("string"), F.lit(";"))).otherwise(c),
+        F.split(encoded, f"(?={special})"),
+        lambda p: F.when(
+            p.rlike(f"^{special}"),
+            F.concat(F.lit("&#"), F.ascii(p).cast("string"), F.lit(";"), F.substring(p, F.lit(2), F.length(p))),
+        ).otherwise(p),
     )
     return F.when(encoded.rlike(special), F.array_join(pieces, "")).otherwise(encoded)
 

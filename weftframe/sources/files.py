@@ -117,7 +117,9 @@ def read_json(
     if encoding is not None:
         reader = reader.option("encoding", encoding_name(encoding))
     if ragged:
-        return reader.option("singleVariantColumn", "item").json(path)
+        roots = reader.option("singleVariantColumn", "item").json(path)
+        elements = F.coalesce(F.try_variant_get("item", "$", "array<variant>"), F.array("item"))
+        return roots.select(F.explode(elements).alias("item"))
     if schema is not None:
         reader = reader.schema(schema)
     return reader.json(path)
