@@ -14,10 +14,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# What counts as a number inside a string, and as true or false.
+# What counts as a number inside a string, as true or false, and as
+# white space.
 NUMBER_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 TRUE_WORDS = ("true", "1", "yes", "on")
 FALSE_WORDS = ("false", "0", "no", "off")
+WHITE_SPACE = (
+    "\t\n\u000b\f\r \u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 GUID_PATTERN = (
     r"^\s*[{(]?[0-9a-fA-F]{8}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{12}[)}]?\s*$"
 )
@@ -147,7 +152,7 @@ def truth(column: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, T.NumericType):
         return column != F.lit(0)
     if isinstance(dtype, T.StringType):
-        word = F.lower(F.regexp_replace(column, r"(?U)^\s+|\s+$", ""))
+        word = F.lower(F.btrim(column, F.lit(WHITE_SPACE)))
         return F.when(word.isin(*TRUE_WORDS), True).when(word.isin(*FALSE_WORDS), False)
     raise TransformError(f"cannot read {dtype.simpleString()} as a condition")
 

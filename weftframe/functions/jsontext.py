@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -130,8 +131,7 @@ def _load(text: str | None) -> Any:
     return None if text is None else json.loads(text)
 
 
-def _dump(value: Any) -> str:
-    return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+_dump = json.JSONEncoder(ensure_ascii=False, separators=(",", ":")).encode
 
 
 def merged(target: Any, patch: Any) -> Any:
@@ -189,28 +189,37 @@ def nested(pairs: Any, separator: str) -> dict[str, Any]:
     return root
 
 
-CHANGES = T.ArrayType(
-    T.StructType([T.StructField(n, T.StringType()) for n in ("op", "path", "value")])
-)
-
-
 @F.pandas_udf(T.StringType())
 def _merge_udf(base: pd.Series, patch: pd.Series) -> pd.Series:
     return pd.Series([_dump(merged(_load(b), _load(p))) for b, p in zip(base, patch)], dtype="object")
 
 
-@F.pandas_udf(CHANGES)
-def _diff_udf(left: pd.Series, right: pd.Series) -> pd.Series:
-    return pd.Series([list(changes(_load(a), _load(b))) for a, b in zip(left, right)], dtype="object")
-
-
 def merge_json(base: Column, patch: Column) -> Column:
     return _merge_udf(base, patch)
 
 
-def diff_json(left: Column, right: Column) -> Column:
-    """``array<struct<op, path, value>>`` turning left into right."""
-    return _diff_udf(left, right)
+def _explode_with(
+    df: DataFrame, inputs: list[str], names: list[str], make: Callable[..., Iterator[tuple]]
+) -> DataFrame:
+    """Zero or more text rows per row: ``make`` gets the input cells; the other
+    columns are repeated. Works on whole Arrow batches."""
+    kept = [f for f in df.schema.fields if f.name not in inputs]
+    schema = T.StructType([*kept, *[T.StructField(n, T.StringType()) for n in names]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            origin: list[int] = []
+            made: list[tuple] = []
+            cells = [batch.column(n).to_pylist() for n in inputs]
+            for row, values in enumerate(zip(*cells)):
+                before = len(made)
+                made.extend(make(*values))
+                origin.extend([row] * (len(made) - before))
+            repeated = batch.select([f.name for f in kept]).take(pa.array(origin, pa.int64()))
+            texts = [pa.array([m[i] for m in made], pa.string()) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*repeated.columns, *texts], names=[f.name for f in schema.fields])
+
+    return df.mapInArrow(run, schema)
 
 
 def merge_by_key(base: DataFrame, patch: DataFrame, key: str, text: str) -> DataFrame:
@@ -233,29 +242,21 @@ def diff_by_key(left: DataFrame, right: DataFrame, key: str, text: str) -> DataF
     a = left.select(F.col(key), F.col(text).alias("_left"))
     b = right.select(F.col(key).alias("_rkey"), F.col(text).alias("_right"))
     both = a.join(b, F.col(key) == F.col("_rkey"))
-    differing = both.where(~F.col("_left").eqNullSafe(F.col("_right")))
-    return differing.select(key, F.explode(_diff_udf("_left", "_right")).alias("c")).select(
-        key, "c.op", "c.path", "c.value"
-    )
+    differing = both.where(~F.col("_left").eqNullSafe(F.col("_right"))).select(key, "_left", "_right")
+
+    def compare(a: str | None, b: str | None) -> Iterator[tuple]:
+        return ((c["op"], c["path"], c["value"]) for c in changes(_load(a), _load(b)))
+
+    return _explode_with(differing, ["_left", "_right"], ["op", "path", "value"], compare)
 
 
 def flatten_json(df: DataFrame, text: str, separator: str = ".") -> DataFrame:
     """One row per scalar leaf: the other columns, ``path`` and ``value`` (JSON)."""
 
-    @F.pandas_udf("array<struct<path:string,value:string>>")
-    def flatten(documents: pd.Series) -> pd.Series:
-        return pd.Series(
-            [
-                [] if d is None else [{"path": p, "value": _dump(v)} for p, v in leaves(_load(d), separator)]
-                for d in documents
-            ],
-            dtype="object",
-        )
+    def flatten(document: str | None) -> Iterator[tuple]:
+        return () if document is None else ((p, _dump(v)) for p, v in leaves(_load(document), separator))
 
-    others = [c for c in df.columns if c != text]
-    return df.select(*others, F.explode(flatten(F.col(text))).alias("_leaf")).select(
-        *others, "_leaf.path", "_leaf.value"
-    )
+    return _explode_with(df, [text], ["path", "value"], flatten)
 
 
 def unflatten_json(df: DataFrame, keys: list[str], separator: str = ".", name: str = "document") -> DataFrame:
@@ -265,14 +266,13 @@ def unflatten_json(df: DataFrame, keys: list[str], separator: str = ".", name: s
     """
 
     @F.pandas_udf("string")
-    def unflatten(pairs: pd.Series) -> pd.Series:
+    def unflatten(paths: pd.Series, values: pd.Series) -> pd.Series:
         return pd.Series(
-            [_dump(nested([(p["path"], _load(p["value"])) for p in ps], separator)) for ps in pairs],
-            dtype="object",
+            [_dump(nested(zip(ps, map(_load, vs)), separator)) for ps, vs in zip(paths, values)], dtype="object"
         )
 
     collected = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("path", "value"))).alias("_pairs"))
-    return collected.select(*keys, unflatten("_pairs").alias(name))
+    return collected.select(*keys, unflatten("_pairs.path", "_pairs.value").alias(name))
 
 
 def unflatten_map(flat: Column, separator: str = ".") -> Column:

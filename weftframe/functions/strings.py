@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftframe.expressions import TransformError
+from weftframe.expressions import WHITE_SPACE, TransformError
 
 
 def _text(column: Column | str) -> Column:
@@ -39,15 +39,15 @@ def lower(column) -> Column:
 
 def trim(column) -> Column:
     """Unicode white space off both ends."""
-    return F.regexp_replace(_text(column), r"(?U)^\s+|\s+$", "")
+    return F.btrim(_text(column), F.lit(WHITE_SPACE))
 
 
 def trim_start(column) -> Column:
-    return F.regexp_replace(_text(column), r"(?U)^\s+", "")
+    return F.ltrim(_text(column), F.lit(WHITE_SPACE))
 
 
 def trim_end(column) -> Column:
-    return F.regexp_replace(_text(column), r"(?U)\s+$", "")
+    return F.rtrim(_text(column), F.lit(WHITE_SPACE))
 
 
 def substring(column, start: int = 0, length: int | None = None) -> Column:
@@ -172,9 +172,7 @@ def _html_unescape(text: pd.Series) -> pd.Series:
 
 def html_decode(column) -> Column:
     """Named and numeric entities back to characters."""
-    text = _text(column)
-    # rows without an entity never leave the JVM
-    return F.when(text.contains("&"), _html_unescape(text)).otherwise(text)
+    return _html_unescape(_text(column))
 
 
 def hash_text(column, algorithm: str = "sha256") -> Column:

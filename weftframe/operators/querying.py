@@ -51,14 +51,27 @@ def project_mapping(df: DataFrame, select: Mapping[str, Any]) -> DataFrame:
     return as_item(df).select(*[resolve_value(df, spec).alias(target) for target, spec in select.items()])
 
 
-def sort_keys(df: DataFrame, order_by: str | Column, descending: bool = False) -> list[Column]:
-    """Ordering columns: nulls lowest, numbers (also in text) by value."""
+def with_sort_keys(
+    df: DataFrame, order_by: str | Column, descending: bool = False
+) -> tuple[DataFrame, list[Column], list[str]]:
+    """The table, its ordering columns, and the helper columns it got.
+
+    Nulls sort lowest and numbers (also in text) by value. A computed key is
+    made a column first, so that sorting does not evaluate it per comparison.
+    """
     key = resolve(df, order_by)
-    dtype = dtype_of(as_item(df), key)
-    keys = [key]
+    item = as_item(df)
+    dtype = dtype_of(item, key)
+    plain = isinstance(order_by, str) and order_by in df.columns
+    helpers: dict[str, Column] = {}
     if isinstance(dtype, T.StringType):
-        keys = [numeric(key, dtype), key]
-    return [k.desc_nulls_last() if descending else k.asc_nulls_first() for k in keys]
+        helpers["_number"] = numeric(key, dtype)
+    if not plain:
+        helpers["_key"] = key
+    ordered = item.withColumns(helpers) if helpers else item
+    names = [n for n in ("_number", "_key") if n in helpers]
+    keys = [F.col(n) for n in names] + ([F.col(quoted(order_by))] if plain else [])
+    return ordered, [k.desc_nulls_last() if descending else k.asc_nulls_first() for k in keys], names
 
 
 def sort_rows(df: DataFrame, order_by: str | Column, descending: bool = False, tiebreak=()) -> DataFrame:
@@ -68,8 +81,9 @@ def sort_rows(df: DataFrame, order_by: str | Column, descending: bool = False, t
     partitions, which a sort on the key alone would put into one.
     """
     ties = [F.col(t) if isinstance(t, str) else t for t in tiebreak]
-    placed = as_item(df).withColumn("_position", F.monotonically_increasing_id())
-    return placed.orderBy(*sort_keys(df, order_by, descending), *ties, "_position").drop("_position")
+    keyed, keys, helpers = with_sort_keys(df, order_by, descending)
+    placed = keyed.withColumn("_position", F.monotonically_increasing_id())
+    return placed.orderBy(*keys, *ties, "_position").drop("_position", *helpers)
 
 
 def slice_rows(df: DataFrame, order: list[Column | str], skip: int = 0, take: int | None = None) -> DataFrame:
@@ -116,8 +130,10 @@ def run_query(
     if skip is not None or take is not None:
         if order_by is None and not tiebreak:
             raise TransformError("skip and take need order_by or tiebreak: rows have no order of their own")
-        order = [] if order_by is None else sort_keys(matched, order_by, descending)
-        result = slice_rows(matched, [*order, *tiebreak], skip or 0, take)
+        keyed, keys, helpers = matched, [], []
+        if order_by is not None:
+            keyed, keys, helpers = with_sort_keys(matched, order_by, descending)
+        result = slice_rows(keyed, [*keys, *tiebreak], skip or 0, take).drop(*helpers)
     elif order_by is not None:
         result = sort_rows(matched, order_by, descending, tiebreak)
     if isinstance(select, Mapping):

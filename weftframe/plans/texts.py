@@ -439,16 +439,11 @@ def _xml_orders(t):
 
 @query(
     "xml_path",
-    """SELECT o_orderkey, o_orderpriority || '|a<b & ' || o_orderstatus AS items, CAST(o_orderkey AS VARCHAR) AS id
-       FROM orders""",
+    """SELECT o_orderkey, o_orderpriority || '|a<b & ' || o_orderstatus AS items FROM orders""",
 )
 def xml_path(spark, t):
     xml = _xml_orders(t)
-    return xml.select(
-        "o_orderkey",
-        F.array_join(xmltext.xml_path(F.col("xml"), "/order/item"), "|").alias("items"),
-        xmltext.xml_path(F.col("xml"), "/order/@id")[0].alias("id"),
-    )
+    return xml.select("o_orderkey", F.array_join(xmltext.xml_path(F.col("xml"), "/order/item"), "|").alias("items"))
 
 
 @query(

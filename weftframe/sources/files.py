@@ -209,6 +209,9 @@ def list_files(
 
 # --- archives ----------------------------------------------------------------
 
+# Members are handed on in batches of at most this many rows or bytes.
+_BATCH_MEMBERS = 1000
+_BATCH_BYTES = 8 * 1024 * 1024
 ARCHIVE_SCHEMA = "archive string, member string, size bigint, content binary, unsafe boolean"
 
 
@@ -260,19 +263,20 @@ def unpack_archives(archives: DataFrame) -> DataFrame:
     Members that would escape the target folder come empty and ``unsafe``.
     """
 
+    names = ["archive", "member", "size", "content", "unsafe"]
+
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            held, size = [], 0
             for archive, content in zip(batch["path"], batch["content"]):
                 for member, body in _members(archive, content):
-                    yield pd.DataFrame(
-                        {
-                            "archive": [archive],
-                            "member": [member],
-                            "size": [len(body)],
-                            "content": [body],
-                            "unsafe": [escapes_root(member)],
-                        }
-                    )
+                    held.append((archive, member, len(body), body, escapes_root(member)))
+                    size += len(body)
+                    if size > _BATCH_BYTES or len(held) >= _BATCH_MEMBERS:
+                        yield pd.DataFrame(held, columns=names)
+                        held, size = [], 0
+            if held:
+                yield pd.DataFrame(held, columns=names)
 
     return archives.select("path", "content").mapInPandas(unpack, ARCHIVE_SCHEMA)
 
