@@ -113,6 +113,11 @@ def test_map_paths_defaults_and_conversion(spark):
     assert row.asDict() == {"city": "Paris", "second": 2, "none": None, "n": 42, "d": "?", "c": "two"}
 
 
+def test_map_with_index(people):
+    mapped = m.map_rows(people, {"n": "name", "i": {"expression": "index * 10"}}, order_by="age").result
+    assert {r["n"]: r["i"] for r in mapped.collect()} == {"Kay": 0, "Ada": 10, "Grace": 20}
+
+
 def test_convert_failures(spark):
     df = spark.createDataFrame([("42",), ("notanumber",)], "n string")
     spec = {"n": {"path": "n", "convert": "int"}}

@@ -71,7 +71,9 @@ def test_json_sink_writes_nulls(spark):
 
 def test_xml_attributes_and_lists(spark, tmp_path):
     text = '<root><person id="7"><name>Ada</name><tag>a</tag><tag>b</tag></person></root>'
-    row = files.read_xml(spark, put(tmp_path, "p.xml", text), "person").first()
+    path = put(tmp_path, "p.xml", text)
+    assert [r["value"] for r in files.read_xml_nodes(spark, path, "//tag").collect()] == ["a", "b"]
+    row = files.read_xml(spark, path, "person").first()
     assert (row["@id"], row["name"], row["tag"]) == ("7", "Ada", ["a", "b"])
 
 

@@ -48,6 +48,8 @@ def on(spark, text, column):
         ("a%20b+c", strings.url_decode, "a b+c"),
         ("50%", strings.url_decode, "50%"),
         ("<a href='x'>é\U0001f600&", strings.html_encode, "&lt;a href=&#39;x&#39;&gt;&#233;&#128512;&amp;"),
+        ("&copy &#xD800; &#1114112;", strings.html_decode, "&copy &#xD800; &#1114112;"),
+        ("100% %4", strings.url_decode, "100% %4"),
         ("&lt;&eacute;&#233;&#x1F600;", strings.html_decode, "<éé\U0001f600"),
         ("abc", strings.hash_text, hashlib.sha256(b"abc").hexdigest()),
         ("abc", lambda c: strings.hash_text(c, "md5"), "900150983cd24fb0d6963f7d28e17f72"),
@@ -217,6 +219,6 @@ def test_xml_refuses_doctype_and_missing_paths(spark):
 
 
 def test_html_decoder_agrees_with_python(spark):
-    samples = ["&nbsp;&copy;", "&unknown;", "&#65;&#x41;", "plain", "&amp;lt;"]
+    samples = ["&nbsp;&copy;", "&unknown;", "&#65;&#x41;", "plain", "&amp;lt;", "&apos;"]
     df = spark.createDataFrame([(s,) for s in samples], "s string")
     assert [r[0] for r in df.select(strings.html_decode("s")).collect()] == [html.unescape(s) for s in samples]

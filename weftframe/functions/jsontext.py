@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftframe.expressions import TransformError
+from weftframe.operators.joining import join_tables
 
 
 def parse_json(text: Column, on_error: str = "fail") -> Column:
@@ -228,13 +228,20 @@ def merge_by_key(base: DataFrame, patch: DataFrame, key: str, text: str) -> Data
     A base without a patch and a patch without a base need no merging (a lone
     patch only loses its nulls), so only pairs go through Python.
     """
-    left = base.select(F.col(key).alias("_key"), F.col(text).alias("_base"))
-    right = patch.select(F.col(key).alias("_pkey"), F.col(text).alias("_patch"))
-    both = left.join(right, F.col("_key") == F.col("_pkey"), "full")
+    left = base.select(F.col(key), F.col(text).alias("_base"))
+    right = patch.select(F.col(key), F.col(text).alias("_patch"))
+    both = join_tables(
+        left,
+        right,
+        key,
+        key,
+        "full",
+        {key: F.coalesce(F.col(f"left.{key}"), F.col(f"right.{key}")), "_base": "left._base", "_patch": "right._patch"},
+    ).result
     document = F.when(F.col("_patch").isNull(), F.col("_base")).otherwise(
         _merge_udf(F.coalesce("_base", F.lit("{}")), F.coalesce("_patch", F.lit("{}")))
     )
-    return both.select(F.coalesce("_key", "_pkey").alias(key), document.alias(text))
+    return both.select(key, document.alias(text))
 
 
 def diff_by_key(left: DataFrame, right: DataFrame, key: str, text: str) -> DataFrame:
@@ -287,12 +294,3 @@ def unflatten_map(flat: Column, separator: str = ".") -> Column:
         return documents.map(rebuild)
 
     return unflatten(flat)
-
-
-def require_object(text: Column) -> Column:
-    """The text itself; the job fails where it is no JSON."""
-    if text is None:
-        raise TransformError("a JSON column is required")
-    return F.when(F.try_parse_json(text).isNotNull(), text).otherwise(
-        F.raise_error(F.concat(F.lit("not JSON: "), text)).cast("string")
-    )

@@ -5,8 +5,9 @@ Null text reads as empty text, so every function gives a value for every row.
 
 from __future__ import annotations
 
-import html
+import re
 from collections.abc import Callable
+from html.entities import name2codepoint
 
 import pandas as pd
 from pyspark.sql import Column
@@ -138,9 +139,11 @@ def url_encode(column) -> Column:
 
 
 def url_decode(column) -> Column:
-    """Percent-decoding; a plus sign stays, malformed text comes back as it is."""
+    """Percent-decoding; a plus sign and a stray percent sign stay."""
     text = _text(column)
-    return F.coalesce(F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B"))), text)
+    prepared = F.replace(text, F.lit("+"), F.lit("%2B"))
+    prepared = F.regexp_replace(prepared, "%(?![0-9A-Fa-f]{2})", "%25")
+    return F.coalesce(F.try_url_decode(prepared), text)
 
 
 # The characters written as named entities, ampersand first.
@@ -165,13 +168,28 @@ def html_encode(column) -> Column:
     return F.when(encoded.rlike(special), F.array_join(pieces, "")).otherwise(encoded)
 
 
+_ENTITY = re.compile(r"&(?:#(\d{1,8})|#[xX]([0-9a-fA-F]{1,7})|([A-Za-z][A-Za-z0-9]*));")
+
+
+def _character(entity: re.Match[str]) -> str:
+    decimal, hexadecimal, name = entity.groups()
+    if name is not None:
+        code = 39 if name == "apos" else name2codepoint.get(name)
+    else:
+        code = int(decimal) if decimal is not None else int(hexadecimal, 16)
+    if code is None or 0xD800 <= code <= 0xDFFF or code > 0x10FFFF:
+        return entity.group(0)
+    return chr(code)
+
+
 @F.pandas_udf(T.StringType())
 def _html_unescape(text: pd.Series) -> pd.Series:
-    return text.map(html.unescape)
+    return text.map(lambda t: _ENTITY.sub(_character, t))
 
 
 def html_decode(column) -> Column:
-    """Named and numeric entities back to characters."""
+    """Named (HTML 4) and numeric entities back to characters; an entity has to
+    end in a semicolon, unknown ones stay."""
     return _html_unescape(_text(column))
 
 

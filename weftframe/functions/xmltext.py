@@ -37,5 +37,4 @@ def xml_record(xml: Column, schema: T.StructType | str, on_error: str = "fail")
 
 def record_xml(record: Column, root: str = "root") -> Column:
     """A struct to XML text on one line."""
-    text = F.to_xml(record, {**XML_OPTIONS, "rowTag": root})
-    return F.regexp_replace(text, r">\n\s*<", "><")
+    return F.rtrim(F.to_xml(record, {**XML_OPTIONS, "rowTag": root, "indent": ""}), F.lit("\n"))

@@ -8,10 +8,13 @@ hot key spreads over many partitions, and number rows by partition offsets.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftframe.expressions import TransformError, mentions
+
 # Rows kept per partition by a bounded top-n sort; beyond it we go by index.
 TOP_N_LIMIT = 10_000
 
@@ -48,3 +51,12 @@ def with_group_index(df: DataFrame, keys: Sequence[str], order_by, name: str = "
         same_group = same_group & F.col(key).eqNullSafe(F.col(f"_g{i}"))
     joined = numbered.join(starts, same_group, "inner")
     return joined.select(*df.columns, (F.col("_row") - F.col("_start")).alias(name))
+
+
+def with_index_if_used(df: DataFrame, specs: Sequence[Any], order_by) -> tuple[DataFrame, list[str]]:
+    """Add ``index`` only when one of the expressions names it."""
+    if "index" in df.columns or not any(mentions(s, "index") for s in specs):
+        return df, []
+    if order_by is None:
+        raise TransformError("an expression over 'index' needs order_by")
+    return with_row_index(df, order_by, "index"), ["index"]

@@ -18,6 +18,7 @@ from weftframe.expressions import (
     literal,
     try_convert,
 )
+from weftframe.operators.indexing import with_index_if_used
 from weftframe.operators.querying import flat_columns
 
 
@@ -55,12 +56,16 @@ def map_rows(
     mapping: Mapping[str, Any],
     on_error: str = "fail",
     flatten: bool = False,
+    order_by=None,
 ) -> MappedRows:
     """Build one output column per mapping entry.
 
     ``on_error`` rules conversions that fail: ``fail`` aborts, ``null`` leaves
     null, ``quarantine`` moves the row to ``rejected`` with its reasons.
+    ``order_by`` is the row order that ``index`` counts in expressions.
     """
+    expressions = [s.get("expression") for s in mapping.values() if isinstance(s, Mapping)]
+    df, _ = with_index_if_used(df, expressions, order_by)
     source = as_item(df)
     columns: list[Column] = []
     reasons: list[Column] = []

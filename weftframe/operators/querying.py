@@ -14,13 +14,12 @@ from weftframe.expressions import (
     TransformError,
     as_item,
     dtype_of,
-    mentions,
     numeric,
     quoted,
     resolve,
     resolve_value,
 )
-from weftframe.operators.indexing import TOP_N_LIMIT, with_row_index
+from weftframe.operators.indexing import TOP_N_LIMIT, with_index_if_used, with_row_index
 
 
 def filter_rows(df: DataFrame, where: str | Column, on_null: str = "drop", order_by=None) -> DataFrame:
@@ -30,7 +29,7 @@ def filter_rows(df: DataFrame, where: str | Column, on_null: str = "drop", order
     leaves such rows out as SQL does. An expression that mentions ``index``
     needs ``order_by`` to say which order the index counts.
     """
-    source, extra = _with_index_if_used(df, [where], order_by)
+    source, extra = with_index_if_used(df, [where], order_by)
     condition = where if isinstance(where, Column) else F.expr(where)
     if on_null == "fail":
         condition = F.when(
@@ -123,9 +122,13 @@ def run_query(
     select: str | Column | Mapping[str, Any] | None = None,
     tiebreak=(),
     on_null: str = "drop",
+    index_order=None,
 ) -> QueryResult:
-    """Filter, sort, slice, project: always in this order."""
-    matched = df if where is None else filter_rows(df, where, on_null=on_null)
+    """Filter, sort, slice, project: always in this order.
+
+    ``index_order`` is the row order that ``index`` counts in ``where``.
+    """
+    matched = df if where is None else filter_rows(df, where, on_null, index_order)
     result = matched
     if skip is not None or take is not None:
         if order_by is None and not tiebreak:
@@ -167,17 +170,9 @@ def page_rows(df: DataFrame, order: list[Column | str], page: int = 1, page_size
     return Page(items, info)
 
 
-def _with_index_if_used(df: DataFrame, specs: list[Any], order_by) -> tuple[DataFrame, list[str]]:
-    if "index" in df.columns or not any(mentions(s, "index") for s in specs):
-        return df, []
-    if order_by is None:
-        raise TransformError("an expression over 'index' needs order_by")
-    return with_row_index(df, order_by, "index"), ["index"]
-
-
 def evaluate_with_index(df: DataFrame, select: Mapping[str, Any], order_by) -> DataFrame:
     """:func:`project_mapping` for expressions that may use ``index``."""
-    source, _ = _with_index_if_used(df, list(select.values()), order_by)
+    source, _ = with_index_if_used(df, list(select.values()), order_by)
     return project_mapping(source, select)
 
 

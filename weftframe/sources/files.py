@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftframe.expressions import TransformError, quoted
-from weftframe.functions.xmltext import XML_OPTIONS
+from weftframe.functions.xmltext import XML_OPTIONS, xml_path
 
 # Accepted encoding names and what Spark calls them.
 ENCODINGS = {
@@ -140,6 +140,13 @@ def read_xml(
     return reader.load(path)
 
 
+def read_xml_nodes(spark: SparkSession, path: str, xpath: str, max_size: int = DEFAULT_MAX_SIZE) -> DataFrame:
+    """The text of every node at an XPath, one row per node and file. A file is
+    read whole, so it has to be below ``max_size``."""
+    whole = read_whole_text(spark, path, max_size)
+    return whole.select("path", F.explode(xml_path(F.col("content"), xpath)).alias("value"))
+
+
 def read_xml_checked(spark: SparkSession, path: str, row_tag: str, xsd: str, schema: T.StructType) -> DataFrame:
     """As :func:`read_xml`, each row checked against an XSD.
 
