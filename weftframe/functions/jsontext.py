@@ -198,6 +198,10 @@ def merge_json(base: Column, patch: Column) -> Column:
     return _merge_udf(base, patch)
 
 
+# Rows handed on at a time, so that a few large documents do not pile up.
+_OUTPUT_ROWS = 20_000
+
+
 def _explode_with(
     df: DataFrame, inputs: list[str], names: list[str], make: Callable[..., Iterator[tuple]]
 ) -> DataFrame:
@@ -206,18 +210,25 @@ def _explode_with(
     kept = [f for f in df.schema.fields if f.name not in inputs]
     schema = T.StructType([*kept, *[T.StructField(n, T.StringType()) for n in names]])
 
+    def assemble(batch: pa.RecordBatch, origin: list[int], made: list[tuple]) -> pa.RecordBatch:
+        repeated = batch.select([f.name for f in kept]).take(pa.array(origin, pa.int64()))
+        texts = [pa.array([m[i] for m in made], pa.string()) for i in range(len(names))]
+        return pa.RecordBatch.from_arrays([*repeated.columns, *texts], names=[f.name for f in schema.fields])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             origin: list[int] = []
             made: list[tuple] = []
             cells = [batch.column(n).to_pylist() for n in inputs]
             for row, values in enumerate(zip(*cells)):
-                before = len(made)
-                made.extend(make(*values))
-                origin.extend([row] * (len(made) - before))
-            repeated = batch.select([f.name for f in kept]).take(pa.array(origin, pa.int64()))
-            texts = [pa.array([m[i] for m in made], pa.string()) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*repeated.columns, *texts], names=[f.name for f in schema.fields])
+                for cell in make(*values):
+                    made.append(cell)
+                    origin.append(row)
+                    if len(made) >= _OUTPUT_ROWS:
+                        yield assemble(batch, origin, made)
+                        origin, made = [], []
+            if made:
+                yield assemble(batch, origin, made)
 
     return df.mapInArrow(run, schema)
 

@@ -138,7 +138,11 @@ def xml_xsd(spark, t):
     )
 
 
-def _write_documents(spark, t, per_file: int = 100):
+# A text file of 5000 documents stays below this even if all are of the longest.
+LARGE_TEXT = 1024 * 1024 * 1024
+
+
+def _write_documents(spark, t, per_file: int = 5000):
     """Text files of at most ``per_file`` documents."""
     path = scratch_path(spark, "text")
     t.documents.select("text").write.option("maxRecordsPerFile", per_file).text(path)
@@ -147,7 +151,7 @@ def _write_documents(spark, t, per_file: int = 100):
 
 @query("text_whole", "SELECT CAST(sum(length(text) + 1) AS BIGINT) AS chars FROM documents")
 def text_whole(spark, t):
-    whole = files.read_whole_text(spark, _write_documents(spark, t))
+    whole = files.read_whole_text(spark, _write_documents(spark, t), LARGE_TEXT)
     return whole.agg(F.sum(F.length("content")).alias("chars"))
 
 
@@ -162,14 +166,14 @@ def text_lines(spark, t):
 
 @query("binary_scan", "SELECT CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS bytes FROM documents")
 def binary_scan(spark, t):
-    return files.read_binary(spark, _write_documents(spark, t)).agg(F.sum(F.length("content")).alias("bytes"))
+    return files.read_binary(spark, _write_documents(spark, t), LARGE_TEXT).agg(F.sum(F.length("content")).alias("bytes"))
 
 
 @query("scan_size_guard", "SELECT CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS bytes FROM documents")
 def scan_size_guard(spark, t):
-    """Files above the default limit would be left out; the filter reaches the scan."""
+    """Files above the limit would be left out; the filter reaches the scan."""
     path = _write_documents(spark, t)
-    return files.read_binary(spark, path, on_large="skip").agg(F.sum("size").alias("bytes"))
+    return files.read_binary(spark, path, LARGE_TEXT, on_large="skip").agg(F.sum("size").alias("bytes"))
 
 
 @query("save_modes", "SELECT 2 * count(*) AS rows FROM supplier")
@@ -187,15 +191,24 @@ def compressed_roundtrip(spark, t):
     return files.read_csv(spark, path, multi_line=False, extra_columns=0)
 
 
-@query("compressed_sizes")
+@query(
+    "compressed_sizes",
+    """SELECT codec, smaller, (SELECT count(*) FROM orders) AS rows
+       FROM (VALUES ('none', false), ('gzip', true), ('deflate', true)) AS c(codec, smaller)""",
+)
 def compressed_sizes(spark, t):
+    """Whether a codec makes the table smaller, and the rows read back."""
     rows = t.orders.select(F.to_json(F.struct("*")).alias("value"))
-    sizes = []
+    reports = []
     for codec in ("none", "gzip", "deflate"):
         path = scratch_path(spark, codec)
         sinks.write_text(rows, "value", path, compression=codec)
-        sizes.append(sinks.compressed_size(rows, path).withColumn("codec", F.lit(codec)))
-    return sizes[0].unionByName(sizes[1]).unionByName(sizes[2])
+        size = sinks.compressed_size(rows, path).select("bytes").scalar()
+        back = files.read_lines(spark, path).agg(F.count(F.lit(1)).alias("rows"))
+        reports.append(back.select(F.lit(codec).alias("codec"), "rows", size.alias("bytes")))
+    together = reports[0].unionByName(reports[1]).unionByName(reports[2])
+    plain = reports[0].select("bytes").scalar()
+    return together.select("codec", (F.col("bytes") < plain).alias("smaller"), "rows")
 
 
 @query(
@@ -218,10 +231,15 @@ def archive_members(spark, t):
     return files.unpack_archives(archives).select("member", "size", F.md5("content").alias("digest"), "unsafe")
 
 
-@query("object_listing")
+@query(
+    "object_listing",
+    """SELECT name || '.parquet' AS name, true AS filled FROM (VALUES ('region'), ('nation'), ('customer'), ('supplier'),
+         ('part'), ('orders'), ('lineitem'), ('events'), ('documents'), ('embeddings'), ('pages'), ('benchmark'),
+         ('labels'), ('conversations')) AS t(name)""",
+)
 def object_listing(spark, t):
-    listed = files.list_files(spark, t.folder, pattern="*.parquet", max_keys=10)
-    return listed.select(F.element_at(F.split("key", "/"), -1).alias("name"), "size")
+    listed = files.list_files(spark, t.folder, pattern="*.parquet")
+    return listed.select(F.element_at(F.split("key", "/"), -1).alias("name"), (F.col("size") > 0).alias("filled"))
 
 
 @query(
