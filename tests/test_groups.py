@@ -55,6 +55,14 @@ def test_grouped_sum(people):
     assert rows["eng"] == (81, 2)
 
 
+def test_whole_records(people):
+    assert value(aggregate(people, "first", order_by=["age"]))["name"] == "Kay"
+    twice = people.union(people)
+    assert aggregate(twice, "distinct", order_by=["age"]).count() == 3
+    with pytest.raises(TransformError):
+        aggregate(people, "sum")
+
+
 def test_empty_input(people):
     nothing = people.where("age > 1000")
     assert value(aggregate(nothing, "sum", "age")) == 0

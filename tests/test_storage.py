@@ -54,6 +54,26 @@ def test_encodings(spark, tmp_path, encoding, python):
     assert files.read_csv(spark, path, encoding=encoding).first()["name"] == "Éva"
 
 
+@pytest.mark.parametrize("encoding, python", [("latin1", "latin-1"), ("utf-16", "utf-16-le"), ("utf-16be", "utf-16-be")])
+def test_lines_and_whole_text_in_other_encodings(spark, tmp_path, encoding, python):
+    path = put(tmp_path, "e.txt", "É\r\n\nü", python)
+    assert [r["value"] for r in files.read_lines(spark, path, encoding).collect()] == ["É", "", "ü"]
+    assert files.read_whole_text(spark, path, encoding=encoding).first()["content"] == "É\r\n\nü"
+
+
+def test_compression_levels(spark):
+    df = spark.range(20_000).selectExpr("concat('row ', id, ' ', id % 97) as value").coalesce(1)
+    sizes = {}
+    for level in ("noCompression", "fastest", "optimal", "smallestSize"):
+        path = scratch_path(spark, "t")
+        sinks.write_text(df, "value", path, compression="gzip", level=level)
+        assert spark.read.text(path).count() == 20_000
+        sizes[level] = sinks.compressed_size(df, path).first()["bytes"]
+    assert sizes["noCompression"] > sizes["fastest"] > max(sizes["optimal"], sizes["smallestSize"])
+    with pytest.raises(TransformError):
+        sinks.write_text(df, "value", scratch_path(spark, "t"), level="huge")
+
+
 def test_json_roots_and_ragged(spark, tmp_path):
     array = files.read_json(spark, put(tmp_path, "a.json", '[{"a":1},{"a":2,"b":"x"}]'))
     assert array.count() == 2

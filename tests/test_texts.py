@@ -42,6 +42,7 @@ def on(spark, text, column):
         ("a1b2", lambda c: strings.regex_replace(c, r"\d", "#"), "a#b#"),
         ("id=42", lambda c: strings.regex_extract(c, r"id=(\d+)", 1), "42"),
         ("none", lambda c: strings.regex_extract(c, r"id=(\d+)", 1), None),
+        ("id=42", lambda c: strings.regex_extract(c, r"id=(\d+)", 2), None),
         ("héllo", strings.base64_encode, "aMOpbGxv"),
         ("aMOpbGxv", strings.base64_decode, "héllo"),
         ("a b~*é+", strings.url_encode, "a%20b~%2A%C3%A9%2B"),
@@ -99,7 +100,9 @@ def test_round_trips_of_odd_text(spark):
 def test_dates(spark):
     assert dates.spark_pattern("yyyy-MM-dd dddd h:mm tt") == "yyyy-MM-dd EEEE h:mm a"
     assert on(spark, "2024-01-02T03:04:05Z", dates.format_datetime(F.col("s"), "dd/MM/yyyy HH:mm")) == "02/01/2024 03:04"
-    assert on(spark, "soon", dates.format_datetime(F.col("s"), "dd")) is None
+    assert on(spark, "soon", dates.format_datetime(F.col("s"), "dd", on_error="null")) is None
+    with pytest.raises(PySparkException, match="not a date: soon"):
+        on(spark, "soon", dates.format_datetime(F.col("s"), "dd"))
 
 
 def test_csv_text(spark):
@@ -138,6 +141,17 @@ def test_json_path(spark, path, result, count):
     assert (row["result"], row["matchCount"]) == (result, count)
 
 
+def test_json_path_on_text_that_is_no_json(spark):
+    df = spark.createDataFrame([("{broken",)], "doc string")
+    assert jsontext.json_path(df, "doc", "$.a", on_error="null").first()["matchCount"] == 0
+    with pytest.raises(PySparkException):
+        jsontext.json_path(df, "doc", "$.a").collect()
+
+
+def test_capturing_groups():
+    assert strings.capturing_groups(r"(a)(?:b)(?<n>c)(?=d)(?<!e)\([(]") == 2
+
+
 def test_json_path_required(spark):
     df = spark.createDataFrame([(ITEMS,)], "doc string")
     with pytest.raises(PySparkException):
@@ -209,6 +223,31 @@ def test_xml(spark):
     assert df.select(xmltext.record_xml(F.col("r"), "person")).first()[0] == '<person id="7"><name>A&amp;B</name></person>'
 
 
+@pytest.mark.parametrize(
+    "xml, expected",
+    [
+        ('<person id="7"><name>Ada</name></person>', {"@id": "7", "name": "Ada"}),
+        ("<items><item>a</item><item>b</item></items>", {"item": ["a", "b"]}),
+        ('<a x="1">t</a>', {"@x": "1", "#text": "t"}),
+        ("<a><b/></a>", {"b": None}),
+        ("<a>t</a>", "t"),
+    ],
+)
+def test_xml_of_any_shape(spark, xml, expected):
+    document = on(spark, xml, xmltext.xml_json(F.col("s")))
+    assert json.loads(document) == expected
+    name = xml[1 : min(xml.index(c) for c in " >" if c in xml)]
+    again = on(spark, document, xmltext.xml_json(xmltext.json_xml(F.col("s"), name)))
+    assert json.loads(again) == expected
+
+
+def test_xml_nodes(spark):
+    xml = '<r><p id="1"><n>Ada</n></p><p id="2"/></r>'
+    found = on(spark, xml, xmltext.xml_nodes(F.col("s"), ".//p"))
+    assert [json.loads(f) for f in found] == [{"@id": "1", "n": "Ada"}, {"@id": "2"}]
+    assert on(spark, xml, xmltext.xml_nodes(F.col("s"), "./p[@id='3']")) == []
+
+
 def test_xml_refuses_doctype_and_missing_paths(spark):
     evil = '<!DOCTYPE r [<!ENTITY e SYSTEM "file:///etc/passwd">]><r>&e;</r>'
     with pytest.raises(PySparkException):

@@ -192,11 +192,8 @@ def convert(column: Column, dtype: T.DataType, target: str, field: str = "value"
     complaint = F.concat(
         F.lit(f"field '{field}': cannot convert '"), column.cast("string"), F.lit(f"' to {target}")
     )
-    return (
-        F.when(column.isNull(), F.lit(None))
-        .when(attempt.isNotNull(), attempt)
-        .otherwise(F.raise_error(complaint).cast(CONVERT_TARGETS[target.lower()]))
-    )
+    refusal = F.raise_error(complaint).cast(CONVERT_TARGETS[target.lower()])
+    return F.coalesce(attempt, F.when(column.isNotNull(), refusal))
 
 
 def literal(value: Any) -> Column:

@@ -54,9 +54,13 @@ def spark_pattern(pattern: str) -> str:
     return "".join(parts)
 
 
-def format_datetime(iso: Column, pattern: str) -> Column:
-    """ISO text formatted; null where the text is not a date."""
-    return F.date_format(iso.try_cast("timestamp"), spark_pattern(pattern))
+def format_datetime(iso: Column, pattern: str, on_error: str = "fail") -> Column:
+    """ISO text formatted; text that is no date fails, or with ``null`` is null."""
+    parsed = iso.try_cast("timestamp")
+    if on_error == "fail":
+        refusal = F.raise_error(F.concat(F.lit("not a date: "), iso)).cast("timestamp")
+        parsed = F.coalesce(parsed, F.when(iso.isNotNull(), refusal))
+    return F.date_format(parsed, spark_pattern(pattern))
 
 
 def now_iso() -> Column:

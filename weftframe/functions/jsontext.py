@@ -12,13 +12,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftframe.functions.strings import capturing_groups
 from weftframe.operators.joining import join_tables
 
 
 def parse_json(text: Column, on_error: str = "fail") -> Column:
     """Text to VARIANT; blank text is null."""
     filled = F.when(F.trim(text) != "", text)
-    return F.try_parse_json(filled) if on_error == "null" else F.parse_json(filled)
+    parsed = F.try_parse_json(filled)
+    if on_error == "null":
+        return parsed
+    refusal = F.raise_error(F.concat(F.lit("not JSON: "), filled)).cast("variant")
+    return F.coalesce(parsed, F.when(filled.isNotNull(), refusal))
 
 
 def to_json(value: Column) -> Column:
@@ -26,12 +31,13 @@ def to_json(value: Column) -> Column:
     return F.to_json(value, {"ignoreNullFields": "false"})
 
 
-def json_matches(text: Column, path: str) -> Column:
+def json_matches(text: Column, path: str, on_error: str = "fail") -> Column:
     """All values at a JSON path as ``array<variant>``.
 
-    The path may hold child names, positions and any number of ``[*]``.
+    The path may hold child names, positions and any number of ``[*]``. Text
+    that is no JSON fails, or with ``null`` matches nothing.
     """
-    document = F.try_parse_json(text)
+    document = parse_json(text, on_error)
     head, *tails = path.split("[*]")
     if not tails:
         found = F.try_variant_get(document, head, "variant")
@@ -64,11 +70,13 @@ def unwrap_matches(matches: Column, required: bool = False, path: str = "") -> C
     return result
 
 
-def json_path(df: DataFrame, text: str | Column, path: str, required: bool = False) -> DataFrame:
+def json_path(
+    df: DataFrame, text: str | Column, path: str, required: bool = False, on_error: str = "fail"
+) -> DataFrame:
     """Add ``result`` (JSON text) and ``matchCount``."""
     source = F.col(text) if isinstance(text, str) else text
     return (
-        df.withColumn("_matches", json_matches(source, path))
+        df.withColumn("_matches", json_matches(source, path, on_error))
         .withColumn("result", unwrap_matches(F.col("_matches"), required, path))
         .withColumn("matchCount", F.size("_matches"))
         .drop("_matches")
@@ -80,7 +88,7 @@ def json_filter(text: Column, array_path: str, predicate) -> Column:
 
     ``predicate`` is a function from an element (VARIANT) to a condition.
     """
-    elements = F.try_variant_get(F.try_parse_json(text), array_path, "array<variant>")
+    elements = F.try_variant_get(parse_json(text), array_path, "array<variant>")
     return F.filter(F.coalesce(elements, F.array().cast("array<variant>")), predicate)
 
 
@@ -100,14 +108,11 @@ def extract_paths(text: Column, outputs: Mapping[str, str], required: bool = Fal
 
 def extract_patterns(text: Column, outputs: Mapping[str, str]) -> list[Column]:
     """One column per output: the group called ``value``, else the whole match."""
-    import re
-
     columns = []
     for name, pattern in outputs.items():
         group = 0
         if "(?<value>" in pattern:
-            before = pattern[: pattern.index("(?<value>")]
-            group = 1 + len(re.findall(r"(?<!\\)\((?:\?<[A-Za-z]|(?!\?))", before))
+            group = 1 + capturing_groups(pattern[: pattern.index("(?<value>")])
         if not pattern.strip():
             columns.append(F.lit(None).cast("string").alias(name))
             continue

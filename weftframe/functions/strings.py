@@ -112,9 +112,17 @@ def regex_replace(column, pattern: str, replacement: str = "") -> Column:
     return F.regexp_replace(_text(column), pattern, replacement)
 
 
+def capturing_groups(pattern: str) -> int:
+    """How many numbered groups a regular expression has."""
+    plain = re.sub(r"\\.|\[(?:\\.|[^\]])*\]", "", pattern)
+    return len(re.findall(r"\((?!\?)|\(\?<(?![=!])", plain))
+
+
 def regex_extract(column, pattern: str, group: int = 0) -> Column:
-    """The group's text; null without a match."""
+    """The group's text; null without a match or such a group."""
     text = _text(column)
+    if group > capturing_groups(pattern):
+        return F.lit(None).cast("string")
     return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, group))
 
 

@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+from typing import Any
+from xml.etree import ElementTree
+from xml.sax.saxutils import escape, quoteattr
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,3 +45,94 @@ def xml_record(xml: Column, schema: T.StructType | str, on_error: str = "fail")
 def record_xml(record: Column, root: str = "root") -> Column:
     """A struct to XML text on one line."""
     return F.rtrim(F.to_xml(record, {**XML_OPTIONS, "rowTag": root, "indent": ""}), F.lit("\n"))
+
+
+# --- documents of any shape; Spark calls these on Arrow batches --------------
+
+
+def element_value(element: ElementTree.Element) -> Any:
+    """An element as text, null or a dict: attributes are ``@name``, text beside
+    attributes is ``#text``, repeated children are lists."""
+    children = list(element)
+    if not children and not element.attrib:
+        return element.text
+    record: dict[str, Any] = {f"@{_local(k)}": v for k, v in element.attrib.items()}
+    if not children and element.text:
+        record["#text"] = element.text
+    grouped: dict[str, list[Any]] = {}
+    for child in children:
+        grouped.setdefault(_local(child.tag), []).append(element_value(child))
+    record.update({k: v[0] if len(v) == 1 else v for k, v in grouped.items()})
+    return record
+
+
+def _local(name: str) -> str:
+    return name.rpartition("}")[2]
+
+
+def element_text(name: str, value: Any) -> Iterator[str]:
+    """The reverse of :func:`element_value`, as pieces of XML text."""
+    if not isinstance(value, dict):
+        text = "" if value is None else _scalar(value)
+        yield f"<{name}>{escape(text)}</{name}>" if text else f"<{name} />"
+        return
+    attributes = "".join(f" {k[1:]}={quoteattr(_scalar(v))}" for k, v in value.items() if k.startswith("@"))
+    yield f"<{name}{attributes}>"
+    for key, child in value.items():
+        if key == "#text":
+            yield escape(_scalar(child))
+        elif not key.startswith("@"):
+            for item in child if isinstance(child, list) else [child]:
+                yield from element_text(key, item)
+    yield f"</{name}>"
+
+
+def _scalar(value: Any) -> str:
+    if isinstance(value, str):
+        return value
+    return "" if value is None else json.dumps(value)
+
+
+@F.pandas_udf(T.StringType())
+def _xml_to_json(xml: pd.Series) -> pd.Series:
+    def convert(text):
+        if text is None:
+            return None
+        return json.dumps(element_value(ElementTree.fromstring(text)), ensure_ascii=False, separators=(",", ":"))
+
+    return xml.map(convert)
+
+
+def xml_json(xml: Column) -> Column:
+    """XML of any shape to JSON text (see :func:`element_value`)."""
+    return _xml_to_json(refuse_doctype(xml))
+
+
+def json_xml(document: Column, root: str = "root") -> Column:
+    """JSON text to XML text below a root element."""
+
+    @F.pandas_udf("string")
+    def convert(text: pd.Series) -> pd.Series:
+        return text.map(lambda d: None if d is None else "".join(element_text(root, json.loads(d))))
+
+    return convert(document)
+
+
+def xml_nodes(xml: Column, path: str) -> Column:
+    """Every element at a path as JSON text, in an array.
+
+    The path is one that ElementTree knows, relative to the root element:
+    names, ``//``, ``*``, ``[@name='x']``, ``[child]``, ``[n]``.
+    """
+
+    @F.pandas_udf("array<string>")
+    def find(texts: pd.Series) -> pd.Series:
+        def matches(text):
+            if text is None:
+                return None
+            found = ElementTree.fromstring(text).findall(path)
+            return [json.dumps(element_value(e), ensure_ascii=False, separators=(",", ":")) for e in found]
+
+        return texts.map(matches)
+
+    return find(refuse_doctype(xml))

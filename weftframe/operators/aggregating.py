@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftframe.expressions import TransformError, as_item, numeric_of, resolve
+from weftframe.expressions import TransformError, as_item, numeric_of, quoted, resolve
 
 OPERATIONS = ("count", "sum", "avg", "min", "max", "first", "last", "distinct", "median", "mode")
 
@@ -32,14 +32,17 @@ def aggregate(
 
     ``first``, ``last``, ``distinct`` and ``mode`` depend on row order and need
     ``order_by``. ``distinct`` gives one row per value in ``result`` with the
-    number of rows holding it. Null is a group and a value like any other.
+    number of rows holding it. Without a property they work on whole records.
+    Null is a group and a value like any other.
     """
     if operation not in OPERATIONS:
         raise TransformError(f"unknown operation '{operation}'")
     if operation in ("first", "last", "distinct", "mode") and not order_by:
         raise TransformError(f"{operation} depends on row order: give order_by")
-    if prop is None and operation != "count":
+    if prop is None and operation in ("sum", "avg", "min", "max", "median"):
         raise TransformError(f"{operation} needs a property")
+    if prop is None:
+        prop = F.struct(*[F.col(quoted(c)) for c in df.columns])
     item = as_item(df)
     grouped = group_by is not None
     key = resolve(df, group_by) if grouped else F.lit(0)

@@ -466,3 +466,23 @@ def xml_codec(spark, t):
 def xml_doctype(spark, t):
     checked = t.pages.select("page_id", xmltext.refuse_doctype(F.col("html"), on_error="null").alias("xml"))
     return checked.where(F.col("xml").isNull()).select("page_id", F.lit(True).alias("refused"))
+
+
+@query(
+    "xml_json",
+    """SELECT o_orderkey, '{"@id":"' || o_orderkey || '","status":"' || o_orderstatus || '","item":["' || o_orderpriority
+              || '","a<b & ' || o_orderstatus || '"]}' AS doc FROM orders""",
+)
+def xml_json(spark, t):
+    """Any XML to JSON, and back and forth once more."""
+    document = xmltext.xml_json(F.col("xml"))
+    return _xml_orders(t).select("o_orderkey", xmltext.xml_json(xmltext.json_xml(document, "order")).alias("doc"))
+
+
+@query(
+    "xml_nodes",
+    """SELECT o_orderkey, '"' || o_orderpriority || '"' AS head, 2 AS nodes FROM orders""",
+)
+def xml_nodes(spark, t):
+    found = _xml_orders(t).select("o_orderkey", xmltext.xml_nodes(F.col("xml"), "./item").alias("found"))
+    return found.select("o_orderkey", F.col("found")[0].alias("head"), F.size("found").alias("nodes"))

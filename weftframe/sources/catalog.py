@@ -116,3 +116,17 @@ def sample_rows(spark: SparkSession, schema: T.StructType, count: int) -> DataFr
 def sample_columns(df: DataFrame, schema: T.StructType, index: Column) -> DataFrame:
     """Generated values for every row of ``df``, numbered by ``index``."""
     return df.select(*[sample_value(f.dataType, index).alias(f.name) for f in schema.fields])
+
+
+def read_database(
+    spark: SparkSession, options: Mapping[str, str], query: str, split: Mapping[str, str] | None = None
+) -> DataFrame:
+    """A query against an external database; filters and columns are pushed down.
+
+    ``split`` (partitionColumn, lowerBound, upperBound, numPartitions) reads in
+    parallel; without it the rows come through one task.
+    """
+    reader = spark.read.format("jdbc").options(**options)
+    if split is None:
+        return reader.option("query", query).load()
+    return reader.option("dbtable", f"({query}) q").options(**split).load()

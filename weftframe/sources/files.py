@@ -166,18 +166,26 @@ def read_xml_checked(spark: SparkSession, path: str, row_tag: str, xsd: str, sch
     )
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """One row per line in ``value``."""
-    return spark.read.text(path)
-
-
-def read_whole_text(spark: SparkSession, path: str, max_size: int = DEFAULT_MAX_SIZE) -> DataFrame:
+def read_lines(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
+    """One row per line in ``value``; large files are split."""
+    charset = encoding_name(encoding)
+    if charset == "UTF-8":
+        return spark.read.text(path)
+    # The text source splits at the encoded line feed and hands on raw bytes.
+    raw = spark.read.option("encoding", charset).option("lineSep", "\n").text(path)
+    decoded = F.decode(F.col("value").cast("binary"), charset)
+    return raw.select(F.regexp_replace(decoded, "\r$", "").alias("value"))
+
+
+def read_whole_text(
+    spark: SparkSession, path: str, max_size: int = DEFAULT_MAX_SIZE, encoding: str | None = None
+) -> DataFrame:
     """One row per file: ``path, content, size, lastModified``.
 
     Files above ``max_size`` fail the job before their content is kept.
     """
     files = read_binary(spark, path, max_size)
-    return files.select("path", F.decode("content", "UTF-8").alias("content"), "size", "lastModified")
+    return files.select("path", F.decode("content", encoding_name(encoding)).alias("content"), "size", "lastModified")
 
 
 def read_binary(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, DataFrameWriter, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,9 +13,15 @@ from weftframe.expressions import TransformError, as_item, field_path
 from weftframe.functions.xmltext import XML_OPTIONS
 from weftframe.sources.files import encoding_name
 
-# Names of the write modes and compression levels.
+# Names of the write modes, and compression levels with what the
+# gzip writer calls them.
 SAVE_MODES = {"overwrite": "overwrite", "append": "append", "createnew": "errorifexists"}
-COMPRESSION_LEVELS = {"optimal": 6, "fastest": 1, "smallestsize": 9, "nocompression": 0}
+COMPRESSION_LEVELS = {
+    "optimal": "DEFAULT_COMPRESSION",
+    "fastest": "BEST_SPEED",
+    "smallestsize": "BEST_COMPRESSION",
+    "nocompression": "NO_COMPRESSION",
+}
 
 
 def save_mode(name: str) -> str:
@@ -25,6 +31,13 @@ def save_mode(name: str) -> str:
     return mode
 
 
+def _compressed(writer: DataFrameWriter, compression: str, level: str) -> DataFrameWriter:
+    name = COMPRESSION_LEVELS.get(level.lower())
+    if name is None:
+        raise TransformError(f"unknown compression level '{level}'")
+    return writer.option("compression", compression).option("zlib.compress.level", name)
+
+
 def write_csv(
     df: DataFrame,
     path: str,
@@ -33,10 +46,11 @@ def write_csv(
     encoding: str | None = None,
     mode: str = "overwrite",
     compression: str = "none",
+    level: str = "optimal",
 ) -> None:
     """CSV parts; null is an empty cell."""
     (
-        df.write.mode(save_mode(mode))
+        _compressed(df.write.mode(save_mode(mode)), compression, level)
         .option("header", include_header)
         .option("sep", delimiter)
         .option("encoding", encoding_name(encoding))
@@ -46,16 +60,20 @@ def write_csv(
         .option("emptyValue", "")
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
-        .option("compression", compression)
         .csv(path)
     )
 
 
 def write_json(
-    df: DataFrame, path: str, encoding: str | None = None, mode: str = "overwrite", compression: str = "none"
+    df: DataFrame,
+    path: str,
+    encoding: str | None = None,
+    mode: str = "overwrite",
+    compression: str = "none",
+    level: str = "optimal",
 ) -> None:
     """JSON lines with nulls written out."""
-    writer = df.write.mode(save_mode(mode)).option("ignoreNullFields", False).option("compression", compression)
+    writer = _compressed(df.write.mode(save_mode(mode)), compression, level).option("ignoreNullFields", False)
     writer.option("encoding", encoding_name(encoding)).json(path)
 
 
@@ -72,8 +90,16 @@ def write_xml(
     )
 
 
-def write_text(df: DataFrame, column: str, path: str, mode: str = "overwrite", compression: str = "none") -> None:
-    df.select(column).write.mode(save_mode(mode)).option("compression", compression).text(path)
+def write_text(
+    df: DataFrame,
+    column: str,
+    path: str,
+    mode: str = "overwrite",
+    compression: str = "none",
+    level: str = "optimal",
+) -> None:
+    """One line per row."""
+    _compressed(df.select(column).write.mode(save_mode(mode)), compression, level).text(path)
 
 
 def compressed_size(df: DataFrame, path: str) -> DataFrame:
@@ -104,7 +130,7 @@ def load_frame(
         complaint = F.raise_error(
             F.concat(F.lit(f"column '{field.name}': bad value '"), found.cast("string"), F.lit("'"))
         ).cast(field.dataType)
-        columns.append(F.when(found.isNull() | attempt.isNotNull(), attempt).otherwise(complaint).alias(field.name))
+        columns.append(F.coalesce(attempt, F.when(found.isNotNull(), complaint)).alias(field.name))
     return as_item(df).select(*columns)
 
 
@@ -117,8 +143,6 @@ def bulk_load(
     batch_size: int = 1000,
 ) -> int:
     """Append rows to a parquet table path or a JDBC table; returns the count."""
-    from pyspark.sql import Observation
-
     seen = Observation("loaded")
     rows = load_frame(df, target, column_mapping).observe(seen, F.count(F.lit(1)).alias("rows"))
     if path is not None:
