@@ -141,6 +141,32 @@ def test_null_keys_match_and_count_once(spark):
         assert join_tables(left, right, "k", "k", how).result.count() == rows
 
 
+def test_null_keys_kept_apart(spark):
+    left = spark.createDataFrame([(None, 1), (5, 2)], "k int, a int")
+    right = spark.createDataFrame([(None, 3), (5, 4)], "k int, b int")
+    for how, rows in (("inner", 1), ("left", 2), ("full", 3)):
+        joined = join_tables(left, right, "k", "k", how, null_matches_null=False)
+        assert joined.result.count() == rows
+    counts = joined.unmatched().first()
+    assert (counts["unmatchedLeft"], counts["unmatchedRight"]) == (1, 1)
+
+
+def test_bucketed_tables_meet_without_a_shuffle(spark):
+    for name in ("bucket_l", "bucket_r"):
+        spark.sql(f"drop table if exists {name}")
+        spark.range(1000).withColumn("v", F.col("id") * 2).write.bucketBy(4, "id").saveAsTable(name)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = join_tables(
+            spark.table("bucket_l"), spark.table("bucket_r"), "id", "id", null_matches_null=False, select="left.v"
+        ).result
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+        assert joined.count() == 1000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_loose_keys(spark):
     left = spark.createDataFrame([("1",), ("1.0",), ("x",)], "k string")
     right = spark.createDataFrame([(1,)], "k long")

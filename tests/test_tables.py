@@ -154,6 +154,33 @@ def test_stream_goes_on_where_it_stopped(spark, small):
     assert first["started"] < second["started"]
 
 
+def test_stream_without_events_is_empty(spark, small):
+    events = spark.read.parquet(f"{small}/events.parquet")
+    folder = scratch_path(spark, "none")
+    events.where("false").coalesce(1).write.parquet(folder)
+    stream = feed.read_feed(spark, folder, events.schema, pattern="*.nothing")
+
+    def fold(rows):
+        return feed.with_kind(rows, KINDS).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+
+    assert feed.fold_stream(stream, fold, ["user_id"]).count() == 0
+
+
+def test_feed_sorting(spark):
+    states = spark.createDataFrame([(1, "B", 5.0, 9), (2, "A", None, 8), (3, "A", 7.0, 7)], "id int, state string, duration double, started_at int")
+
+    def ids(**options):
+        return [r["id"] for r in feed.filter_feed(states, key="id", **options).collect()]
+
+    assert ids() == [1, 2, 3]
+    assert ids(sort="Duration") == [3, 1, 2]
+    assert ids(sort="State", descending=False) == [2, 3, 1]
+    assert ids(sort="Workflow") == [3, 2, 1]
+    assert ids(min_duration=6) == [3]
+    with pytest.raises(TransformError):
+        feed.filter_feed(states, sort="Workflow")
+
+
 def test_state_rules(spark):
     rows = [(1, 1, "started"), (2, 1, "failed"), (3, 1, "progress"), (1, 2, "started"), (2, 2, "failed"), (3, 2, "started")]
     df = spark.createDataFrame(rows, "at int, run int, kind string").withColumn("err", F.lit("boom"))

@@ -19,6 +19,7 @@ class JoinResult:
     result: DataFrame
     left_keys: DataFrame
     right_keys: DataFrame
+    null_matches_null: bool = True
 
     def unmatched(self) -> DataFrame:
         """One row: rows of either side whose key the other side lacks.
@@ -28,7 +29,8 @@ class JoinResult:
         """
         left = self.left_keys.groupBy("_lk").agg(F.count(F.lit(1)).alias("_ln"))
         right = self.right_keys.groupBy("_rk").agg(F.count(F.lit(1)).alias("_rn"))
-        both = left.join(right, F.col("_lk").eqNullSafe(F.col("_rk")), "full")
+        same = F.col("_lk").eqNullSafe(F.col("_rk")) if self.null_matches_null else F.col("_lk") == F.col("_rk")
+        both = left.join(right, same, "full")
 
         def lonely(mine: str, other: str) -> Column:
             return F.coalesce(F.sum(F.when(F.col(other).isNull(), F.col(mine))), F.lit(0)).cast("long")
@@ -68,19 +70,26 @@ def join_tables(
     how: str = "inner",
     select: str | Column | Mapping[str, Any] | None = None,
     coerce: str | None = None,
+    null_matches_null: bool = True,
 ) -> JoinResult:
-    """Equi-join on one key per side; null matches null.
+    """Equi-join on one key per side; null matches null unless told otherwise.
 
     ``select`` is written over ``left`` and ``right``. Without it the left
     fields are followed by the right record in the struct column ``right``.
     No join hint is given: Catalyst broadcasts a side only when its size is
-    known to fit, and adaptive execution splits skewed keys.
+    known to fit, and adaptive execution splits skewed keys. Where keys are
+    never null, ``null_matches_null=False`` joins on the bare columns, so tables
+    bucketed by the key meet without a shuffle.
     """
     if how not in KINDS:
         raise TransformError(f"joinType must be one of {', '.join(KINDS)}")
     lefts = _keyed(left, left_key, "_lk", coerce)
     rights = _keyed(right, right_key, "_rk", coerce)
-    same = F.col("_lk").eqNullSafe(F.col("_rk"))
+
+    def equal(a: str, b: str) -> Column:
+        return F.col(a).eqNullSafe(F.col(b)) if null_matches_null else F.col(a) == F.col(b)
+
+    same = equal("_lk", "_rk")
     spark_how = "inner" if how == "inner" else "left"
     if select is None:
         nested = rights.select("_rk", F.struct(*[F.col(f"item.`{c}`") for c in right.columns]).alias("right"))
@@ -93,7 +102,7 @@ def join_tables(
         # A full outer join cannot be split on a skewed key. The same rows are
         # the left join plus the right rows whose key the left side lacks.
         known = lefts.select(F.col("_lk").alias("_known")).distinct()
-        unseen = F.col("_rk").eqNullSafe(F.col("_known"))
+        unseen = equal("_rk", "_known")
         if select is None:
             result = result.unionByName(
                 nested.join(known, unseen, "left_anti").select("right"), allowMissingColumns=True
@@ -102,4 +111,4 @@ def join_tables(
             no_left = lefts.where(F.lit(False)).alias("left")
             alone = rights.join(known, unseen, "left_anti").alias("right").join(no_left, F.lit(False), "left")
             result = result.unionByName(_project(alone, select))
-    return JoinResult(result, lefts.select("_lk"), rights.select("_rk"))
+    return JoinResult(result, lefts.select("_lk"), rights.select("_rk"), null_matches_null)

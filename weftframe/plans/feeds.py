@@ -120,5 +120,5 @@ def log_level(spark, t):
 )
 def feed_filter(spark, t):
     states = _latest(feed.with_kind(t.events, KINDS))
-    kept = feed.filter_feed(states, min_duration=20, sort="Duration", tiebreak="user_id")
+    kept = feed.filter_feed(states, min_duration=20, sort="Duration", key="user_id")
     return kept.select("user_id", "state", "duration")

@@ -104,7 +104,7 @@ def map_compute(spark, t):
 
 @query(
     "map_flatten",
-    """SELECT c_custkey AS id, c_name AS "who.name", c_nationkey AS "who.place.nation" FROM customer""",
+    """SELECT c_custkey AS id, c_name AS who_name, c_nationkey AS who_place_nation FROM customer""",
 )
 def map_flatten(spark, t):
     nested = t.customer.select(
@@ -113,7 +113,9 @@ def map_flatten(spark, t):
             "who"
         ),
     )
-    return map_rows(nested, {"id": "id", "who": "who"}, flatten=True).result
+    flat = map_rows(nested, {"id": "id", "who": "who"}, flatten=True).result
+    # dotted names are awkward to quote everywhere
+    return flat.toDF(*[c.replace(".", "_") for c in flat.columns])
 
 
 @query(

@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftframe.expressions import TransformError
 from weftframe.operators.history import latest_per_key
 from weftframe.session import scratch_path
 
@@ -120,19 +122,28 @@ def log_level(text: Column) -> Column:
 
 
 def filter_feed(
-    states: DataFrame, min_duration: float | None = None, sort: str = "Started", descending: bool = True, tiebreak: str | None = None
+    states: DataFrame,
+    min_duration: float | None = None,
+    sort: str = "Started",
+    descending: bool = True,
+    key: str | None = None,
 ) -> DataFrame:
-    """Rows of at least a duration, sorted by start, duration, state or key."""
+    """Rows of at least a duration, sorted by start, duration, state or key.
+
+    ``key`` is the column that names the run; it also decides between ties.
+    """
     rows = states
     if min_duration is not None:
         rows = rows.where(F.coalesce(F.col("duration"), F.lit(0.0)) >= min_duration)
-    key = {
+    if sort == "Workflow" and key is None:
+        raise TransformError("sorting by workflow needs the key column")
+    column = {
         "Duration": F.coalesce(F.col("duration"), F.lit(0.0)),
         "State": F.col("state"),
-        "Workflow": F.coalesce(F.col(tiebreak or "state").cast("string"), F.lit("")),
+        "Workflow": F.coalesce(F.col(key).cast("string"), F.lit("")) if key else None,
     }.get(sort, F.col("started_at"))
-    ties = [F.col(tiebreak)] if tiebreak else []
-    return rows.orderBy(key.desc() if descending else key.asc(), *ties)
+    ties = [F.col(key)] if key else []
+    return rows.orderBy(column.desc() if descending else column.asc(), *ties)
 
 
 # --- running a fold as a stream ----------------------------------------------
@@ -176,7 +187,13 @@ def fold_stream(
     )
     query.awaitTermination()
     schema = T.StructType([*folded.schema.fields, T.StructField("batch_id", T.LongType())])
-    return current_state(spark.read.schema(schema).parquet(path), keys)
+    try:
+        changelog = spark.read.schema(schema).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], folded.schema)  # no event came yet
+    return current_state(changelog, keys)
 
 
 def current_state(changelog: DataFrame, keys: Sequence[str]) -> DataFrame:
