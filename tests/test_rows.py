@@ -87,6 +87,12 @@ def test_row_index_is_the_sort_position(spark):
     assert wrong == 0
 
 
+def test_row_index_in_input_order(spark):
+    numbered = with_row_index(spark.range(0, 1000, 1, 7))
+    assert numbered.where("index <> id").count() == 0
+    assert "rangepartitioning" not in numbered._jdf.queryExecution().executedPlan().toString()
+
+
 def test_group_index_with_one_hot_key(spark):
     df = spark.range(0, 9000, 1, 8).select(
         F.expr("if(id % 3 = 0, null, if(id % 3 = 1, -1, id))").alias("g"), F.col("id").alias("o")

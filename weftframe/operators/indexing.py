@@ -23,15 +23,16 @@ def _keys(order_by: str | Column | Sequence[str | Column]) -> list[str | Column]
     return list(order_by) if isinstance(order_by, (list, tuple)) else [order_by]
 
 
-def with_row_index(df: DataFrame, order_by, name: str = "index") -> DataFrame:
+def with_row_index(df: DataFrame, order_by=None, name: str = "index") -> DataFrame:
     """Add the zero-based position of each row in the given total order.
 
     Range sort plus per-partition offsets. Give an order without ties if the
-    positions must be the same on every run.
+    positions must be the same on every run. Without an order the rows are
+    numbered as the scan delivers them, which costs no shuffle.
     """
     # Number straight from the sorted shuffle files instead of caching a copy.
     df.sparkSession.conf.set("pandas_on_Spark.compute.default_index_cache", '"NONE"')
-    ordered = df.orderBy(*_keys(order_by))
+    ordered = df if order_by is None else df.orderBy(*_keys(order_by))
     numbered = ordered.pandas_api().to_spark(index_col=name)
     return numbered.select(*df.columns, name)
 
