@@ -50,6 +50,9 @@ def record_xml(record: Column, root: str = "root") -> Column:
 # --- documents of any shape; Spark calls these on Arrow batches --------------
 
 
+_dump = json.JSONEncoder(ensure_ascii=False, separators=(",", ":")).encode
+
+
 def element_value(element: ElementTree.Element) -> Any:
     """An element as text, null or a dict: attributes are ``@name``, text beside
     attributes is ``#text``, repeated children are lists."""
@@ -98,7 +101,7 @@ def _xml_to_json(xml: pd.Series) -> pd.Series:
     def convert(text):
         if text is None:
             return None
-        return json.dumps(element_value(ElementTree.fromstring(text)), ensure_ascii=False, separators=(",", ":"))
+        return _dump(element_value(ElementTree.fromstring(text)))
 
     return xml.map(convert)
 
@@ -131,7 +134,7 @@ def xml_nodes(xml: Column, path: str) -> Column:
             if text is None:
                 return None
             found = ElementTree.fromstring(text).findall(path)
-            return [json.dumps(element_value(e), ensure_ascii=False, separators=(",", ":")) for e in found]
+            return [_dump(element_value(e)) for e in found]
 
         return texts.map(matches)
 
