@@ -4,11 +4,41 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftframe.llm import simhash
+from weftframe.llm import quality_cascade, simhash
 from weftframe.llm.common import table
 from weftframe.llm.registry import llm_query
 
 
+OP5_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+m AS (SELECT doc_id, t, words, lines, len(words) AS n_words,
+             length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+             length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+             len(lines) - len(list_distinct(lines)) AS n_dup_lines FROM w),
+win AS (SELECT doc_id, i, array_to_string(words[i:i+7], ' ') AS g
+          FROM (SELECT doc_id, words, unnest(range(1, n_words - 6)) AS i FROM m WHERE n_words > 8)),
+rep AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+cov AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM rep, range(8) r(k) GROUP BY 1),
+b AS (SELECT m.*, coalesce(cov.n, 0) AS n_repeat_words FROM m LEFT JOIN cov USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words
+            OR n_symbols * 4 > n_words OR word_chars < 2 * n_words OR word_chars > 14 * n_words
+            OR len(list_filter(words, lambda x: regexp_matches(x, '\pL'))) * 10 < n_words * 6
+            OR len(lines) > 2 * len(list_distinct(lines))
+            OR len(list_distinct(words)) * 50 < n_words) AS kept
+  FROM b
+"""
+
+
+@llm_query("op5_quality_cascade", OP5_SQL)
+def op5_quality_cascade(spark: SparkSession, folder: str) -> DataFrame:
+    """Measures and verdict of every document."""
+    return quality_cascade.judge(table(spark, folder, "documents"))
+
+
 @llm_query("op10_simhash")
 def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
