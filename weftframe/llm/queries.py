@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftframe.llm import quality_cascade, simhash
+from weftframe.llm import language_parsing, quality_cascade, simhash
 from weftframe.llm.common import table
 from weftframe.llm.registry import llm_query
 
 
+@llm_query("op2_cross_parsing")
+def op2_cross_parsing(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document."""
+    return language_parsing.identify(table(spark, folder, "documents"))
+
+
 OP5_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
