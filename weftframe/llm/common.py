@@ -53,3 +53,10 @@ def map_batches(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]],
 def has_letter(column) -> Column:
     """True where a text holds a letter of any script."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit("")).rlike("\\p{L}")
+
+
+def vocabulary(name: str) -> str:
+    """Where the installed public vocabulary file of that name lies; the same on every worker."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

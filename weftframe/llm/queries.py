@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftframe.llm import language_parsing, quality_cascade, simhash
-from weftframe.llm.common import table
+from weftframe.llm import language_parsing, pieces, quality_cascade, simhash
+from weftframe.llm.common import table, vocabulary
 from weftframe.llm.registry import llm_query
 
 
@@ -15,6 +15,12 @@ def op2_cross_parsing(spark: SparkSession, folder: str) -> DataFrame:
     return language_parsing.identify(table(spark, folder, "documents"))
 
 
+@llm_query("op3_sentencepiece")
+def op3_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """Piece ids of every document, and whether decoding them gives the text back."""
+    return pieces.encode(table(spark, folder, "documents"), vocabulary("piece_bpe_32k.model"), check=True)
+
+
 OP5_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
