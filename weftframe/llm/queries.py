@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftframe.llm import language_parsing, pieces, quality_cascade, simhash
+from weftframe.llm import language_parsing, pieces, quality_cascade, simhash, token_lists, web_archive
 from weftframe.llm.common import table, vocabulary
 from weftframe.llm.registry import llm_query
+from weftframe.session import scratch_path
 
 
 @llm_query("op2_cross_parsing")
@@ -51,6 +52,35 @@ def op5_quality_cascade(spark: SparkSession, folder: str) -> DataFrame:
     return quality_cascade.judge(table(spark, folder, "documents"))
 
 
+OP6_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+f AS (SELECT b, min(page_id) AS first FROM p GROUP BY 1)
+SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, to_base32_sha1 AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+  FROM (SELECT p.page_id, p.b, f.first,
+               list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                 1 + (('0x' || substr(sha1(p.b), 1 + (i * 5) // 4, 1))::INT * 16
+                      + ('0x' || substr(sha1(p.b) || '0', 2 + (i * 5) // 4, 1))::INT)
+                     // (1 << (3 - (i * 5) % 4)) % 32, 1)), 'string_agg', '') AS to_base32_sha1
+          FROM p JOIN f USING (b))
+"""
+
+
+@llm_query("op6_warc_packages", OP6_SQL)
+def op6_warc_packages(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page as a record of a package, read back."""
+    return web_archive.archive_round_trip(spark, table(spark, folder, "pages"))
+
+
+@llm_query("op8_token_lists")
+def op8_token_lists(spark: SparkSession, folder: str) -> DataFrame:
+    """Position, length and checksum of every document's ids, from the files."""
+    path = scratch_path(spark, "tokens")
+    token_lists.write_tokens(table(spark, folder, "documents"), path, vocabulary("byte_bpe_50k.json"), end_id=2)
+    return token_lists.checksums(spark, path)
+
+
 @llm_query("op10_simhash")
 def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
