@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftframe.llm import language_parsing, pieces, quality_cascade, simhash, token_lists, web_archive
+from weftframe.llm import language_parsing, neighbours, pieces, quality_cascade, simhash, token_lists, web_archive
 from weftframe.llm.common import table, vocabulary
 from weftframe.llm.registry import llm_query
 from weftframe.session import scratch_path
@@ -22,6 +22,12 @@ def op3_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.encode(table(spark, folder, "documents"), vocabulary("piece_bpe_32k.model"), check=True)
 
 
+@llm_query("op4_multiprobe_neighbours")
+def op4_multiprobe_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The 10 nearest vectors found for every hundredth id."""
+    return neighbours.nearest_neighbours(table(spark, folder, "embeddings"), lambda vec_id: vec_id % 100 == 0)
+
+
 OP5_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
