@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftframe.llm import language_parsing, neighbours, pieces, quality_cascade, simhash, token_lists, web_archive
+from weftframe.llm import language_parsing, mixing, neighbours, pieces, quality_cascade, simhash, token_lists, web_archive
 from weftframe.llm.common import table, vocabulary
 from weftframe.llm.registry import llm_query
 from weftframe.session import scratch_path
@@ -87,6 +87,13 @@ def op8_token_lists(spark: SparkSession, folder: str) -> DataFrame:
     return token_lists.checksums(spark, path)
 
 
+@llm_query("op9_soft_mixing")
+def op9_soft_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Domain posterior and rate of every document."""
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    return mixing.mixing_rates(docs, labels, mixing.label_domain(), mixing.WEIGHTS, anchor="good", repeat=False)
+
+
 @llm_query("op10_simhash")
 def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
