@@ -11,16 +11,16 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # chunks a worker keeps with their ids
-KNOWN_CHUNKS = 800_000
+KNOWN_CHUNKS = 400_000
 # a blank that other white space follows: such texts go to the tokenizer whole
 _WIDE_GAP = re.compile(r" \s| $|^ ")
 
@@ -38,14 +38,30 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
-        self.first: dict[str, tuple[int, ...]] = {}
-        self.later: dict[str, tuple[int, ...]] = {}
-
-    def _learn(self, known: dict[str, tuple[int, ...]], new: list[str], blank: str) -> None:
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
+        self.first: dict[str, bytes] = {}
+        self.later: dict[str, bytes] = {}
+        (self.line_id,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
+
+    def _learn(self, known: dict[str, bytes], new: set[str], blank: str) -> None:
+        """Encode new chunks, a few thousand in one text with line ends between them.
+
+        A line end before a blank is always a token of its own. Chunks without that
+        blank, or with white space in them, go one by one.
+        """
+        alone = [c for c in new if not blank or len(c.split()) != 1 or c.split()[0] != c]
+        for at in range(0, len(alone), 2_000):
+            part = alone[at : at + 2_000]
             encoded = self.tokenizer.encode_batch_fast([blank + c for c in part], add_special_tokens=False)
-            known.update(zip(part, (tuple(e.ids) for e in encoded)))
+            known.update((c, np.array(e.ids, np.int32).tobytes()) for c, e in zip(part, encoded))
+        rest = list(new.difference(alone))
+        for at in range(0, len(rest), 5_000):
+            part = rest[at : at + 5_000]
+            text = "\n".join([blank + c for c in part])
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+            ends = [*np.flatnonzero(ids == self.line_id).tolist(), len(ids)]
+            if len(ends) != len(part):
+                raise ValueError("the tokenizer joined a line end with a chunk")
+            known.update((c, ids[a:b].tobytes()) for c, a, b in zip(part, [0, *[e + 1 for e in ends[:-1]]], ends))
 
     def encode(self, texts: list[str], end_id: int) -> list[np.ndarray]:
         """Ids of each text followed by ``end_id``."""
@@ -54,20 +70,22 @@ class Encoder:
             self.later.clear()
         split = [None if _WIDE_GAP.search(t) else t.split(" ") for t in texts]
         heads = {parts[0] for parts in split if parts} - self.first.keys()
-        self._learn(self.first, list(heads), "")
+        self._learn(self.first, heads, "")
         tails: set[str] = set()
         for parts in split:
             if parts:
                 tails.update(parts[1:])
         tails.difference_update(self.later)
-        self._learn(self.later, list(tails), " ")
+        self._learn(self.later, tails, " ")
+        end = np.array([end_id], np.int32).tobytes()
         out = []
         for text, parts in zip(texts, split):
             if parts is None:
-                ids = chain(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, (end_id,))
+                ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+                out.append(np.array([*ids, end_id], np.int32))
             else:
-                ids = chain(self.first[parts[0]], chain.from_iterable(map(self.later.__getitem__, parts[1:])), (end_id,))
-            out.append(np.fromiter(ids, np.int32))
+                ids = b"".join((self.first[parts[0]], *map(self.later.__getitem__, parts[1:]), end))
+                out.append(np.frombuffer(ids, np.int32))
         return out
 
 
@@ -108,9 +126,9 @@ def write_tokens(
         part, before = TaskContext.get().partitionId(), 0
         for whole in batches:
             rows = whole.num_rows
-            sizes = np.array([len(v) if v else 0 for v in whole.column(1).to_pylist()])
+            sizes = pc.fill_null(pc.binary_length(whole.column(1)), 0).to_numpy(zero_copy_only=False)
             # encode a few million characters at a time
-            cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // 4_000_000)) + 1
+            cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // 2_000_000)) + 1
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), rows]):
                 batch = whole.slice(a, b - a)
                 ids = encoder.encode([t or "" for t in batch.column(1).to_pylist()], end_id)
