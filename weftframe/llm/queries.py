@@ -4,12 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftframe.llm import language_parsing, mixing, neighbours, pieces, quality_cascade, simhash, token_lists, web_archive
-from weftframe.llm.common import table, vocabulary
+from weftframe.llm import language_parsing, mixing, neighbours, pieces, quality_cascade, simhash, token_lists, web_archive, wrappers
+from weftframe.llm.common import table, vocabulary, written
 from weftframe.llm.registry import llm_query
 from weftframe.session import scratch_path
 
 
+@llm_query("op1_wrapper_text")
+def op1_wrapper_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, folder, "pages")
+    paths = written(wrappers.wrapper_paths(wrappers.infer_wrappers(pages)), "wrappers")
+    return wrappers.extract_text(pages, paths)
+
+
 @llm_query("op2_cross_parsing")
 def op2_cross_parsing(spark: SparkSession, folder: str) -> DataFrame:
     """Language of every document."""
