@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftframe.llm import language_parsing, mixing, neighbours, pieces, quality_cascade, simhash, token_lists, web_archive, wrappers
+from weftframe.llm import language_parsing, licence_scan, mixing, neighbours, pieces, quality_cascade, simhash, token_lists, web_archive, wrappers
 from weftframe.llm.common import table, vocabulary, written
 from weftframe.llm.registry import llm_query
 from weftframe.session import scratch_path
@@ -87,6 +87,12 @@ def op6_warc_packages(spark: SparkSession, folder: str) -> DataFrame:
     return web_archive.archive_round_trip(spark, table(spark, folder, "pages"))
 
 
+@llm_query("op7_licence_scan", licence_scan.oracle())
+def op7_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Licence that every document states, if any."""
+    return licence_scan.scan(table(spark, folder, "documents"))
+
+
 @llm_query("op8_token_lists")
 def op8_token_lists(spark: SparkSession, folder: str) -> DataFrame:
     """Position, length and checksum of every document's ids, from the files."""
