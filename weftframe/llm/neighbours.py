@@ -22,9 +22,10 @@ from weftframe.llm.common import written
 # bounded sample that the index is fitted on
 FIT_ROWS = 20_000
 FIT_QUERIES = 200
-# vectors per cell aimed at, per block, and per part of a crowded cell
-CELL_ROWS = 64
+# vectors per cell aimed at, per block, and per part of a crowded cell; queries per task of probes
+CELL_ROWS = 512
 BLOCK_ROWS = 8_192
+PROBED_QUERIES = 128
 # cells a query considers per table and step
 MOST_CELLS = 20_000
 
@@ -91,7 +92,7 @@ def fit(vectors: DataFrame, rows: int, tables: int = 2, recall: float = 0.95, ne
 
     The distance that neighbours are expected at is that of the sample, which is
     no nearer than in the whole table, so cells are rather visited than left out.
-    The number of hashes follows ``rows``, so that a cell holds some dozens of them.
+    The number of hashes follows ``rows``, so that a cell holds some hundreds of them.
     """
     picked = vectors.select("vector").orderBy(F.xxhash64("vector"), "vector").limit(FIT_ROWS).collect()
     sample = np.array([r["vector"] for r in picked], np.float64)
@@ -162,7 +163,7 @@ def _probed(queries: DataFrame, index: Index) -> DataFrame:
     return queries.select("id", "vector").mapInArrow(run, "id long, codes array<long>")
 
 
-def _search_blocks(placed: DataFrame, visits: DataFrame, top: int) -> DataFrame:
+def _search_blocks(placed: DataFrame, visits: DataFrame, top: int, blocks: int) -> DataFrame:
     """(query, id, distance): per query and block the ``top`` nearest among the cells it visits.
 
     ``placed``: (block, id, vector, code); ``visits``: (block, id, vector, codes), codes
@@ -198,7 +199,7 @@ def _search_blocks(placed: DataFrame, visits: DataFrame, top: int) -> DataFrame:
 
     schema = "query long, id long, distance double"
     rows = a.unionByName(b)
-    return rows.repartition("block").sortWithinPartitions("block", "role").mapInArrow(run, schema)
+    return rows.repartition(min(blocks, 20_000), "block").sortWithinPartitions("block", "role").mapInArrow(run, schema)
 
 
 def _nearest(part, ids, vectors, codes, top):
@@ -272,18 +273,20 @@ def nearest_neighbours(
     block = F.pmod(F.xxhash64("code", "part"), F.lit(blocks)).cast("int")
     placed = placed.join(crowded, "code", "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))))
     placed = written(placed.select(block.alias("block"), "id", "vector", "code"), "placed")
-    visits = _probed(queries, index).select("id", F.explode("codes").alias("code")).join(crowded, "code", "left")
+    asking = queries.count()
+    spread = queries.repartition(min(20_000, asking // PROBED_QUERIES + 1), "id")
+    visits = _probed(spread, index).select("id", F.explode("codes").alias("code")).join(crowded, "code", "left")
     visits = visits.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)))
     visits = visits.groupBy("id", block.alias("block")).agg(F.collect_list("code").alias("codes"))
     visits = visits.join(queries, "id").select("block", "id", "vector", "codes")
     # own vector and k others
     top = k + 1
-    found = written(_best(_search_blocks(placed, visits, top), top), "found")
+    found = written(_best(_search_blocks(placed, visits, top, blocks), top), "found")
     enough = found.groupBy("query").count().where(F.col("count") >= min(top, count))
     short = queries.join(enough, queries["id"] == enough["query"], "left_anti")
     # the others look at every block
     every = short.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("codes", F.lit(None).cast("array<long>"))
-    rest = _best(_search_blocks(placed, every.select("block", "id", "vector", "codes"), top), top)
+    rest = _best(_search_blocks(placed, every.select("block", "id", "vector", "codes"), top, blocks), top)
     found = found.join(short.select(F.col("id").alias("query")), "query", "left_anti").unionByName(rest)
     wide = found.join(distinct.select("id", "ids"), "id").select("query", "distance", F.explode("ids").alias("vec_id"))
     named = asked.join(queries.select("vector", F.col("id").alias("query")), "vector").select(F.col("id").alias("query_id"), "query")
