@@ -15,10 +15,10 @@ for the others, and it gives the merge order's own result.
 
 from __future__ import annotations
 
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +28,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _NONE = np.int32(-1)
 _LEADING = 22
 # words a worker keeps with their ids
-KNOWN_WORDS = 800_000
+KNOWN_WORDS = 500_000
 # words of one length that are encoded together
 LANES = 20_000
 
@@ -75,8 +75,8 @@ class Pieces:
         self.maybe = np.zeros(1 << _LEADING, bool)
         self.maybe[hashes >> np.uint64(64 - _LEADING)] = True
         self.worst = float(self.scores[ids].min()) - 10.0
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.known_marked: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
+        self.known_marked: dict[str, bytes] = {}
         self.byte_of = {i: b for b, i in enumerate(self.byte_ids)}
         self.odd_ids = {self.unknown, *self.byte_ids}
         if self.merges:
@@ -170,11 +170,11 @@ class Pieces:
             b[live] = np.where(undo_left, y, left[y])
         return apart
 
-    def encode_words(self, words: list[str]) -> list[tuple[int, ...]]:
-        """Ids of distinct words, equal lengths together."""
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids (32-bit) of distinct words, equal lengths together."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         order = np.argsort(lengths, kind="stable")
-        out: list[tuple[int, ...]] = [()] * len(words)
+        out = [b""] * len(words)
         at = 0
         while at < len(order):
             n = lengths[order[at]]
@@ -188,9 +188,9 @@ class Pieces:
             at = end
         return out
 
-    def _viterbi(self, words: list[str], n: int) -> list[tuple[int, ...]]:
+    def _viterbi(self, words: list[str], n: int) -> list[bytes]:
         if not n:
-            return [()] * len(words)
+            return [b""] * len(words)
         codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), n)
         lanes = len(words)
         prefix = np.zeros((lanes, n + 1), np.uint64)
@@ -260,7 +260,7 @@ class Pieces:
             allowed = allowed & self._stay_apart(a, b, hashes, powers, rank, left, right)[inverse]
         return np.where(allowed, 0.0, -np.inf)
 
-    def _walk_back(self, words, n, back, piece) -> list[tuple[int, ...]]:
+    def _walk_back(self, words, n, back, piece) -> list[bytes]:
         lanes = len(words)
         size = len(self.texts)
         at = np.full(lanes, n)
@@ -272,17 +272,17 @@ class Pieces:
             starts.append(at)
         ids = np.stack(columns[::-1], axis=1)
         used = ids >= 0
-        flat = ids[used].tolist()
-        ends = np.cumsum(used.sum(axis=1)).tolist()
+        flat = np.ascontiguousarray(ids[used], np.int32).tobytes()
+        ends = (4 * np.cumsum(used.sum(axis=1))).tolist()
         out, begin = [], 0
         for end in ends:
-            out.append(tuple(flat[begin:end]))
+            out.append(flat[begin:end])
             begin = end
         odd = np.flatnonzero(((ids >= size) | (ids == self.unknown)).any(axis=1))
         if len(odd):
             starts = np.stack(starts[::-1], axis=1)
             for row in odd.tolist():
-                out[row] = tuple(self._spelled(words[row], ids[row].tolist(), starts[row].tolist()))
+                out[row] = np.array(self._spelled(words[row], ids[row].tolist(), starts[row].tolist()), np.int32).tobytes()
         return out
 
     def _spelled(self, word: str, ids: list[int], starts: list[int]) -> list[int]:
@@ -345,7 +345,7 @@ class Pieces:
         out = []
         for words, alone in zip(split, usual):
             known = self.known if alone else self.known_marked
-            out.append(np.fromiter(chain.from_iterable(map(known.__getitem__, words)), np.int32))
+            out.append(np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32))
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -380,9 +380,9 @@ def pieces_of(path: str) -> Pieces:
     return _loaded[path]
 
 
-def _cut(batch: pa.RecordBatch, most: int = 4_000_000):
+def _cut(batch: pa.RecordBatch, most: int = 2_000_000):
     """Slices of a batch of at most ``most`` characters, or one row."""
-    sizes = np.array([len(v) if v else 0 for v in batch.column(1).to_pylist()])
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
     first, held = 0, 0
     for i, n in enumerate(sizes.tolist()):
         if held and held + n > most:
