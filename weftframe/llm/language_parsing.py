@@ -15,8 +15,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from weftframe.llm.common import has_letter
 
@@ -32,6 +34,7 @@ PIECE = 256
 _SHARPNESS = 12.0
 # pieces parsed together, which bounds the memory of a task
 _LANES = 16_384
+_PARSED_BYTES = 8_000_000
 _GAPS = re.compile(r"[\W\d_]+")
 
 
@@ -200,53 +203,57 @@ def predict(docs: DataFrame, texts: dict[str, str], key: str = "doc_id", text: s
     over the languages, from 0 to 1; ties go to the language first by name. Rows
     repeat as given, null keys included; no other column is read.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(texts)
-    # a piece of text and its tables are held per batch, so batches are cut by characters
-    most = 8_000_000
+    slim = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"))
+    found = _with_prediction(slim, texts, "t")
+    return found.select(F.col("k").alias(key), "lang_pred", "score")
+
+
+def keep_known(docs: DataFrame, texts: dict[str, str], least_score: float, text: str = "text") -> DataFrame:
+    """Rows of ``docs`` whose language is told with ``least_score`` or more; columns as given."""
+    packed = docs.select(F.col(text).cast("string").alias("t"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    found = _with_prediction(packed, texts, "t")
+    kept = found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_score))
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
+def _with_prediction(rows: DataFrame, texts: dict[str, str], text: str) -> DataFrame:
+    """``rows`` with lang_pred and score; other columns pass through as they are."""
+    shared = rows.sparkSession.sparkContext.broadcast(texts)
+    place = rows.columns.index(text)
 
     def run(batches):
-        model = None
+        model = _model(shared.value) if shared.value else None
         for batch in batches:
-            keys, column = batch.column(0), batch.column(1)
-            names, scores = [], []
-            group: list[str] = []
-            held = 0
-
-            def flush():
-                nonlocal group, held
-                if group:
-                    entropies = model.bits_per_char(group)
-                    for t, row in zip(group, entropies):
-                        if not t.strip():
-                            names.append(UNDETERMINED)
-                            scores.append(0.0)
-                            continue
-                        weights = np.exp2(-_SHARPNESS * (row - row.min()))
-                        best = int(np.argmin(row))
-                        names.append(model.languages[best])
-                        scores.append(float(weights[best] / weights.sum()))
-                group, held = [], 0
-
-            if model is None and shared.value:
-                model = _model(shared.value)
-            for value in column.to_pylist():
-                if model is None:
-                    names.append(UNDETERMINED)
-                    scores.append(0.0)
-                    continue
-                t = normalised(value or "")
-                group.append(t)
-                held += len(t)
-                if held > most:
-                    flush()
-            flush()
+            column = batch.column(place)
+            names: list[str] = []
+            scores: list[float] = []
+            lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+            # texts of a few million bytes at a time
+            cuts = np.flatnonzero(np.diff(np.cumsum(lengths) // _PARSED_BYTES)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+                for name, score in _winners(model, [normalised(v or "") for v in column.slice(a, b - a).to_pylist()]):
+                    names.append(name)
+                    scores.append(score)
             yield pa.RecordBatch.from_arrays(
-                [keys, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["k", "lang_pred", "score"]
+                [*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())],
+                names=[*batch.schema.names, "lang_pred", "score"],
             )
 
-    slim = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"))
-    return slim.mapInArrow(run, "k long, lang_pred string, score double").withColumnRenamed("k", key)
+    schema = StructType([*rows.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    return rows.mapInArrow(run, schema)
+
+
+def _winners(model: Model | None, texts: list[str]):
+    if model is None:
+        yield from ((UNDETERMINED, 0.0) for _ in texts)
+        return
+    for text, row in zip(texts, model.bits_per_char(texts)):
+        if not text.strip():
+            yield UNDETERMINED, 0.0
+            continue
+        weights = np.exp2(-_SHARPNESS * (row - row.min()))
+        best = int(np.argmin(row))
+        yield model.languages[best], float(weights[best] / weights.sum())
 
 
 def held_out(key: str = "doc_id"):
