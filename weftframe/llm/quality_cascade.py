@@ -64,35 +64,44 @@ def with_words(docs: DataFrame, text: str = "text") -> DataFrame:
     return known.withColumn("n_words", F.size("words").cast("long"))
 
 
-def with_repeats(worded: DataFrame) -> DataFrame:
-    """Adds ``n_repeat_words``: words inside 8-word windows that occur twice or more.
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once: as the only element of an array."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def repeat_words(words: Column) -> Column:
+    """Words inside 8-word windows that occur twice or more in an array of words.
 
     Windows are compared by 64-bit hashes, built from word hashes in three
-    doublings; only rows where some window repeats sort their windows.
+    doublings; only where some window repeats are the windows sorted. One expression,
+    so a filter on it that moves towards the scan does not repeat its parts.
     """
-    shifted = lambda name, size: F.zip_with(
-        F.slice(name, F.lit(1), F.size(name) - size),
-        F.slice(name, F.lit(size + 1), F.size(name) - size),
-        lambda a, b: F.xxhash64(a, b),
-    )
-    long_enough = F.col("n_words") > WINDOW
-    none = F.lit(None).cast("array<bigint>")
-    df = worded.withColumn("_h1", F.when(long_enough, F.transform("words", lambda w: F.xxhash64(w))).otherwise(none))
-    for size in (1, 2, 4):
-        df = df.withColumn(f"_h{2 * size}", shifted(f"_h{size}", size))
-    df = df.withColumn("_twice", F.size(F.array_distinct("_h8")) < F.size("_h8"))
-    pairs = F.transform("_h8", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
-    df = df.withColumn("_s", F.when(F.col("_twice"), F.sort_array(pairs)))
-    same = lambda x, i: F.coalesce(F.get("_s", i)["h"] == x["h"], F.lit(False))
-    again = F.filter("_s", lambda x, i: same(x, i - 1) | same(x, i + 1))
-    df = df.withColumn("_at", F.sort_array(F.transform(again, lambda x: x["i"])))
-    m = F.size("_at")
-    gaps = F.zip_with(
-        F.slice("_at", F.lit(1), m - 1), F.slice("_at", F.lit(2), m - 1), lambda a, b: F.least(b - a, F.lit(WINDOW))
-    )
-    covered = F.aggregate(gaps, F.lit(WINDOW), lambda total, gap: total + gap)
-    df = df.withColumn("n_repeat_words", F.coalesce(F.when(F.col("_twice"), covered), F.lit(0)).cast("long"))
-    return df.drop("_h1", "_h2", "_h4", "_h8", "_twice", "_s", "_at")
+
+    def doubled(hashes: Column, size: int) -> Column:
+        return F.zip_with(
+            F.slice(hashes, F.lit(1), F.size(hashes) - size),
+            F.slice(hashes, F.lit(size + 1), F.size(hashes) - size),
+            lambda a, b: F.xxhash64(a, b),
+        )
+
+    def covered(windows: Column) -> Column:
+        pairs = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+
+        def places(s: Column) -> Column:
+            same = lambda x, i: F.coalesce(F.get(s, i)["h"] == x["h"], F.lit(False))
+            again = F.filter(s, lambda x, i: same(x, i - 1) | same(x, i + 1))
+            return F.sort_array(F.transform(again, lambda x: x["i"]))
+
+        def total(at: Column) -> Column:
+            first, later = F.slice(at, F.lit(1), F.size(at) - 1), F.slice(at, F.lit(2), F.size(at) - 1)
+            gaps = F.zip_with(first, later, lambda a, b: F.least(b - a, F.lit(WINDOW)))
+            return F.aggregate(gaps, F.lit(WINDOW), lambda sum_, gap: sum_ + gap)
+
+        return F.when(F.size(F.array_distinct(windows)) < F.size(windows), _let(_let(pairs, places), total)).otherwise(0)
+
+    by_two = lambda h: _let(doubled(h, 1), lambda h2: _let(doubled(h2, 2), lambda h4: _let(doubled(h4, 4), covered)))
+    found = _let(F.transform(words, lambda w: F.xxhash64(w)), by_two)
+    return F.when(F.size(words) > WINDOW, found).otherwise(0).cast("long")
 
 
 def with_measures(worded: DataFrame) -> DataFrame:
@@ -101,7 +110,7 @@ def with_measures(worded: DataFrame) -> DataFrame:
     df = df.withColumn("n_symbols", _count_of("#*$%&|<>").cast("long"))
     df = df.withColumn("_lines", _lines())
     df = df.withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
-    return with_repeats(df.drop("_lines"))
+    return df.drop("_lines").withColumn("n_repeat_words", repeat_words(F.col("words")))
 
 
 def base_failed() -> Column:
@@ -178,5 +187,6 @@ def keep_good(docs: DataFrame, text: str = "text", rules: Sequence[Rule] | None
     worded = with_words(packed)
     base = [Rule("few_words", F.col("n_words") < LEAST_WORDS)]
     ordered = order_rules(worded, [*base, *(rules if rules is not None else default_rules())])
-    left = with_repeats(worded.where(passes(ordered))).where(~base_failed())
+    judged = worded.withColumn("n_repeat_words", F.when(passes(ordered), repeat_words(F.col("words"))))
+    left = judged.where(~base_failed())
     return left.select(*[F.col("_row").getField(n).alias(n) for n in names])
