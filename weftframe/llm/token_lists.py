@@ -9,8 +9,8 @@ metadata alone, skip the other pages and columns.
 from __future__ import annotations
 
 import os
-import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -20,16 +20,21 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # chunks a worker keeps with their ids
-KNOWN_CHUNKS = 400_000
-# a blank that other white space follows: such texts go to the tokenizer whole
-_WIDE_GAP = re.compile(r" \s| $|^ ")
+KNOWN_CHUNKS = 700_000
+
+
+# Fixed rule of byte-level pre-tokens: bytes without a visible letter of their own take those from 256 on.
+_PLAIN_BYTES = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_LETTERS = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PLAIN_BYTES)}
 
 
 class Encoder:
     """A tokenizers file with byte-level pre-tokens, remembering what chunks encode to.
 
     The pre-tokenizer always cuts before a blank that a visible character follows,
-    so the chunks between such blanks encode alone as they do within the text.
+    and around a line end between two visible characters. So a text is cut there, and
+    its chunks encode alone as they do within it. Texts with other gaps, whose chunks
+    are empty or begin or end with white space, go to the tokenizer whole.
     """
 
     def __init__(self, path: str):
@@ -38,54 +43,82 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+        # first chunks of lines, and chunks after a blank; None where a text must go whole
+        self.first: dict[str, bytes | None] = {}
+        self.later: dict[str, bytes | None] = {}
         (self.line_id,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
-
-    def _learn(self, known: dict[str, bytes], new: set[str], blank: str) -> None:
-        """Encode new chunks, a few thousand in one text with line ends between them.
-
-        A line end before a blank is always a token of its own. Chunks without that
-        blank, or with white space in them, go one by one.
-        """
-        alone = [c for c in new if not blank or len(c.split()) != 1 or c.split()[0] != c]
-        for at in range(0, len(alone), 2_000):
-            part = alone[at : at + 2_000]
-            encoded = self.tokenizer.encode_batch_fast([blank + c for c in part], add_special_tokens=False)
-            known.update((c, np.array(e.ids, np.int32).tobytes()) for c, e in zip(part, encoded))
-        rest = list(new.difference(alone))
-        for at in range(0, len(rest), 5_000):
-            part = rest[at : at + 5_000]
-            text = "\n".join([blank + c for c in part])
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+        self.marks = {m: self._whole(m).tobytes() for m in ".,;:!?|"}
+        # whether letters may go to the model directly: where that is what the whole tokenizer does
+        self.direct = False
+        trial = ["word", "Straße", "été,", "ñandú.", "日本", "x"]
+        want = [self._whole(" " + c).tobytes() for c in trial]
+        self.direct = True
+        self._learn(got := {}, set(trial), " ")
+        self.direct = [got[c] for c in trial] == want
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+
+    def _learn(self, known: dict[str, bytes | None], new: set[str], blank: str) -> None:
+        """Encode new chunks: letters by the tokenizer's merge model, which is what its pre-tokens go to;
+        letters and one mark from their two parts; others a few thousand in one text with line ends between."""
+        mixed: list[str] = []
+        marked: list[str] = []
+        tokenize = self.tokenizer.model.tokenize
+        words = set()
+        for chunk in new:
+            if not chunk or chunk[0].isspace() or chunk[-1].isspace():
+                known[chunk] = None
+            elif not self.direct:
+                mixed.append(chunk)
+            elif chunk.isalpha():
+                words.add(chunk)
+            elif chunk[-1] in self.marks and chunk[:-1].isalpha():
+                marked.append(chunk)
+                if chunk[:-1] not in known:
+                    words.add(chunk[:-1])
+            else:
+                mixed.append(chunk)
+        letters = "".join(chr(_BYTE_LETTERS[b]) for b in blank.encode())
+        for word in words:
+            seen = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_LETTERS)
+            known[word] = array("i", [t.id for t in tokenize(letters + seen)]).tobytes()
+        for chunk in marked:
+            known[chunk] = known[chunk[:-1]] + self.marks[chunk[-1]]
+        for at in range(0, len(mixed), 5_000):
+            part = mixed[at : at + 5_000]
+            ids = self._whole("\n".join([blank + c for c in part]))
             ends = [*np.flatnonzero(ids == self.line_id).tolist(), len(ids)]
             if len(ends) != len(part):
                 raise ValueError("the tokenizer joined a line end with a chunk")
-            known.update((c, ids[a:b].tobytes()) for c, a, b in zip(part, [0, *[e + 1 for e in ends[:-1]]], ends))
+            flat = ids.tobytes()
+            known.update(zip(part, (flat[4 * a : 4 * b] for a, b in zip([0, *[e + 1 for e in ends[:-1]]], ends))))
 
     def encode(self, texts: list[str], end_id: int) -> list[np.ndarray]:
         """Ids of each text followed by ``end_id``."""
-        if len(self.first) + len(self.later) > KNOWN_CHUNKS:
-            self.first.clear()
-            self.later.clear()
-        split = [None if _WIDE_GAP.search(t) else t.split(" ") for t in texts]
-        heads = {parts[0] for parts in split if parts} - self.first.keys()
-        self._learn(self.first, heads, "")
+        first, later = self.first, self.later
+        if len(first) + len(later) > KNOWN_CHUNKS:
+            first.clear()
+            later.clear()
+        split = [[line.split(" ") for line in t.split("\n")] for t in texts]
+        heads: set[str] = set()
         tails: set[str] = set()
-        for parts in split:
-            if parts:
+        for lines in split:
+            for parts in lines:
+                heads.add(parts[0])
                 tails.update(parts[1:])
-        tails.difference_update(self.later)
-        self._learn(self.later, tails, " ")
-        end = np.array([end_id], np.int32).tobytes()
+        self._learn(first, heads - first.keys(), "")
+        self._learn(later, tails - later.keys(), " ")
+        line_end = np.array([self.line_id], np.int32).tobytes()
+        end = np.array([end_id], np.int32)
         out = []
-        for text, parts in zip(texts, split):
-            if parts is None:
-                ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
-                out.append(np.array([*ids, end_id], np.int32))
-            else:
-                ids = b"".join((self.first[parts[0]], *map(self.later.__getitem__, parts[1:]), end))
-                out.append(np.frombuffer(ids, np.int32))
+        for text, lines in zip(texts, split):
+            try:
+                ids = line_end.join([b"".join((first[parts[0]], *map(later.__getitem__, parts[1:]))) for parts in lines])
+                known = np.frombuffer(ids, np.int32)
+            except TypeError:  # a chunk that does not stand alone
+                known = self._whole(text)
+            out.append(np.concatenate((known, end)))
         return out
 
 
