@@ -298,12 +298,14 @@ def mixed(docs: DataFrame, rates: DataFrame, key: str = "doc_id", repeat: bool =
     largest of its rates; keys without a rate, null ones too, are kept once.
     """
     names = docs.columns
-    rate = rates.groupBy(F.col(key).alias("_k")).agg(F.max("rate").alias("_rate"))
-    joined = docs.join(rate, F.col(key) == F.col("_k"), "left").withColumn("_rate", F.coalesce("_rate", F.lit(1.0)))
+    packed = docs.select(F.col(key).alias("_k"), F.struct(*[F.col(f"`{n}`") for n in names]).alias("_row"))
+    rate = rates.groupBy(F.col(key).alias("_k")).agg(F.max("rate").alias("_rate")).where("_k is not null")
+    joined = packed.join(rate, "_k", "left").withColumn("_rate", F.coalesce("_rate", F.lit(1.0)))
+    back = [F.col("_row").getField(n).alias(n) for n in names]
     if not repeat:
-        return joined.where(chance(key) < F.col("_rate")).select(*names)
-    copies = F.floor("_rate") + F.when(chance(key) < F.col("_rate") - F.floor("_rate"), 1).otherwise(0)
-    return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select(*names)
+        return joined.where(chance("_k") < F.col("_rate")).select(*back)
+    copies = F.floor("_rate") + F.when(chance("_k") < F.col("_rate") - F.floor("_rate"), 1).otherwise(0)
+    return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select(*back)
 
 
 def label_domain() -> Column:
