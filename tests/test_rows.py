@@ -81,6 +81,30 @@ def test_page(people):
     assert (info["totalCount"], info["totalPages"], info["hasNext"], info["hasPrevious"]) == (3, 2, False, True)
 
 
+def test_pages_out_of_range_are_refused(people):
+    for page, size in ((0, 10), (1, 0), (1, 500)):
+        with pytest.raises(TransformError):
+            q.page_rows(people, ["age"], page=page, page_size=size)
+
+
+def test_loose_keys_are_exact(spark):
+    rows = [(2**53, "9007199254740992", 1.0, 10), (2**53 + 1, "9007199254740993.0", 1e20, 10), (1, " 1.50 ", 1.5, 3), (0, "-0", -0.0, 0)]
+    df = spark.createDataFrame(rows, "n long, s string, d double, k long")
+    types = {f.name: f.dataType for f in df.schema}
+    keys = df.select(*[loose_key(F.col(c), types[c]).alias(c) for c in "nsdk"]).collect()
+    assert keys[0]["n"] == keys[0]["s"] != keys[1]["n"] == keys[1]["s"]
+    assert keys[2]["s"] == keys[2]["d"] and keys[3]["n"] == keys[3]["s"] == keys[3]["d"]
+    assert keys[2]["n"] == keys[0]["d"]
+
+
+def test_row_index_takes_variants_and_leaves_settings_alone(spark):
+    setting = "pandas_on_Spark.compute.default_index_cache"
+    before = spark.conf.get(setting, None)
+    df = spark.range(5).select("id", F.parse_json(F.lit("[1]")).alias("v"))
+    assert [r["index"] for r in with_row_index(df, F.desc("id")).orderBy("id").collect()] == [4, 3, 2, 1, 0]
+    assert spark.conf.get(setting, None) == before
+
+
 def test_row_index_is_the_sort_position(spark):
     df = spark.range(0, 1000, 1, 7).withColumn("k", F.expr("pmod(id * 7919, 1000)"))
     wrong = with_row_index(df, "k").where("index <> k").count()

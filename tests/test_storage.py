@@ -1,5 +1,6 @@
 """Scans and sinks on small files."""
 
+import gzip
 import io
 import os
 import tarfile
@@ -104,14 +105,32 @@ def test_whole_text_binary_and_size_guard(spark, tmp_path):
     whole = files.read_whole_text(spark, folder)
     assert {r["content"] for r in whole.collect()} == {"one\ntwo", "x" * 100}
     assert files.read_lines(spark, folder).count() == 3
-    kept = files.read_binary(spark, folder, max_size=50, on_large="skip")
-    assert kept.count() == 1
-    assert "LessThanOrEqual(length,50)" in kept._jdf.queryExecution().executedPlan().toString()
-    with pytest.raises(PySparkException, match="larger than 50 bytes"):
-        files.read_binary(spark, folder, max_size=50).collect()
+    assert files.read_binary(spark, folder, max_size=100).count() == 2
+    with pytest.raises(TransformError, match="b.txt has 100 bytes, more than 50"):
+        files.read_binary(spark, folder, max_size=50)
     listed = files.list_files(spark, folder, pattern="*.txt", prefix="b")
     assert [r["size"] for r in listed.collect()] == [100]
-    assert files.list_files(spark, folder, max_keys=1).count() == 1
+    first = files.list_files(spark, folder, max_keys=1).collect()
+    assert [(r["key"], r["truncated"]) for r in first] == [("a.txt", True)]
+
+
+def test_listing_has_every_file_and_takes_prefixes_of_whole_keys(spark, tmp_path):
+    for i in range(1200):
+        put(tmp_path, f"n{i:04}.txt", "x")
+    (tmp_path / "logs" / "a").mkdir(parents=True)
+    put(tmp_path / "logs" / "a", "one.txt", "x")
+    folder = str(tmp_path)
+    assert files.list_files(spark, folder).count() == 1201
+    assert [r["key"] for r in files.list_files(spark, f"file://{folder}/", prefix="logs/").collect()] == ["logs/a/one.txt"]
+
+
+def test_single_gzip_files_and_bounded_members(spark, tmp_path):
+    (tmp_path / "a.txt.gz").write_bytes(gzip.compress(b"hello" * 100))
+    got = files.read_archives(spark, str(tmp_path)).first()
+    assert (got["member"], got["size"]) == ("a.txt", 500)
+    with pytest.raises(PySparkException, match="more than 100 bytes"):
+        files.read_archives(spark, str(tmp_path), max_member=100).collect()
+    assert files.read_archives(spark, str(tmp_path), kind="gzip").count() == 1
 
 
 def test_archives(spark, tmp_path):

@@ -98,6 +98,20 @@ def test_for_each(spark):
         scripts.for_each(df, lambda i: 1, "int", max_items=1)
 
 
+def test_for_each_passes_columns_through_unchanged(spark):
+    import datetime as dt
+    from decimal import Decimal
+
+    at = dt.datetime(2024, 1, 2, 3, 4, 5, 678901)
+    rows = [(2**53 + 1, Decimal("12345678901234567890.123456789"), at), (None, None, None), (5, Decimal("1"), at)]
+    df = spark.createDataFrame(rows, "n long, d decimal(38,9), t timestamp")
+    got = scripts.for_each(df, lambda i: i["n"], "long", parallelism=3, position="at").orderBy("at").collect()
+    assert [(r["n"], r["d"], r["t"]) for r in got] == rows
+    assert [r["result"] for r in got] == [2**53 + 1, None, 5]
+    bad = scripts.for_each(df, lambda i: "text", "long").collect()
+    assert all(r["result"] is None and r["_error"] for r in bad)
+
+
 def test_typed_query_and_preview(spark):
     tables = {"t": spark.range(10)}
 
@@ -154,6 +168,19 @@ def test_stream_goes_on_where_it_stopped(spark, small):
     assert first["started"] < second["started"]
 
 
+def test_feeds_of_a_folder_and_of_a_file_are_alike(spark, small, tmp_path):
+    from weftframe.plans import QUERIES
+
+    events = spark.read.parquet(f"{small}/events.parquet")
+    events.repartition(4).write.parquet(f"{tmp_path}/events.parquet")
+    for name in ("stream_counters", "stream_active", "stream_state_counts"):
+        assert QUERIES[name](spark, str(tmp_path)).collect() == QUERIES[name](spark, small).collect()
+    with pytest.raises(PySparkException):
+        feed.read_table_feed(spark, f"{tmp_path}/nothing.parquet")
+    few = spark.createDataFrame([("started",), ("completed",), ("failed",)], "kind string")
+    assert feed.active_gauge(feed.lifecycle_counters(few)).first()["active"] == 0
+
+
 def test_stream_without_events_is_empty(spark, small):
     events = spark.read.parquet(f"{small}/events.parquet")
     folder = scratch_path(spark, "none")
@@ -175,10 +202,10 @@ def test_feed_sorting(spark):
     assert ids() == [1, 2, 3]
     assert ids(sort="Duration") == [3, 1, 2]
     assert ids(sort="State", descending=False) == [2, 3, 1]
-    assert ids(sort="Workflow") == [3, 2, 1]
+    assert ids(sort="Key") == [3, 2, 1]
     assert ids(min_duration=6) == [3]
     with pytest.raises(TransformError):
-        feed.filter_feed(states, sort="Workflow")
+        feed.filter_feed(states, sort="Key")
 
 
 def test_state_rules(spark):

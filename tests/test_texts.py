@@ -261,3 +261,12 @@ def test_html_decoder_agrees_with_python(spark):
     samples = ["&nbsp;&copy;", "&unknown;", "&#65;&#x41;", "plain", "&amp;lt;", "&apos;"]
     df = spark.createDataFrame([(s,) for s in samples], "s string")
     assert [r[0] for r in df.select(strings.html_decode("s")).collect()] == [html.unescape(s) for s in samples]
+
+
+def test_empty_value_groups_and_exact_json_numbers(spark):
+    from weftframe.functions import jsontext, xmltext
+
+    df = spark.createDataFrame([("k=;", '{"a":1e999,"b":1}', '{"b":12345678901234567890.123}', "<a><b id='1'>x</b><b>y</b></a>")], "t string, j string, p string, x string")
+    assert df.select(*jsontext.extract_patterns(F.col("t"), {"v": "k=(?<value>[^;]*);"})).first()["v"] == ""
+    assert jsontext._dump(jsontext.merged(jsontext._load('{"a":1e999,"b":1}'), jsontext._load('{"b":12345678901234567890.123}'))) == '{"a":1e999,"b":12345678901234567890.123}'
+    assert df.select(xmltext.xml_path(F.col("x"), "/a/b[@id='1']").alias("v")).first()["v"] == ["x"]

@@ -138,11 +138,22 @@ def numeric_of(df: DataFrame, spec: str | Column) -> Column:
 
 def loose_key(column: Column, dtype: T.DataType) -> Column:
     """A text key under which ``"1"``, ``"1.0"``, 1 and 1.0 are the same value."""
+    if isinstance(dtype, T.IntegralType):
+        return F.concat(F.lit("n:"), column.cast("string"))
     number = numeric(column, dtype)
+    if isinstance(dtype, T.VariantType):
+        text = F.try_variant_get(column, "$", "string")
+    else:
+        text = column.cast("string")
+    text = F.btrim(text, F.lit(WHITE_SPACE))
+    # exact where the number has a plain decimal form; doubles only beyond
+    plain = text.rlike(r"^[+-]?0*\d{1,20}(\.\d{1,18}0*)?$")
+    exact = F.coalesce(F.when(plain, text.try_cast("decimal(38,18)")), number.try_cast("decimal(38,18)"))
+    exact = F.when(plain | (exact.cast("double") == number), exact)
+    digits = F.regexp_replace(F.regexp_replace(exact.cast("string"), r"0+$", ""), r"\.$", "")
     # adding zero folds -0.0 into 0.0
-    return F.when(number.isNotNull(), F.concat(F.lit("n:"), (number + F.lit(0.0)).cast("string"))).otherwise(
-        F.concat(F.lit("s:"), column.cast("string"))
-    )
+    shown = F.coalesce(F.when(exact == 0, F.lit("0")).otherwise(digits), (number + F.lit(0.0)).cast("string"))
+    return F.when(number.isNotNull(), F.concat(F.lit("n:"), shown)).otherwise(F.concat(F.lit("s:"), column.cast("string")))
 
 
 def truth(column: Column, dtype: T.DataType) -> Column:

@@ -118,11 +118,24 @@ def extract_patterns(text: Column, outputs: Mapping[str, str]) -> list[Column]:
             continue
         whole = F.regexp_extract(text, pattern, 0)
         value = F.regexp_extract(text, pattern, group)
-        picked = value if group == 0 else F.when(value != "", value).otherwise(whole)
+        picked = value if group == 0 or _takes_part(pattern) else F.when(value != "", value).otherwise(whole)
         columns.append(F.when((text != "") & text.rlike(pattern), picked).alias(name))
     return columns
 
 
+def _takes_part(pattern: str) -> bool:
+    """Whether the group ``value`` is in every match: no choice, and nothing optional, around it."""
+    if "|" in pattern:
+        return False
+    depth, at = 0, pattern.index("(?<value>")
+    for i in range(at, len(pattern)):
+        escaped = i > 0 and pattern[i - 1] == "\\"
+        depth += 0 if escaped else (pattern[i] == "(") - (pattern[i] == ")")
+        if pattern[i] == ")" and not escaped and depth <= 0 and pattern[i + 1 : i + 2] in ("?", "*", "{"):
+            return False
+    return True
+
+
 def extract_keys(headers: Column, outputs: Mapping[str, str]) -> list[Column]:
     """One column per output from a string map, ignoring the case of keys."""
     folded = F.transform_keys(headers, lambda k, _: F.lower(k))
@@ -132,11 +145,35 @@ def extract_keys(headers: Column, outputs: Mapping[str, str]) -> list[Column]:
 # --- whole-document helpers; Spark calls them on Arrow batches ---------------
 
 
+class _Number(float):
+    """A JSON number that keeps the digits it was written with."""
+
+    def __new__(cls, digits: str):
+        number = super().__new__(cls, digits)
+        number.digits = digits
+        return number
+
+    def __repr__(self) -> str:
+        return self.digits
+
+    def __reduce__(self):
+        return _Number, (self.digits,)
+
+
 def _load(text: str | None) -> Any:
-    return None if text is None else json.loads(text)
+    return None if text is None else json.loads(text, parse_float=_Number)
+
+
+def _dump(value: Any) -> str:
+    """JSON text; numbers with a fraction or exponent as they were written."""
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{_text(str(k))}:{_dump(v)}" for k, v in value.items()) + "}"
+    if isinstance(value, (list, tuple)):
+        return "[" + ",".join(map(_dump, value)) + "]"
+    return value.digits if isinstance(value, _Number) else _text(value)
 
 
-_dump = json.JSONEncoder(ensure_ascii=False, separators=(",", ":")).encode
+_text = json.JSONEncoder(ensure_ascii=False, allow_nan=False).encode
 
 
 def merged(target: Any, patch: Any) -> Any:

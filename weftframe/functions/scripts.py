@@ -9,8 +9,11 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from weftframe.expressions import TransformError
 from weftframe.sources.catalog import sample_rows
@@ -85,41 +88,52 @@ def for_each(
     on_error: str = "capture",
     max_items: int | None = None,
     parallelism: int | None = None,
+    position: str | None = None,
 ) -> DataFrame:
     """Call ``body`` per row; adds ``result`` and ``_error``.
 
-    ``capture`` leaves a null result and the message for a failed row,
-    ``fail`` aborts the job. More rows than ``max_items`` are refused before
-    anything runs. ``parallelism`` spreads the rows over that many tasks.
+    The rows' own columns pass through unchanged, and ``body`` gets them as exact
+    Python values. ``capture`` leaves a null result and the message for a failed
+    row, ``fail`` aborts the job. More rows than ``max_items`` are refused before
+    anything runs. ``parallelism`` spreads the rows over that many tasks;
+    ``position`` names a column that sorts the results in input order.
     """
     if max_items is not None and df.limit(max_items + 1).count() > max_items:
         raise TransformError(f"more than {max_items} items")
+    if position:
+        df = df.withColumn(position, F.monotonically_increasing_id())
     rows = df.repartition(parallelism) if parallelism else df
-    schema = T.StructType(
-        [
-            *df.schema.fields,
-            T.StructField("result", _parse_type(df.sparkSession, result_type)),
-            T.StructField("_error", T.StringType()),
-        ]
+    added = T.StructType(
+        [T.StructField("result", _parse_type(df.sparkSession, result_type)), T.StructField("_error", T.StringType())]
     )
+    result_arrow = to_arrow_type(added["result"].dataType)
 
     def call(record: dict[str, Any]) -> tuple[Any, str | None]:
+        record.pop(position, None)
         try:
-            return body(record), None
+            value = body(record)
+            if isinstance(value, float) and value.is_integer() and pa.types.is_integer(result_arrow):
+                value = int(value)
+            pa.scalar(value, result_arrow)
+            return value, None
         except Exception as failure:
             if on_error == "fail":
                 raise
             return None, f"{type(failure).__name__}: {failure}"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            outcomes = [call(record) for record in batch.to_dict("records")]
-            yield batch.assign(
-                result=pd.Series([r for r, _ in outcomes], index=batch.index, dtype="object"),
-                _error=pd.Series([e for _, e in outcomes], index=batch.index, dtype="object"),
+            outcomes = [call(record) for record in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *batch.columns,
+                    pa.array([r for r, _ in outcomes], result_arrow),
+                    pa.array([e for _, e in outcomes], pa.string()),
+                ],
+                names=[*batch.schema.names, "result", "_error"],
             )
 
-    return rows.mapInPandas(run, schema)
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *added.fields]))
 
 
 def _parse_type(spark: SparkSession, text: str) -> T.DataType:
@@ -169,9 +183,9 @@ def preview(
     generated: bool = True,
 ) -> DataFrame:
     """The query over generated rows of each table's schema, or over its first
-    rows. Nothing is written."""
+    rows in the order of its columns. Nothing is written."""
     samples = {
-        name: sample_rows(df.sparkSession, df.schema, rows) if generated else df.limit(rows)
+        name: sample_rows(df.sparkSession, df.schema, rows) if generated else df.orderBy(*df.columns).limit(rows)
         for name, df in tables.items()
     }
     return typed_query(query, samples, inputs)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from typing import Any
 from xml.etree import ElementTree
@@ -28,7 +29,8 @@ def refuse_doctype(xml: Column, on_error: str = "fail") -> Column:
 
 def xml_path(xml: Column, path: str, required: bool = False, on_error: str = "fail") -> Column:
     """Text of every node at an XPath, as an array."""
-    steps = path if path.endswith(("text()",)) or "@" in path.rsplit("/", 1)[-1] else f"{path}/text()"
+    last = re.sub(r"\[[^\]]*\]", "", path).rsplit("/", 1)[-1]
+    steps = path if last == "text()" or last.startswith("@") else f"{path}/text()"
     found = F.xpath(refuse_doctype(xml, on_error), F.lit(steps))
     if not required:
         return found

@@ -28,14 +28,8 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], version: Sequence[str | C
 
 def first_steps(df: DataFrame, run: Sequence[str], order_by: Sequence[str], step: int) -> DataFrame:
     """The rows of every run up to a zero-based step; the step is clamped to
-    the run. A large step falls back on the distributed index."""
-    if step < 0:
-        step = 0
-    if step < 1000:
-        spec = Window.partitionBy(*run).orderBy(*order_by)
-        ranked = df.withColumn("_rn", F.row_number().over(spec)).where(F.col("_rn") <= step + 1)
-        return ranked.withColumn("step", F.col("_rn") - 1).drop("_rn")
-    return with_group_index(df, run, order_by, "step").where(F.col("step") <= step)
+    the run. Positions come from the distributed index, for runs of any length."""
+    return with_group_index(df, run, order_by, "step").where(F.col("step") <= max(step, 0))
 
 
 def next_versions(

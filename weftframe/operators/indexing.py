@@ -12,6 +12,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.pandas.internal import InternalFrame
 
 from weftframe.expressions import TransformError, mentions
 
@@ -30,11 +31,20 @@ def with_row_index(df: DataFrame, order_by=None, name: str = "index") -> DataFra
     positions must be the same on every run. Without an order the rows are
     numbered as the scan delivers them, which costs no shuffle.
     """
-    # Number straight from the sorted shuffle files instead of caching a copy.
-    df.sparkSession.conf.set("pandas_on_Spark.compute.default_index_cache", '"NONE"')
     ordered = df if order_by is None else df.orderBy(*_keys(order_by))
-    numbered = ordered.pandas_api().to_spark(index_col=name)
-    return numbered.select(*df.columns, name)
+    # number straight from the sorted shuffle files instead of caching a copy
+    setting = "pandas_on_Spark.compute.default_index_cache"
+    before = df.sparkSession.conf.get(setting, None)
+    df.sparkSession.conf.set(setting, '"NONE"')
+    try:
+        numbered = InternalFrame.attach_distributed_sequence_column(ordered, name)
+        numbered.schema  # analysed while the setting holds
+    finally:
+        if before is None:
+            df.sparkSession.conf.unset(setting)
+        else:
+            df.sparkSession.conf.set(setting, before)
+    return numbered.select(*[F.col(f"`{c}`") for c in df.columns], name)
 
 
 def with_group_index(df: DataFrame, keys: Sequence[str], order_by, name: str = "index") -> DataFrame:

@@ -155,8 +155,9 @@ class Page:
 def page_rows(df: DataFrame, order: list[Column | str], page: int = 1, page_size: int = 50) -> Page:
     """One page plus a one-row frame with the page arithmetic."""
     # Pages start at 1 and hold 1 to 200 rows.
-    number = max(page, 1)
-    size = min(max(page_size, 1), 200)
+    if page < 1 or not 1 <= page_size <= 200:
+        raise TransformError(f"page {page} of {page_size} rows: pages start at 1 and hold 1 to 200 rows")
+    number, size = page, page_size
     items = slice_rows(df, order, (number - 1) * size, size)
     total_pages = F.ceil(F.col("totalCount") / F.lit(size)).cast("long")
     info = (

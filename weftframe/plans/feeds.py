@@ -14,7 +14,7 @@ STATE_SQL = """CASE event_type WHEN 'purchase' THEN 'Completed' WHEN 'error' THE
 
 
 def _stream(spark, t):
-    events = feed.read_feed(spark, t.folder, t.events.schema, pattern="events.parquet")
+    events = feed.read_table_feed(spark, f"{t.folder}/events.parquet")
     return feed.with_kind(events, KINDS)
 
 
@@ -66,12 +66,11 @@ def stream_counters(spark, t):
 
 @query(
     "stream_active",
-    f"""SELECT count(*) FILTER (state = 'Running') AS active FROM
-        (SELECT user_id, {STATE_SQL} AS state FROM events
-         QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)""",
+    """SELECT greatest(count(*) FILTER (event_type = 'signup') - count(*) FILTER (event_type IN ('purchase', 'error')), 0)
+              AS active FROM events""",
 )
 def stream_active(spark, t):
-    return feed.active_gauge(feed.fold_stream(_stream(spark, t), _latest, ["user_id"]))
+    return feed.active_gauge(feed.fold_stream(_stream(spark, t), feed.lifecycle_counters, []))
 
 
 @query("stream_node_state", NODES_SQL)

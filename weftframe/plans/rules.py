@@ -33,7 +33,7 @@ def _errors(df, key, rule):
 
 @query(
     "dq_required",
-    _oracle("customer", "c_custkey", "segment", "required", "is required", f"({SEGMENT}) <> ''"),
+    _oracle("customer", "c_custkey", "segment", "required", "no value given", f"({SEGMENT}) <> ''"),
 )
 def dq_required(spark, t):
     return _errors(_segments(t), "c_custkey", {"field": "segment", "rule": "required"})
@@ -41,8 +41,8 @@ def dq_required(spark, t):
 
 @query(
     "dq_type",
-    """SELECT event_id, 'k' AS field, 'type' AS rule, 'must be of type date' AS message FROM events
-       UNION ALL SELECT event_id, 'event_type', 'type', 'must be of type number' FROM events""",
+    """SELECT event_id, 'k' AS field, 'type' AS rule, 'value is no date' AS message FROM events
+       UNION ALL SELECT event_id, 'event_type', 'type', 'value is no number' FROM events""",
 )
 def dq_type(spark, t):
     source = t.events.withColumn("k", F.concat(F.get_json_object("props", "$.k"), F.lit("!")))
@@ -58,7 +58,7 @@ def dq_type(spark, t):
 @query(
     "dq_minlength",
     _oracle(
-        "customer", "c_custkey", "segment", "minlength", "must be at least 9 characters", f"length({SEGMENT}) >= 9"
+        "customer", "c_custkey", "segment", "minlength", "text shorter than 9", f"length({SEGMENT}) >= 9"
     ),
 )
 def dq_minlength(spark, t):
@@ -67,7 +67,7 @@ def dq_minlength(spark, t):
 
 @query(
     "dq_maxlength",
-    _oracle("documents", "doc_id", "text", "maxlength", "must be at most 1000 characters", "length(text) <= 1000"),
+    _oracle("documents", "doc_id", "text", "maxlength", "text longer than 1000", "length(text) <= 1000"),
 )
 def dq_maxlength(spark, t):
     return _errors(t.documents, "doc_id", {"field": "text", "rule": "maxLength", "value": 1000})
@@ -75,7 +75,7 @@ def dq_maxlength(spark, t):
 
 @query(
     "dq_min",
-    _oracle("customer", "c_custkey", "c_acctbal", "min", "must be >= 0", "c_acctbal >= 0"),
+    _oracle("customer", "c_custkey", "c_acctbal", "min", "number below 0", "c_acctbal >= 0"),
 )
 def dq_min(spark, t):
     return _errors(t.customer, "c_custkey", {"field": "c_acctbal", "rule": "min", "value": 0})
@@ -97,7 +97,7 @@ def dq_max(spark, t):
         "doc_id",
         "text",
         "pattern",
-        "must match pattern ^[A-Z][a-z]+",
+        "text unlike ^[A-Z][a-z]+",
         "regexp_matches(text, '^[A-Z][a-z]+')",
     ),
 )
@@ -110,7 +110,7 @@ EMAIL_TEXT = "lower(c_mktsegment) || CASE WHEN c_acctbal > 0 THEN '@' ELSE ' at
 
 @query(
     "dq_email",
-    f"""SELECT c_custkey, 'mail' AS field, 'email' AS rule, 'must be a valid email' AS message
+    f"""SELECT c_custkey, 'mail' AS field, 'email' AS rule, 'not an email address' AS message
         FROM (SELECT *, {EMAIL_TEXT} AS mail FROM customer)
         WHERE NOT regexp_matches(mail, '^[^@\\s]+@[^@\\s]+\\.[^@\\s]+$')""",
 )
@@ -121,7 +121,7 @@ def dq_email(spark, t):
 
 @query(
     "dq_url",
-    """SELECT page_id, 'link' AS field, 'url' AS rule, 'must be a valid URL' AS message
+    """SELECT page_id, 'link' AS field, 'url' AS rule, 'not a URL' AS message
        FROM pages WHERE url NOT LIKE 'https:%'""",
 )
 def dq_url(spark, t):
@@ -132,7 +132,7 @@ def dq_url(spark, t):
 @query(
     "dq_enum",
     _oracle(
-        "part", "p_partkey", "size", "enum", "must be one of the allowed values", "p_size IN (1, 2, 3, 5, 8, 13, 21)"
+        "part", "p_partkey", "size", "enum", "value outside the list", "p_size IN (1, 2, 3, 5, 8, 13, 21)"
     ),
 )
 def dq_enum(spark, t):
@@ -147,7 +147,7 @@ def dq_enum(spark, t):
         "doc_id",
         "lines",
         "minitems",
-        "must have at least 3 items",
+        "fewer than 3 entries",
         "len(string_split(text, chr(10))) >= 3",
     ),
 )
@@ -158,8 +158,8 @@ def dq_minitems(spark, t):
 
 @query(
     "dq_maxitems",
-    _oracle("embeddings", "vec_id", "embedding", "maxitems", "must have at most 8 items", "len(embedding) <= 8")
-    + " UNION ALL SELECT vec_id, 'label', 'maxitems', 'must have at most 8 items' FROM embeddings",
+    _oracle("embeddings", "vec_id", "embedding", "maxitems", "more than 8 entries", "len(embedding) <= 8")
+    + " UNION ALL SELECT vec_id, 'label', 'maxitems', 'more than 8 entries' FROM embeddings",
 )
 def dq_maxitems(spark, t):
     rules = [{"field": f, "rule": "maxItems", "value": 8} for f in ("embedding", "label")]
@@ -173,7 +173,7 @@ def dq_maxitems(spark, t):
         "event_id",
         "value",
         "custom",
-        "failed custom validation",
+        "condition does not hold",
         "value < 100 AND event_type <> 'error'",
     ),
 )

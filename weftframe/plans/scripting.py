@@ -93,7 +93,7 @@ def fanout_items(spark, t):
     def work(item):
         return item["p_size"] + 1
 
-    done = scripts.for_each(t.part.select("p_partkey", "p_size"), work, "int", on_error="fail", parallelism=4)
+    done = scripts.for_each(t.part.select("p_partkey", "p_size"), work, "int", on_error="fail")
     return done.select("p_partkey", "result")
 
 
@@ -111,7 +111,10 @@ def typed_query(spark, t):
     return scripts.typed_query(large_orders, tables, {"least": 300000.0}, {"least": "double"})
 
 
-@query("preview")
+@query(
+    "preview",
+    """SELECT c_mktsegment, count(*) AS n FROM (SELECT * FROM customer ORDER BY ALL NULLS FIRST LIMIT 20) GROUP BY 1""",
+)
 def preview(spark, t):
     def per_segment(tables):
         return tables["customer"].groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftframe.operators.routing import run_sql
+from weftframe.expressions import TransformError
 from weftframe.plans.registry import query
 from weftframe.session import scratch_path
 from weftframe.sources import catalog, files, sinks
@@ -169,11 +170,20 @@ def binary_scan(spark, t):
     return files.read_binary(spark, _write_documents(spark, t), LARGE_TEXT).agg(F.sum(F.length("content")).alias("bytes"))
 
 
-@query("scan_size_guard", "SELECT CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS bytes FROM documents")
+@query(
+    "scan_size_guard",
+    "SELECT CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS bytes, true AS refused FROM documents",
+)
 def scan_size_guard(spark, t):
-    """Files above the limit would be left out; the filter reaches the scan."""
+    """All bytes below a limit that every file keeps, and whether a limit that one exceeds is refused."""
     path = _write_documents(spark, t)
-    return files.read_binary(spark, path, LARGE_TEXT, on_large="skip").agg(F.sum("size").alias("bytes"))
+    try:
+        files.read_binary(spark, path, max_size=1)
+        refused = False
+    except TransformError:
+        refused = True
+    sizes = files.read_binary(spark, path, LARGE_TEXT).agg(F.sum("size").alias("bytes"))
+    return sizes.withColumn("refused", F.lit(refused))
 
 
 @query("save_modes", "SELECT 2 * count(*) AS rows FROM supplier")
@@ -233,13 +243,24 @@ def archive_members(spark, t):
 
 @query(
     "object_listing",
-    """SELECT name || '.parquet' AS name, true AS filled FROM (VALUES ('region'), ('nation'), ('customer'), ('supplier'),
-         ('part'), ('orders'), ('lineitem'), ('events'), ('documents'), ('embeddings'), ('pages'), ('benchmark'),
-         ('labels'), ('conversations')) AS t(name)""",
+    """SELECT o_orderpriority AS priority, count(*) AS rows, true AS filled FROM orders
+       WHERE o_orderpriority LIKE '1%' OR o_orderpriority LIKE '2%' GROUP BY 1""",
 )
 def object_listing(spark, t):
-    listed = files.list_files(spark, t.folder, pattern="*.parquet")
-    return listed.select(F.element_at(F.split("key", "/"), -1).alias("name"), (F.col("size") > 0).alias("filled"))
+    """The files of two partitions by key prefix, and the rows that those files hold."""
+    path = scratch_path(spark, "listing")
+    t.orders.write.partitionBy("o_orderpriority").parquet(path)
+    listed = files.list_files(spark, path, prefix="o_orderpriority=1").unionByName(
+        files.list_files(spark, path, prefix="o_orderpriority=2")
+    )
+    name = F.element_at(F.split("key", "/"), -1)
+    rows = spark.read.parquet(path).groupBy(
+        F.element_at(F.split(F.input_file_name(), "/"), -1).alias("name"), F.col("o_orderpriority").alias("priority")
+    ).agg(F.count(F.lit(1)).alias("n"))
+    folder = F.split("key", "/")[0]
+    found = listed.select(name.alias("name"), F.substring(folder, len("o_orderpriority=") + 1, 100).alias("priority"), "size")
+    joined = found.join(rows, ["name", "priority"])
+    return joined.groupBy("priority").agg(F.sum("n").alias("rows"), F.min(F.col("size") > 0).alias("filled"))
 
 
 @query(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -37,11 +38,13 @@ def build_session(app_name: str = "weftframe", master: str | None = None, **sett
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the folder named by ``spark.checkpoint.dir``.
 
-    A cluster must name a folder every executor can reach. Only where nothing
-    is named (a laptop, a test) is a temporary folder made and remembered.
+    A cluster must name a folder that every executor can reach, else this is an
+    error. Only in local mode is a temporary folder made and remembered.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="weftframe-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/weftframe-{label}-{uuid.uuid4().hex}"

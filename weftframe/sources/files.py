@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gzip
 import io
 import os
+import re
 import tarfile
 import zipfile
 from collections.abc import Iterator
@@ -31,8 +33,6 @@ ENCODINGS = {
     "latin-1": "ISO-8859-1",
     "iso-8859-1": "ISO-8859-1",
 }
-# Fixed value: the default size above which a file is not read.
-DEFAULT_MAX_SIZE = 16 * 1024 * 1024
 _SPARE_CELLS = 16
 
 
@@ -140,9 +140,9 @@ def read_xml(
     return reader.load(path)
 
 
-def read_xml_nodes(spark: SparkSession, path: str, xpath: str, max_size: int = DEFAULT_MAX_SIZE) -> DataFrame:
+def read_xml_nodes(spark: SparkSession, path: str, xpath: str, max_size: int | None = None) -> DataFrame:
     """The text of every node at an XPath, one row per node and file. A file is
-    read whole, so it has to be below ``max_size``."""
+    read whole by one task; ``max_size`` bounds it."""
     whole = read_whole_text(spark, path, max_size)
     return whole.select("path", F.explode(xml_path(F.col("content"), xpath)).alias("value"))
 
@@ -178,48 +178,56 @@ def read_lines(spark: SparkSession, path: str, encoding: str | None = None) -> D
 
 
 def read_whole_text(
-    spark: SparkSession, path: str, max_size: int = DEFAULT_MAX_SIZE, encoding: str | None = None
+    spark: SparkSession, path: str, max_size: int | None = None, encoding: str | None = None
 ) -> DataFrame:
     """One row per file: ``path, content, size, lastModified``.
 
-    Files above ``max_size`` fail the job before their content is kept.
+    A file above ``max_size`` is an error before any content is read.
     """
     files = read_binary(spark, path, max_size)
     return files.select("path", F.decode("content", encoding_name(encoding)).alias("content"), "size", "lastModified")
 
 
-def read_binary(
-    spark: SparkSession, path: str, max_size: int | None = DEFAULT_MAX_SIZE, on_large: str = "fail"
-) -> DataFrame:
+def read_binary(spark: SparkSession, path: str, max_size: int | None = None) -> DataFrame:
     """One row per file with its bytes, size and time of change.
 
-    ``on_large='skip'`` leaves files above ``max_size`` unread (the filter
-    reaches the scan); ``'fail'`` aborts on the first one.
+    With ``max_size`` the sizes are looked at first, in a pass that reads no
+    content; a larger file is an error that names it. No file is ever left out.
     """
     files = spark.read.format("binaryFile").load(path)
-    if max_size is not None and on_large == "skip":
-        files = files.where(F.col("length") <= max_size)
-    elif max_size is not None:
-        too_large = F.raise_error(F.concat(F.col("path"), F.lit(f" is larger than {max_size} bytes"))).cast("binary")
-        files = files.withColumn("content", F.when(F.col("length") <= max_size, F.col("content")).otherwise(too_large))
+    if max_size is not None:
+        large = files.where(F.col("length") > max_size).select("path", "length").first()
+        if large is not None:
+            raise TransformError(f"{large['path']} has {large['length']} bytes, more than {max_size}")
     return files.select(
         "path", "content", F.col("length").alias("size"), F.col("modificationTime").alias("lastModified")
     )
 
 
 def list_files(
-    spark: SparkSession, path: str, pattern: str | None = None, prefix: str | None = None, max_keys: int = 1000
+    spark: SparkSession, path: str, pattern: str | None = None, prefix: str | None = None, max_keys: int | None = None
 ) -> DataFrame:
-    """The first ``max_keys`` files below ``path`` in key order, unread."""
+    """The files below a folder in key order, unread.
+
+    A key is the file's path below the folder; ``prefix`` is compared with the
+    whole key. With ``max_keys`` only so many come, and ``truncated`` tells
+    whether there are more.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    files = reader.load(path).select(
-        F.col("path").alias("key"), F.col("length").alias("size"), F.col("modificationTime").alias("lastModified")
+    root = re.sub("^file:/*", "/", path).rstrip("/") + "/"
+    listed = reader.load(path)
+    key = F.expr("substring(path, locate(root, path) + length(root))")
+    files = listed.withColumn("root", F.lit(root)).select(
+        key.alias("key"), F.col("length").alias("size"), F.col("modificationTime").alias("lastModified")
     )
     if prefix:
-        files = files.where(F.element_at(F.split("key", "/"), -1).startswith(prefix))
-    return files.orderBy("key").limit(max_keys)
+        files = files.where(F.col("key").startswith(prefix))
+    ordered = files.orderBy("key")
+    if max_keys is None:
+        return ordered
+    return ordered.limit(max_keys).withColumn("truncated", F.lit(files.count() > max_keys))
 
 
 # --- archives ----------------------------------------------------------------
@@ -231,7 +239,7 @@ ARCHIVE_SCHEMA = "archive string, member string, size bigint, content binary, un
 
 
 def archive_format(path: str) -> str:
-    """zip, tar or targz, by extension."""
+    """zip, tar, targz or gzip (a single file), by extension."""
     lowered = path.lower()
     if lowered.endswith((".tar.gz", ".tgz")):
         return "targz"
@@ -239,6 +247,8 @@ def archive_format(path: str) -> str:
         return "tar"
     if lowered.endswith(".zip"):
         return "zip"
+    if lowered.endswith(".gz"):
+        return "gzip"
     raise TransformError(f"cannot tell the archive format of '{path}'")
 
 
@@ -255,26 +265,49 @@ def escapes_root(member: str) -> bool:
     return False
 
 
-def _members(path: str, content: bytes) -> Iterator[tuple[str, bytes]]:
-    kind = archive_format(path)
+def _bounded(reader, member: str, most: int | None) -> bytes:
+    """What a reader gives; more than ``most`` bytes are an error, not a full memory."""
+    body = reader.read() if most is None else reader.read(most + 1)
+    if most is not None and len(body) > most:
+        raise TransformError(f"member '{member}' has more than {most} bytes")
+    return body
+
+
+def _members(path: str, content: bytes, kind: str | None, most: int | None) -> Iterator[tuple[str, bytes]]:
+    kind = kind or archive_format(path)
+    if kind == "gzip":
+        name = path.rpartition("/")[2].removesuffix(".gz")
+        with gzip.GzipFile(fileobj=io.BytesIO(content)) as reader:
+            yield name, _bounded(reader, name, most)
+        return
     if kind == "zip":
         with zipfile.ZipFile(io.BytesIO(content)) as archive:
             for info in archive.infolist():
-                if not info.is_dir():
-                    yield info.filename, b"" if escapes_root(info.filename) else archive.read(info)
+                if info.is_dir():
+                    continue
+                if escapes_root(info.filename):
+                    yield info.filename, b""
+                else:
+                    with archive.open(info) as reader:
+                        yield info.filename, _bounded(reader, info.filename, most)
         return
-    mode = "r:gz" if kind == "targz" else "r:"
+    mode = {"targz": "r:gz", "tar": "r:"}.get(kind)
+    if mode is None:
+        raise TransformError(f"unknown archive format '{kind}'")
     with tarfile.open(fileobj=io.BytesIO(content), mode=mode) as archive:
         for info in archive:
             if info.isfile():
                 reader = archive.extractfile(info)
                 unsafe = escapes_root(info.name) or reader is None
-                yield info.name, b"" if unsafe else reader.read()
+                yield info.name, b"" if unsafe else _bounded(reader, info.name, most)
 
 
-def unpack_archives(archives: DataFrame) -> DataFrame:
+def unpack_archives(archives: DataFrame, kind: str | None = None, max_member: int | None = None) -> DataFrame:
     """One row per member of the archives in ``path, content``.
 
+    ``kind`` overrides the extension. A member above ``max_member`` bytes fails the
+    job with its name.
+
     Members that would escape the target folder come empty and ``unsafe``.
     """
 
@@ -284,7 +317,7 @@ def unpack_archives(archives: DataFrame) -> DataFrame:
         for batch in batches:
             held, size = [], 0
             for archive, content in zip(batch["path"], batch["content"]):
-                for member, body in _members(archive, content):
+                for member, body in _members(archive, content, kind, max_member):
                     held.append((archive, member, len(body), body, escapes_root(member)))
                     size += len(body)
                     if size > _BATCH_BYTES or len(held) >= _BATCH_MEMBERS:
@@ -296,6 +329,8 @@ def unpack_archives(archives: DataFrame) -> DataFrame:
     return archives.select("path", "content").mapInPandas(unpack, ARCHIVE_SCHEMA)
 
 
-def read_archives(spark: SparkSession, path: str, max_size: int | None = None) -> DataFrame:
+def read_archives(
+    spark: SparkSession, path: str, max_size: int | None = None, kind: str | None = None, max_member: int | None = None
+) -> DataFrame:
     """Members of the archive files at a path."""
-    return unpack_archives(read_binary(spark, path, max_size))
+    return unpack_archives(read_binary(spark, path, max_size), kind, max_member)

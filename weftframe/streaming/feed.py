@@ -88,9 +88,10 @@ def lifecycle_counters(events: DataFrame) -> DataFrame:
     )
 
 
-def active_gauge(states: DataFrame) -> DataFrame:
-    """How many keys are running, from the latest-state table."""
-    return states.agg(F.greatest(F.count_if(F.col("state") == "Running"), F.lit(0)).alias("active"))
+def active_gauge(counters: DataFrame) -> DataFrame:
+    """Starts minus ends, never below zero, from the lifecycle counters."""
+    ended = F.col("completed") + F.col("failed") + F.col("cancelled")
+    return counters.select(F.greatest(F.col("started") - ended, F.lit(0)).alias("active"))
 
 
 def progress_percent(nodes: DataFrame, run: Sequence[str]) -> DataFrame:
@@ -135,12 +136,12 @@ def filter_feed(
     rows = states
     if min_duration is not None:
         rows = rows.where(F.coalesce(F.col("duration"), F.lit(0.0)) >= min_duration)
-    if sort == "Workflow" and key is None:
-        raise TransformError("sorting by workflow needs the key column")
+    if sort == "Key" and key is None:
+        raise TransformError("sorting by key needs the key column")
     column = {
         "Duration": F.coalesce(F.col("duration"), F.lit(0.0)),
         "State": F.col("state"),
-        "Workflow": F.coalesce(F.col(key).cast("string"), F.lit("")) if key else None,
+        "Key": F.coalesce(F.col(key).cast("string"), F.lit("")) if key else None,
     }.get(sort, F.col("started_at"))
     ties = [F.col(key)] if key else []
     return rows.orderBy(column.desc() if descending else column.asc(), *ties)
@@ -157,6 +158,12 @@ def read_feed(spark: SparkSession, folder: str, schema, pattern: str = "*.parque
     return reader.parquet(folder)
 
 
+def read_table_feed(spark: SparkSession, path: str):
+    """A stream over a parquet table, be it one file or a folder of parts. A missing table is an error."""
+    schema = spark.read.parquet(path).schema
+    return spark.readStream.schema(schema).parquet(f"{path.rstrip('/')}*")
+
+
 def fold_stream(
     stream: DataFrame,
     fold: Callable[[DataFrame], DataFrame],
