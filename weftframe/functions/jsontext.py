@@ -310,19 +310,29 @@ def diff_by_key(left: DataFrame, right: DataFrame, key: str, text: str) -> DataF
     return _explode_with(differing, ["_left", "_right"], ["op", "path", "value"], compare)
 
 
-def flatten_json(df: DataFrame, text: str, separator: str = ".") -> DataFrame:
-    """One row per scalar leaf: the other columns, ``path`` and ``value`` (JSON)."""
+def flatten_json(df: DataFrame, text: str, separator: str = ".", position: str | None = None) -> DataFrame:
+    """One row per scalar leaf: the other columns, ``path`` and ``value`` (JSON).
+
+    ``position`` names a column for the leaf's place in the document.
+    """
 
     def flatten(document: str | None) -> Iterator[tuple]:
-        return () if document is None else ((p, _dump(v)) for p, v in leaves(_load(document), separator))
+        found = () if document is None else leaves(_load(document), separator)
+        return ((p, _dump(v), str(i)) for i, (p, v) in enumerate(found))
 
-    return _explode_with(df, [text], ["path", "value"], flatten)
+    if position is None:
+        return _explode_with(df, [text], ["path", "value"], flatten)
+    flat = _explode_with(df, [text], ["path", "value", position], flatten)
+    return flat.withColumn(position, F.col(position).cast("int"))
 
 
-def unflatten_json(df: DataFrame, keys: list[str], separator: str = ".", name: str = "document") -> DataFrame:
+def unflatten_json(
+    df: DataFrame, keys: list[str], separator: str = ".", name: str = "document", position: str | None = None
+) -> DataFrame:
     """Rows of ``path`` and ``value`` (JSON text) back to one document per key.
 
-    A group is one document, so its size is that of the document it makes.
+    Fields come in the order of ``position``, without it in that of their paths. A
+    group is one document, so its size is that of the document it makes.
     """
 
     @F.pandas_udf("string")
@@ -331,7 +341,7 @@ def unflatten_json(df: DataFrame, keys: list[str], separator: str = ".", name: s
             [_dump(nested(zip(ps, map(_load, vs)), separator)) for ps, vs in zip(paths, values)], dtype="object"
         )
 
-    collected = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("path", "value"))).alias("_pairs"))
+    collected = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*([position] if position else []), "path", "value"))).alias("_pairs"))
     return collected.select(*keys, unflatten("_pairs.path", "_pairs.value").alias(name))
 
 

@@ -414,13 +414,13 @@ def json_flatten(spark, t):
 
 @query(
     "json_unflatten",
-    f"""SELECT event_id, '{{"detail":{{"by":{{"user":' || user_id || '}},"kind":"' || event_type || '"}},"id":'
-        || event_id || ',"items":{{"0":{{"n":' || {K} || ',"name":"k"}},"1":{{"n":' || user_id
-        || ',"name":"user"}}}}}}' AS document FROM events""",
+    f"""SELECT event_id, '{{"id":' || event_id || ',"detail":{{"kind":"' || event_type || '","by":{{"user":' || user_id
+        || '}}}},"items":{{"0":{{"name":"k","n":' || {K} || '}},"1":{{"name":"user","n":' || user_id || '}}}}}}' AS document
+        FROM events""",
 )
 def json_unflatten(spark, t):
-    flat = jsontext.flatten_json(_documents(t).select("event_id", "doc"), "doc", separator="/")
-    return jsontext.unflatten_json(flat, ["event_id"], separator="/")
+    flat = jsontext.flatten_json(_documents(t).select("event_id", "doc"), "doc", separator="/", position="at")
+    return jsontext.unflatten_json(flat, ["event_id"], separator="/", position="at")
 
 
 # --- XML ---------------------------------------------------------------------
