@@ -207,12 +207,18 @@ def jaccard_at_least(pairs: DataFrame, texts: DataFrame, width: int, similarity:
 
     def run(batch):
         out = {"a": [], "b": []}
-        seen: dict[bytes, set] = {}
+        seen: dict[bytes, set] = {}  # a crowded bucket's leader comes in many pairs
+
+        def spans(words: bytes | None) -> set:
+            found = seen.get(words)
+            if found is None:
+                if len(seen) > 64:
+                    seen.clear()
+                found = seen[words] = set(shingle_spans((words or b"").lower().split(), width))
+            return found
+
         for a, b, ta, tb in zip(batch["a"], batch["b"], batch["ta"], batch["tb"]):
-            if len(seen) > 64:
-                seen.clear()
-            sa, sb = (seen.setdefault(t, None) or set(shingle_spans((t or b"").lower().split(), width)) for t in (ta, tb))
-            seen[ta], seen[tb] = sa, sb
+            sa, sb = spans(ta), spans(tb)
             both = len(sa & sb)
             if both >= similarity * (len(sa) + len(sb) - both):
                 out["a"].append(a)
@@ -230,8 +236,8 @@ def similar_texts(
     similarity: float = 0.8,
     distance: int = 6,
     blocks: int = 9,
-    pair_limit: int = 24,
-    rounds: int = 6,
+    pair_limit: int = 64,
+    rounds: int = 2,
 ) -> DataFrame:
     """(key, component_id): groups of equal texts and of texts at ``similarity`` or more.
 
