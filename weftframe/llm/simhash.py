@@ -13,7 +13,7 @@ from itertools import combinations
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftframe.llm.common import map_batches, written
@@ -25,6 +25,8 @@ BITS = 64
 _PIECE = 1 << 15
 # buckets up to this size are paired; larger ones go by stars, which stay linear
 PAIR_LIMIT = 128
+# texts of a crowded bucket that all others are compared with
+LEADERS = 8
 # words whose hashes a worker keeps
 _KNOWN_WORDS = 400_000
 _known: dict[bytes, int] = {}
@@ -244,9 +246,10 @@ def similar_texts(
     Candidates share enough blocks of their word fingerprints and differ in at
     most ``distance`` bits; each is verified on the sets of ``width``-word shingles.
     Equal texts (A-Z in lower case, gaps alike) are one before any pairing. In a
-    bucket of more than ``pair_limit`` texts all are compared with its smallest key;
-    those that are not similar to it stay for the next round, and after ``rounds``
-    rounds what is left is paired. Null texts count as empty; texts without words
+    bucket of more than ``pair_limit`` texts all are first compared with its smallest
+    8 keys, so a large group of copies costs rows in proportion to its texts; those
+    similar to none stay for the next round, and after ``rounds`` rounds what is left
+    is paired. Null texts count as empty; texts without words
     are equal to each other. Null keys are left out. Repeated keys are one node.
     """
     known = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -271,16 +274,27 @@ def similar_texts(
         hot = written(sized.where(F.col("size") > limit).drop("size"), "pool")
         crowded = not hot.isEmpty()
         if crowded:
-            lead = hot.groupBy("choice", "shared").agg(F.min(F.struct("id", "fingerprint")).alias("lead"))
-            lead = lead.select("choice", "shared", F.col("lead.id").alias("a"), F.col("lead.fingerprint").alias("fa"))
-            stars = hot.join(lead, ["choice", "shared"])
-            stars = stars.where("id <> a")
-            candidates = candidates.union(stars.where(_differing("fingerprint", "fa") <= distance).select("a", F.col("id").alias("b")))
+            order = Window.partitionBy("choice", "shared").orderBy("id")
+            lead = hot.withColumn("place", F.row_number().over(order)).where(F.col("place") <= LEADERS)
+            lead = lead.groupBy("choice", "shared").agg(F.collect_list(F.struct("id", "fingerprint")).alias("leaders"))
+            led = written(hot.join(lead, ["choice", "shared"]), "led")
+            # a text meets the same leaders under many choices: once is enough
+            met = led.groupBy("id", "fingerprint").agg(F.array_distinct(F.flatten(F.collect_set("leaders"))).alias("leaders"))
+            differing = lambda x: F.bit_count(x["fingerprint"].bitwiseXOR(F.col("fingerprint")))
+            near = F.filter("leaders", lambda x: (x["id"] != F.col("id")) & (differing(x) <= distance))
+            stars = met.select("id", F.explode(F.transform(near, lambda x: x["id"])).alias("a"))
+            stars = stars.select(F.least("id", "a").alias("a"), F.greatest("id", "a").alias("b"))
+            candidates = candidates.union(stars)
         found = written(jaccard_at_least(candidates, texts, width, similarity), "similar")
         links = found if links is None else links.union(found)
         if not crowded:
             break
-        left = stars.join(found.select("a", F.col("b").alias("id")), ["a", "id"], "left_anti")
+        ends = found.select(F.col("a").alias("id"), F.col("b").alias("other")).union(found.select("b", "a"))
+        ends = ends.groupBy("id").agg(F.collect_set("other").alias("others"))
+        # leaders have met all others of their bucket; who is similar to one is in its group
+        ids = F.transform("leaders", lambda x: x["id"])
+        settled = F.array_contains(ids, F.col("id")) | F.coalesce(F.arrays_overlap(ids, F.col("others")), F.lit(False))
+        left = led.join(ends, "id", "left").where(~settled)
         pool = written(left.select("choice", "shared", "id", "fingerprint"), "pool")
     groups = connected_components(links)
     return same.join(groups, same["first"] == groups["node"], "left").select(
