@@ -178,6 +178,8 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", docs_per_lang
     # spread the pick: a few documents per hash class first, then per language
     rank = Window.partitionBy("lang", F.pmod(F.xxhash64("text"), F.lit(64))).orderBy(F.xxhash64("text", F.lit(7)), "text")
     few = labelled.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= -(-docs_per_language // 64)).drop("r")
+    # a text with many copies counts once
+    few = few.dropDuplicates(["lang", "text"])
     rank = Window.partitionBy("lang").orderBy(F.xxhash64("text", F.lit(7)), "text")
     few = few.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= docs_per_language)
     # what a text can add to the sample is bounded by the sample's size

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftframe.llm.common import written
+from weftframe.llm.common import hash_sample, written
 
 # bounds of the labelled sample and of the words the classifier knows
 TRAIN_ROWS = 6_000
@@ -90,7 +90,7 @@ def learn(docs: DataFrame, labels: DataFrame, domain: Column, key: str = "doc_id
     by chi-square among those of at least 8 sampled documents. None without labels.
     """
     known = labels.select(F.col(key).alias("k"), domain.alias("domain")).where("k is not null and domain is not null")
-    chosen = known.dropDuplicates(["k"]).orderBy(F.xxhash64("k"), "k").limit(rows)
+    chosen = hash_sample(known.dropDuplicates(["k"]), "k", rows, known.count())
     sample = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     sample = written(sample.join(F.broadcast(chosen), "k"), "labelled")
 

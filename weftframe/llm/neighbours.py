@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftframe.llm.common import written
+from weftframe.llm.common import hash_sample, written
 
 # bounded sample that the index is fitted on
 FIT_ROWS = 20_000
@@ -94,7 +94,7 @@ def fit(vectors: DataFrame, rows: int, tables: int = 2, recall: float = 0.95, ne
     no nearer than in the whole table, so cells are rather visited than left out.
     The number of hashes follows ``rows``, so that a cell holds some hundreds of them.
     """
-    picked = vectors.select("vector").orderBy(F.xxhash64("vector"), "vector").limit(FIT_ROWS).collect()
+    picked = hash_sample(vectors.select("vector"), "vector", FIT_ROWS, rows).collect()
     sample = np.array([r["vector"] for r in picked], np.float64)
     if not len(sample):
         return None
