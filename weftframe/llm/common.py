@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterable
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,6 +57,19 @@ def has_letter(column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit("")).rlike("\\p{L}")
 
 
+@contextmanager
+def uncollected():
+    """Without Python's cycle collector: for code that makes no cycles beside large tables of known words,
+    which the collector would walk through again and again."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def hash_sample(df: DataFrame, column: str, rows: int, total: int) -> DataFrame:
     """About the first ``rows`` rows in the order of a hash of ``column``, out of ``total``.
 

@@ -22,6 +22,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftframe.llm.common import uncollected
+
 # Fixed value: the mark that stands for a blank inside pieces.
 MARK = "▁"
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -320,6 +322,7 @@ class Pieces:
             words.append(MARK * run)
         return words
 
+    @uncollected()
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of every text, in order.
 

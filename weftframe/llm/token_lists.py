@@ -19,8 +19,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weftframe.llm.common import uncollected
+
 # chunks a worker keeps with their ids
-KNOWN_CHUNKS = 700_000
+KNOWN_CHUNKS = 500_000
 
 
 # Fixed rule of byte-level pre-tokens: bytes without a visible letter of their own take those from 256 on.
@@ -94,6 +96,7 @@ class Encoder:
             flat = ids.tobytes()
             known.update(zip(part, (flat[4 * a : 4 * b] for a, b in zip([0, *[e + 1 for e in ends[:-1]]], ends))))
 
+    @uncollected()
     def encode(self, texts: list[str], end_id: int) -> list[np.ndarray]:
         """Ids of each text followed by ``end_id``."""
         first, later = self.first, self.later
