@@ -322,7 +322,6 @@ class Pieces:
             words.append(MARK * run)
         return words
 
-    @uncollected()
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of every text, in order.
 
@@ -409,7 +408,8 @@ def encode(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "t
         for whole in batches:
             for batch in _cut(whole):
                 texts = [t or "" for t in batch.column(1).to_pylist()]
-                ids = pieces.encode_batch(texts)
+                with uncollected():
+                    ids = pieces.encode_batch(texts)
                 sizes = np.array([len(i) for i in ids], np.int64)
                 offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
                 flat = pa.array(np.concatenate(ids) if len(ids) else np.zeros(0, np.int32), pa.int32())

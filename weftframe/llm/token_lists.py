@@ -96,7 +96,6 @@ class Encoder:
             flat = ids.tobytes()
             known.update(zip(part, (flat[4 * a : 4 * b] for a, b in zip([0, *[e + 1 for e in ends[:-1]]], ends))))
 
-    @uncollected()
     def encode(self, texts: list[str], end_id: int) -> list[np.ndarray]:
         """Ids of each text followed by ``end_id``."""
         first, later = self.first, self.later
@@ -167,7 +166,8 @@ def write_tokens(
             cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // 2_000_000)) + 1
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), rows]):
                 batch = whole.slice(a, b - a)
-                ids = encoder.encode([t or "" for t in batch.column(1).to_pylist()], end_id)
+                with uncollected():
+                    ids = encoder.encode([t or "" for t in batch.column(1).to_pylist()], end_id)
                 counts = np.array([len(i) for i in ids], np.int64)
                 ends = np.cumsum(counts)
                 offsets = pa.array(np.concatenate(([0], ends)).astype(np.int32))
