@@ -124,6 +124,56 @@ def test_similar_texts_finds_planted_copies_and_nothing_else(spark, limit):
     assert sum(got[i] == want[i] for i in got) >= 0.97 * len(got)
 
 
+def groups_of(spark, rows, **more):
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    return {r["doc_id"]: r["component_id"] for r in simhash.similar_texts(docs, **more).collect()}
+
+
+def plain_groups(rows, similarity=0.8):
+    sets = {i: set(simhash.shingle_spans(t.lower().encode().split(), 5)) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in combinations(sets, 2):
+        if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]):
+            a, b = sorted((top(a), top(b)))
+            root[b] = a
+    return {i: top(i) for i in sets}
+
+
+def test_copies_of_one_original_with_the_largest_id_stay_together(spark):
+    r = random.Random(4)
+    base = prose(77, 150).split()
+    rows = [(10_000, " ".join(base))]
+    for i in range(150):
+        words = list(base)
+        for at in r.sample(range(150), 3):
+            words[at] = f"edit{i}x{at}"
+        rows.append((i + 1, " ".join(words)))
+    expected = plain_groups(rows)
+    assert expected[10_000] == 1
+    assert groups_of(spark, rows) == expected
+    assert groups_of(spark, rows, pair_limit=16, rounds=1) == expected
+
+
+def test_appended_and_truncated_copies_are_found(spark):
+    rows, i = [], 0
+    for seed in range(60):
+        base = prose(1_000 + seed, 100 + seed * 5).split()
+        n = len(base)
+        added = prose(5_000 + seed, n // 5).split()
+        for words in (base, base + added[: n // 10], added[: n // 6] + base, base[n // 10 :], base[: n - n // 7]):
+            i += 1
+            rows.append((i, " ".join(words)))
+    expected = plain_groups(rows)
+    assert len(set(expected.values())) < 100
+    assert groups_of(spark, rows) == expected
+
+
 # --- quality
 
 

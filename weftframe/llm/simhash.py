@@ -1,22 +1,26 @@
-"""SimHash fingerprints, links between close ones, and near-duplicate groups.
+"""SimHash fingerprints, links between close ones, and near-duplicate groups; groups of similar texts.
 
 Fingerprints are 64 bits. Two of them at ``distance`` or fewer differing bits
 agree on at least ``blocks - distance`` of ``blocks`` bit blocks, so they meet
 under at least one choice of that many blocks. Links are sought under every
 choice, then verified by counting the differing bits.
+
+Similar texts are found without fingerprints: see ``similar_texts``.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftframe.llm.common import map_batches, written
+from weftframe.llm.common import hash_sample, map_batches, written
 from weftframe.llm.components import connected_components
 
 SEED = 42
@@ -25,8 +29,11 @@ BITS = 64
 _PIECE = 1 << 15
 # buckets up to this size are paired; larger ones go by stars, which stay linear
 PAIR_LIMIT = 128
-# texts of a crowded bucket that all others are compared with
-LEADERS = 8
+# texts of a crowded bucket that all others are compared with in a round
+LEADERS = 4
+# texts that frequent shingles are looked for in, and how many of those are known
+COMMON_TEXTS = 4_000
+MOST_COMMON = 200_000
 # words whose hashes a worker keeps
 _KNOWN_WORDS = 400_000
 _known: dict[bytes, int] = {}
@@ -65,6 +72,31 @@ def shingle_fingerprint(text: bytes | None, width: int) -> int:
     return _packed(counts * 2 > len(spans))
 
 
+def _word_hashes(words) -> np.ndarray:
+    if len(_known) > _KNOWN_WORDS:
+        _known.clear()
+    hashes = []
+    for word in words:
+        h = _known.get(word)
+        if h is None:
+            h = _known[word] = xxhash.xxh64_intdigest(word, SEED)
+        hashes.append(h)
+    return np.array(hashes, np.uint64)
+
+
+def shingle_hashes(text: bytes | None, width: int) -> np.ndarray:
+    """Different hashes of all runs of ``width`` words; of all words if they are fewer."""
+    words = _word_hashes((text or b"").lower().split())
+    if not len(words):
+        return np.zeros(0, np.int64)
+    width = min(width, len(words))
+    runs = np.zeros(len(words) - width + 1, np.uint64)
+    for i in range(width):
+        runs = (runs + words[i : i + len(runs)]) * np.uint64(0x9E3779B97F4A7C15)
+        runs ^= runs >> np.uint64(29)
+    return np.unique(runs.view(np.int64))
+
+
 def word_fingerprint(text: bytes | None) -> int:
     """Majority bits over the distinct words, each weighing 1 + ln(its count).
 
@@ -74,17 +106,9 @@ def word_fingerprint(text: bytes | None) -> int:
     counted = Counter((text or b"").lower().split())
     if not counted:
         return 0
-    if len(_known) > _KNOWN_WORDS:
-        _known.clear()
-    hashes = []
-    for word in counted:
-        h = _known.get(word)
-        if h is None:
-            h = _known[word] = xxhash.xxh64_intdigest(word, SEED)
-        hashes.append(h)
+    hashes = _word_hashes(counted)
     weights = 1 + np.log(np.fromiter(counted.values(), np.float64, len(counted)))
     sums = np.zeros(BITS)
-    hashes = np.array(hashes, np.uint64)
     for at in range(0, len(hashes), _PIECE):
         sums += weights[at : at + _PIECE] @ _bits(hashes[at : at + _PIECE])
     return _packed(sums * 2 > weights.sum())
@@ -230,27 +254,136 @@ def jaccard_at_least(pairs: DataFrame, texts: DataFrame, width: int, similarity:
     return map_batches(joined, run, "a long, b long")
 
 
+def frequent_shingles(texts: DataFrame, width: int) -> np.ndarray:
+    """Hashes of shingles that several texts of a bounded sample share, the most frequent last."""
+    sample = hash_sample(texts.select("id", "text"), "id", COMMON_TEXTS, texts.count())
+
+    def run(batch):
+        found = [shingle_hashes(t, width) for t in batch["text"]]
+        return {"hash": np.concatenate(found) if found else []}
+
+    counted = map_batches(sample, run, "hash long").groupBy("hash").count().where("count > 2")
+    rows = counted.orderBy(F.desc("count"), "hash").limit(MOST_COMMON).toArrow()
+    return rows.column("hash").to_numpy()[::-1].copy()
+
+
+def rare_shingles(texts: DataFrame, width: int, similarity: float, frequent: np.ndarray) -> DataFrame:
+    """(hash, id, size, place): the first shingles of every text in one order for all texts.
+
+    Shingles not known as frequent come first, by hash. Two sets of which the larger
+    shares ``similarity`` of its shingles cannot both lack the other's first
+    ``size - ceil(similarity * size) + 1``; so similar texts meet at one of them at
+    least, whatever the order. It only decides how many others meet there.
+    """
+    by_hash = np.argsort(frequent)
+    values, ranks = frequent[by_hash], by_hash + 1
+    schema = "hash long, id long, size int, place int"
+    names = ["hash", "id", "size", "place"]
+
+    def run(batches):
+        for batch in batches:
+            parts, rows = [], 0
+            for id_, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()).to_pylist()):
+                hashes = shingle_hashes(text, width)
+                size = len(hashes)
+                if not size:
+                    continue
+                rank = np.zeros(size, np.int64)
+                if len(values):
+                    at = np.minimum(np.searchsorted(values, hashes), len(values) - 1)
+                    rank = np.where(values[at] == hashes, ranks[at], 0)
+                first = np.lexsort((hashes, rank))[: size - math.ceil(similarity * size - 1e-6) + 1]
+                places = np.arange(len(first), dtype=np.int32)
+                parts.append((hashes[first], np.full(len(first), id_, np.int64), np.full(len(first), size, np.int32), places))
+                rows += len(first)
+                if rows > 500_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], names=names)
+                    parts, rows = [], 0
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], names=names)
+
+    return texts.select("id", "text").mapInArrow(run, schema)
+
+
+def _repeated(rows: DataFrame) -> DataFrame:
+    """The rows whose hash other rows have too, in one pass over the sorted rows."""
+
+    def run(batches):
+        held, hit = None, False  # the last row waits for the next one
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held is not None:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            hashes = batch.column(0).to_numpy()
+            same = hashes[1:] == hashes[:-1]
+            before = np.concatenate(([hit], same))
+            yield batch.slice(0, len(hashes) - 1).filter(pa.array(before[:-1] | same))
+            held, hit = batch.slice(len(hashes) - 1), bool(before[-1])
+        if hit:
+            yield held
+
+    return rows.repartition("hash").sortWithinPartitions("hash").mapInArrow(run, rows.schema)
+
+
+def _may_be_similar(a, b, similarity: float) -> Column:
+    """Whether sizes and places of a shared shingle leave room; true at the first one that similar texts share."""
+    after = F.least(a["size"] - a["place"], b["size"] - b["place"])
+    return (after >= similarity / (1 + similarity) * (a["size"] + b["size"]) - 1e-6) & (
+        F.least(a["size"], b["size"]) >= similarity * F.greatest(a["size"], b["size"]) - 1e-6
+    )
+
+
+def _still_apart(pool: DataFrame, links: DataFrame | None) -> DataFrame:
+    """The pool with the group of each text so far, without the buckets that lie in one group."""
+    pool = pool.select("hash", "id", "size", "place")
+    if links is None:
+        return pool.withColumn("group", F.col("id"))
+    groups = connected_components(links)
+    pool = pool.join(groups, pool["id"] == groups["node"], "left").withColumn("group", F.coalesce("component", "id"))
+    pool = written(pool.select("hash", "id", "size", "place", "group"), "pool")
+    apart = pool.groupBy("hash").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high")
+    return pool.join(apart.select("hash"), "hash", "left_semi")
+
+
+def _pairs_within(pool: DataFrame, similarity: float, side: int) -> DataFrame:
+    """All pairs (a, b) of a bucket that may be similar and are in different groups.
+
+    A bucket is cut into blocks of about ``side`` texts and every two blocks meet in
+    their own join key, so a crowded one spreads over tasks.
+    """
+    sizes = pool.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
+    rows = pool.join(sizes, "hash").withColumn("blocks", F.ceil(F.col("n") / side).cast("int"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    keys = ["hash", "low", "high"]
+    rows = rows.select("hash", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), F.struct("id", "size", "place", "group", "own").alias("x"))
+    a, b = F.col("x"), F.col("y")
+    met = rows.join(rows.withColumnRenamed("x", "y"), keys).where((a["id"] < b["id"]) & (a["group"] != b["group"]))
+    met = met.where(((F.col("low") == F.col("high")) | (a["own"] != b["own"])) & _may_be_similar(a, b, similarity))
+    return met.select(a["id"].alias("a"), b["id"].alias("b"))
+
+
 def similar_texts(
     docs: DataFrame,
     key: str = "doc_id",
     text: str = "text",
     width: int = 5,
     similarity: float = 0.8,
-    distance: int = 6,
-    blocks: int = 9,
     pair_limit: int = 64,
     rounds: int = 2,
 ) -> DataFrame:
     """(key, component_id): groups of equal texts and of texts at ``similarity`` or more.
 
-    Candidates share enough blocks of their word fingerprints and differ in at
-    most ``distance`` bits; each is verified on the sets of ``width``-word shingles.
-    Equal texts (A-Z in lower case, gaps alike) are one before any pairing. In a
-    bucket of more than ``pair_limit`` texts all are first compared with its smallest
-    8 keys, so a large group of copies costs rows in proportion to its texts; those
-    similar to none stay for the next round, and after ``rounds`` rounds what is left
-    is paired. Null texts count as empty; texts without words
-    are equal to each other. Null keys are left out. Repeated keys are one node.
+    Exact: texts meet in a bucket for each of their rarest shingles, as many as it
+    takes for all similar ones to meet (``rare_shingles``), and are compared on the
+    sets of ``width``-word shingles. Equal texts (A-Z in lower case, gaps alike) are
+    one before any pairing. In a bucket of more than ``pair_limit`` texts all are first
+    compared with a few of its texts, those with most links so far, for ``rounds``
+    rounds; buckets that this brings into one group are done. All pairs that are left
+    and not yet in one group are compared, however many. Null texts count as empty;
+    texts without words are equal to each other. Null keys are left out. Repeated
+    keys are one node.
     """
     known = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     plain = F.trim(F.regexp_replace(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[\\x20\\x09-\\x0D]+", " "))
@@ -261,42 +394,32 @@ def similar_texts(
     kept = same.where("id = first").select("id").distinct()
     texts = known.join(kept, "id").dropDuplicates(["id"])
     texts = written(texts, "texts")
-    prints = fingerprints(texts, "id", "text", None)
-    pool = written(_sized(with_buckets(prints, distance, blocks)).select("choice", "shared", "id", "fingerprint"), "pool")
+    rare = rare_shingles(texts, width, similarity, frequent_shingles(texts, width))
+    pool = written(_still_apart(_repeated(rare), None), "pool")
     links = None
-    for turn in range(rounds + 1):
-        sized = _sized(pool)
-        limit = pair_limit if turn < rounds else (1 << 62)
-        cool = sized.where(F.col("size") <= limit).select("choice", "shared", "id", "fingerprint")
-        other = cool.select("choice", "shared", F.col("id").alias("b"), F.col("fingerprint").alias("fb"))
-        pairs = cool.join(other, ["choice", "shared"]).where((F.col("id") < F.col("b")) & (_differing("fingerprint", "fb") <= distance))
-        candidates = pairs.select(F.col("id").alias("a"), "b")
-        hot = written(sized.where(F.col("size") > limit).drop("size"), "pool")
-        crowded = not hot.isEmpty()
-        if crowded:
-            order = Window.partitionBy("choice", "shared").orderBy("id")
-            lead = hot.withColumn("place", F.row_number().over(order)).where(F.col("place") <= LEADERS)
-            lead = lead.groupBy("choice", "shared").agg(F.collect_list(F.struct("id", "fingerprint")).alias("leaders"))
-            led = written(hot.join(lead, ["choice", "shared"]), "led")
-            # a text meets the same leaders under many choices: once is enough
-            met = led.groupBy("id", "fingerprint").agg(F.array_distinct(F.flatten(F.collect_set("leaders"))).alias("leaders"))
-            differing = lambda x: F.bit_count(x["fingerprint"].bitwiseXOR(F.col("fingerprint")))
-            near = F.filter("leaders", lambda x: (x["id"] != F.col("id")) & (differing(x) <= distance))
-            stars = met.select("id", F.explode(F.transform(near, lambda x: x["id"])).alias("a"))
-            stars = stars.select(F.least("id", "a").alias("a"), F.greatest("id", "a").alias("b"))
-            candidates = candidates.union(stars)
-        found = written(jaccard_at_least(candidates, texts, width, similarity), "similar")
-        links = found if links is None else links.union(found)
-        if not crowded:
+    for _ in range(rounds):
+        sizes = pool.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") > pair_limit)
+        hot = written(pool.join(sizes.select("hash"), "hash"), "hot")
+        if hot.isEmpty():
             break
-        ends = found.select(F.col("a").alias("id"), F.col("b").alias("other")).union(found.select("b", "a"))
-        ends = ends.groupBy("id").agg(F.collect_set("other").alias("others"))
-        # leaders have met all others of their bucket; who is similar to one is in its group
-        ids = F.transform("leaders", lambda x: x["id"])
-        settled = F.array_contains(ids, F.col("id")) | F.coalesce(F.arrays_overlap(ids, F.col("others")), F.lit(False))
-        left = led.join(ends, "id", "left").where(~settled)
-        pool = written(left.select("choice", "shared", "id", "fingerprint"), "pool")
-    groups = connected_components(links)
+        ranked = hot.withColumn("links", F.lit(0))
+        if links is not None:
+            degrees = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
+            ranked = hot.join(degrees, "id", "left").withColumn("links", F.coalesce("links", F.lit(0)))
+        order = Window.partitionBy("hash").orderBy(F.desc("links"), "id")
+        lead = ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= LEADERS)
+        lead = written(lead.select("hash", F.struct("id", "size", "place", "group").alias("y")), "leaders")
+        a, b = F.col("x"), F.col("y")
+        met = hot.select("hash", F.struct("id", "size", "place", "group").alias("x")).join(lead, "hash")
+        met = met.where((a["group"] != b["group"]) & _may_be_similar(a, b, similarity))
+        stars = met.select(F.least(a["id"], b["id"]).alias("a"), F.greatest(a["id"], b["id"]).alias("b"))
+        found = written(jaccard_at_least(stars, texts, width, similarity), "similar")
+        links = found if links is None else links.union(found)
+        # leaders have met all others of their bucket
+        rest = pool.join(lead.select("hash", b["id"].alias("id")), ["hash", "id"], "left_anti")
+        pool = written(_still_apart(rest, links), "pool")
+    found = written(jaccard_at_least(_pairs_within(pool, similarity, max(pair_limit, 512)), texts, width, similarity), "similar")
+    groups = connected_components(found if links is None else links.union(found))
     return same.join(groups, same["first"] == groups["node"], "left").select(
         F.col("id").alias(key), F.coalesce("component", "first").alias("component_id")
     )
