@@ -176,3 +176,17 @@ def test_copies_ties_and_odd_vectors(spark):
     few = neighbours.nearest_neighbours(df.where("vec_id < 4"), lambda i: i == 0).collect()
     assert [r["vec_id"] for r in sorted(few, key=lambda r: r["rank"])] == [3, 1, 2]
     assert neighbours.nearest_neighbours(df.where("false"), lambda i: i == 0).count() == 0
+
+
+def test_no_query_stops_below_its_target(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    index = neighbours.Index(rng.standard_normal((2, 12, 16)), rng.uniform(0, 1.5, (2, 12)), 1.5, 1.0, 0.776)
+    assert len(index.probes(rng.standard_normal(16))) == 0
+    hashes = neighbours.fitting_hashes(12, 1 / 1.5, 0.776, neighbours.MOST_CELLS)
+    assert 1 < hashes < 12 and neighbours.fitting_hashes(hashes, 1 / 1.5, 0.776, neighbours.MOST_CELLS) == hashes
+    # few cells considered: all queries go to the pass over all blocks
+    monkeypatch.setattr(neighbours, "MOST_CELLS", 1)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.standard_normal((3_000, 16)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.nearest_neighbours(df, lambda i: i % 300 == 0, recall=0.999).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got) == exact(rows, lambda i: i % 300 == 0, 10)
