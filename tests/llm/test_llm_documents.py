@@ -269,6 +269,18 @@ def test_token_lists_against_the_tokenizer(spark, small):
     assert {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in got} == want
 
 
+def test_strings_of_added_tokens_get_their_ids():
+    from tokenizers import Tokenizer
+
+    path = vocabulary("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    assert added
+    texts = ["plain words, and more.\nnext line", "", *(f"one {a} two\n{a}three {a}" for a in added), *added, "one two"]
+    want = [tokenizer.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    assert [ids.tolist() for ids in token_lists.Encoder(path).encode(texts, 2)] == want
+
+
 @pytest.mark.parametrize("encoding", ["dictionary", "delta"])
 def test_token_files_and_selective_reads(spark, small, encoding):
     import glob

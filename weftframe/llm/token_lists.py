@@ -36,7 +36,8 @@ class Encoder:
     The pre-tokenizer always cuts before a blank that a visible character follows,
     and around a line end between two visible characters. So a text is cut there, and
     its chunks encode alone as they do within it. Texts with other gaps, whose chunks
-    are empty or begin or end with white space, go to the tokenizer whole.
+    are empty or begin or end with white space, go to the tokenizer whole, and so do
+    texts that hold the string of an added token.
     """
 
     def __init__(self, path: str):
@@ -44,7 +45,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
+        # strings that the tokenizer gives an id of their own before it cuts a text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         # first chunks of lines, and chunks after a blank; None where a text must go whole
         self.first: dict[str, bytes | None] = {}
         self.later: dict[str, bytes | None] = {}
@@ -102,7 +104,8 @@ class Encoder:
         if len(first) + len(later) > KNOWN_CHUNKS:
             first.clear()
             later.clear()
-        split = [[line.split(" ") for line in t.split("\n")] for t in texts]
+        # no lines for a text that goes whole
+        split = [[] if any(a in t for a in self.added) else [line.split(" ") for line in t.split("\n")] for t in texts]
         heads: set[str] = set()
         tails: set[str] = set()
         for lines in split:
@@ -115,6 +118,9 @@ class Encoder:
         end = np.array([end_id], np.int32)
         out = []
         for text, lines in zip(texts, split):
+            if not lines:
+                out.append(np.concatenate((self._whole(text), end)))
+                continue
             try:
                 ids = line_end.join([b"".join((first[parts[0]], *map(later.__getitem__, parts[1:]))) for parts in lines])
                 known = np.frombuffer(ids, np.int32)
