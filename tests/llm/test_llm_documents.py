@@ -357,6 +357,16 @@ def test_domains_of_held_out_labels(spark, small):
     assert found.join(truth, "doc_id").agg(F.avg((F.col("d") == F.col("true")).cast("double"))).first()[0] > 0.9
 
 
+def test_a_repeated_key_is_one_row_of_the_labelled_sample(spark, monkeypatch):
+    rows = [(i, prose(i, 30)) for i in range(40)] + [(7, prose(900 + i, 30)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(mixing, "_softmax_regression", lambda domains, words, x, y: seen.append(len(x)))
+    mixing.learn(docs, labels, mixing.label_domain())
+    assert seen == [40]
+
+
 def test_drawing_by_rate(spark):
     docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.lit(1).alias("_rate"))
     rates = docs.select("doc_id", (F.col("doc_id") % 4 * 0.75).alias("rate"))

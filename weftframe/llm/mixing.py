@@ -85,14 +85,15 @@ def _byte_texts(column) -> list[bytes]:
 def learn(docs: DataFrame, labels: DataFrame, domain: Column, key: str = "doc_id", text: str = "text", rows: int = TRAIN_ROWS) -> Classifier | None:
     """Classifier of ``domain``, an expression over ``labels``, from at most ``rows`` labelled documents.
 
-    The sample is the labelled keys in the order of a hash; labels without key or
-    domain are left out. The vocabulary is the words most associated with a domain
+    The sample is the labelled keys in the order of a hash, of repeated keys the text
+    of smallest digest; labels without key or domain are left out. The vocabulary is the words most associated with a domain
     by chi-square among those of at least 8 sampled documents. None without labels.
     """
     known = labels.select(F.col(key).alias("k"), domain.alias("domain")).where("k is not null and domain is not null")
     chosen = hash_sample(known.dropDuplicates(["k"]), "k", rows, known.count())
     sample = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    sample = written(sample.join(F.broadcast(chosen), "k"), "labelled")
+    sample = sample.join(F.broadcast(chosen), "k").groupBy("k", "domain").agg(F.min_by("text", F.sha2("text", 256)).alias("text"))
+    sample = written(sample, "labelled")
 
     def run(batches):
         for batch in batches:
