@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from weftframe.llm import language_parsing, licence_scan, mixing, neighbours, pieces, quality_cascade, simhash, token_lists, web_archive, wrappers
+from weftframe.llm import check_queries  # noqa: F401
 from weftframe.llm.common import table, vocabulary, written
 from weftframe.llm.registry import LLM_ORACLES, LLM_QUERIES, llm_query  # noqa: F401
 from weftframe.session import scratch_path
