@@ -28,7 +28,10 @@ def refuse_doctype(xml: Column, on_error: str = "fail") -> Column:
 
 
 def xml_path(xml: Column, path: str, required: bool = False, on_error: str = "fail") -> Column:
-    """Text of every node at an XPath, as an array."""
+    """Text of every text or attribute node at an XPath, as an array; of elements, their own text.
+
+    ``xmlpath.xml_query`` gives elements as records.
+    """
     last = re.sub(r"\[[^\]]*\]", "", path).rsplit("/", 1)[-1]
     steps = path if last == "text()" or last.startswith("@") else f"{path}/text()"
     found = F.xpath(refuse_doctype(xml, on_error), F.lit(steps))
@@ -124,20 +127,7 @@ def json_xml(document: Column, root: str = "root") -> Column:
 
 
 def xml_nodes(xml: Column, path: str) -> Column:
-    """Every element at a path as JSON text, in an array.
-
-    The path is one that ElementTree knows, relative to the root element:
-    names, ``//``, ``*``, ``[@name='x']``, ``[child]``, ``[n]``.
-    """
-
-    @F.pandas_udf("array<string>")
-    def find(texts: pd.Series) -> pd.Series:
-        def matches(text):
-            if text is None:
-                return None
-            found = ElementTree.fromstring(text).findall(path)
-            return [_dump(element_value(e)) for e in found]
-
-        return texts.map(matches)
+    """See :func:`weftframe.functions.xmlpath.xml_nodes`."""
+    from weftframe.functions import xmlpath
 
-    return find(refuse_doctype(xml))
+    return xmlpath.xml_nodes(xml, path)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftframe.functions import csvtext, dates, jsontext, strings, xmltext
+from weftframe.functions import csvtext, dates, jsontext, strings, xmlpath, xmltext
 from weftframe.plans.registry import query
 
 
@@ -484,5 +484,24 @@ def xml_json(spark, t):
     """SELECT o_orderkey, '"' || o_orderpriority || '"' AS head, 2 AS nodes FROM orders""",
 )
 def xml_nodes(spark, t):
-    found = _xml_orders(t).select("o_orderkey", xmltext.xml_nodes(F.col("xml"), "./item").alias("found"))
+    found = _xml_orders(t).select("o_orderkey", xmlpath.xml_nodes(F.col("xml"), "./item").alias("found"))
     return found.select("o_orderkey", F.col("found")[0].alias("head"), F.size("found").alias("nodes"))
+
+
+@query(
+    "xml_query",
+    """SELECT o_orderkey,
+              '{"@id":"' || o_orderkey || '","item":["' || o_orderpriority || '","a<b & ' || o_orderstatus || '"],"status":"'
+                || o_orderstatus || '"}' AS whole, 1 AS wholes,
+              '["' || o_orderpriority || '","a<b & ' || o_orderstatus || '"]' AS items, 2 AS n_items,
+              '"a<b & ' || o_orderstatus || '"' AS second, 1 AS seconds,
+              CASE WHEN o_orderkey > 1000 THEN '"' || o_orderstatus || '"' ELSE '[]' END AS late,
+              CASE WHEN o_orderkey > 1000 THEN 1 ELSE 0 END AS lates FROM orders""",
+)
+def xml_query(spark, t):
+    """Elements as records: absolute, anywhere, by position and by condition."""
+    paths = {"whole": "/order", "items": "//item", "second": "/order/item[last()]", "late": "/order[@id > 1000]/status"}
+    counts = {"whole": "wholes", "items": "n_items", "second": "seconds", "late": "lates"}
+    found = _xml_orders(t).select("o_orderkey", xmlpath.xml_queries(F.col("xml"), paths).alias("q"))
+    columns = [c for name, n in counts.items() for c in (F.to_json(f"q.{name}.result").alias(name), F.col(f"q.{name}.matchCount").alias(n))]
+    return found.select("o_orderkey", *columns)
