@@ -118,7 +118,7 @@ def sorted_json(value):
 def test_random_documents_against_elementtree(spark):
     r = random.Random(11)
     texts = [random_xml(r) for _ in range(150)]
-    paths = ["./a", ".//b", "./a/b", "./*", ".//a/c", "./a[2]", ".//b[1]", ".//c[last()]", "./*[@p='02']", ".//a[@q]", ".//a[b]", ".//*[c='1']", ".//a//b", "./b/*/a"]
+    paths = ["./a", ".//b", "./a/b", "./*", ".//a/c", "./a[2]", ".//b[1]", ".//c[last()]", "./*[@p='02']", ".//a[@q]", ".//a[b]", ".//*[@p='x y']", ".//a//b", "./b/*/a"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, x string")
     for low in range(0, len(paths), 5):
         part = paths[low : low + 5]
