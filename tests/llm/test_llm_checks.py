@@ -244,3 +244,25 @@ def test_full_proofs_on_request(spark):
     leaves = spark.createDataFrame([("=a", i, h(str(i)), h(str(i))) for i in range(20)], "g string, id long, hash string, fold string")
     got = manifest.manifest(leaves).collect()
     assert all(h("".join(r["proof"])) == r["proof_sha256"] and r["verified"] for r in got) and len(got) == 20
+
+
+# --- long words without blanks
+
+
+def test_long_unspaced_words_against_the_library(spark):
+    sentencepiece = pytest.importorskip("sentencepiece")
+    from weftframe.llm import pieces
+    from weftframe.llm.common import vocabulary
+
+    path = vocabulary("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    r = random.Random(3)
+    texts = [
+        "".join(chr(r.randint(0x4E00, 0x9FA5)) for _ in range(2_000)),
+        "x1" * 600,
+        "".join(r.choice("の日本語をテストするabc é") for _ in range(900)),
+        "ab" * 40 + "日本" * 40 + "the quick" * 20,
+        "a" * 120,
+        "word " + "é" * 70 + "\n" + "日" * 60 + " end",
+    ]
+    assert [i.tolist() for i in pieces.pieces_of(path).encode_batch(texts)] == [library.encode(t) for t in texts]

@@ -27,12 +27,15 @@ from weftframe.llm.common import uncollected
 # Fixed value: the mark that stands for a blank inside pieces.
 MARK = "▁"
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+_SLOTS = 21  # bits of a slot number in the table of known pairs
 _NONE = np.int32(-1)
 _LEADING = 22
 # words a worker keeps with their ids
 KNOWN_WORDS = 500_000
 # words of one length that are encoded together
 LANES = 20_000
+# characters from which a word is cut where no piece can cross
+LONG_WORD = 48
 
 
 class Pieces:
@@ -83,6 +86,9 @@ class Pieces:
         self.odd_ids = {self.unknown, *self.byte_ids}
         if self.merges:
             self._learn_merges(ids)
+            # answers of the merge rule for pairs of neighbours, as many as there are slots
+            self.pair_codes = np.full(1 << _SLOTS, -1, np.int64)
+            self.pair_apart = np.zeros(1 << _SLOTS, bool)
 
     @staticmethod
     def _hash(piece: str) -> int:
@@ -172,7 +178,42 @@ class Pieces:
             b[live] = np.where(undo_left, y, left[y])
         return apart
 
+    def _parts(self, word: str) -> list[str]:
+        """A long word cut wherever no piece lies over the border, so that the parts encode alone."""
+        codes = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+        n = len(codes)
+        hashes = codes
+        covers = np.zeros(n + 1, np.int64)  # how many pieces begin less those that end, per inner border
+        for size in range(2, min(self.longest, n) + 1):
+            hashes = hashes[:-1] * _BASE + codes[size - 1 :]
+            starts = np.flatnonzero(self._find(hashes) >= 0)
+            np.add.at(covers, starts + 1, 1)
+            np.add.at(covers, starts + size, -1)
+        borders = np.flatnonzero(np.cumsum(covers)[1:n] == 0) + 1
+        return [word[a:b] for a, b in zip([0, *borders.tolist()], [*borders.tolist(), n])]
+
     def encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids (32-bit) of distinct words; long ones by their parts."""
+        parts = {i: self._parts(w) for i, w in enumerate(words) if len(w) > LONG_WORD}
+        if not parts:
+            return self._encode_lanes(words)
+        whole = [w for i, w in enumerate(words) if i not in parts]
+        pieces = list(dict.fromkeys(p for own in parts.values() for p in own))
+        encoded = self._encode_lanes(whole + pieces)
+        known = dict(zip(pieces, encoded[len(whole) :]))
+        rest = iter(encoded)
+        return [self._connected([known[p] for p in parts[i]]) if i in parts else next(rest) for i in range(len(words))]
+
+    def _connected(self, parts: list[bytes]) -> bytes:
+        """The ids of neighbouring parts; unknown characters side by side are one unknown piece."""
+        if self.byte_fallback:
+            return b"".join(parts)
+        ids = np.frombuffer(b"".join(parts), np.int32)
+        again = np.zeros(len(ids), bool)
+        again[1:] = (ids[1:] == self.unknown) & (ids[:-1] == self.unknown)
+        return ids[~again].tobytes()
+
+    def _encode_lanes(self, words: list[str]) -> list[bytes]:
         """Ids (32-bit) of distinct words, equal lengths together."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         order = np.argsort(lengths, kind="stable")
@@ -205,13 +246,18 @@ class Pieces:
         piece = np.full((lanes, n + 1), _NONE, np.int32)
         if self.merges:
             strange, tables = self._with_strangers(codes)
+        # piece at each (size, start), one search per size
+        pieces_at = {}
+        for size in range(1, min(self.longest, n) + 1):
+            found = self._find((prefix[:, size:] - prefix[:, :-size] * power[size]).ravel()).reshape(lanes, n - size + 1)
+            if size == 1:
+                found = np.where(found >= 0, found, strange if self.merges else self.unknown)
+            pieces_at[size] = np.ascontiguousarray(found.T)
         for end in range(1, n + 1):
             best, source, chosen = np.full(lanes, -np.inf), np.zeros(lanes, np.int32), np.full(lanes, _NONE, np.int32)
             for size in range(1, min(self.longest, end) + 1):
                 start = end - size
-                ids = self._find(prefix[:, end] - prefix[:, start] * power[size])
-                if size == 1:
-                    ids = np.where(ids >= 0, ids, strange[:, start] if self.merges else self.unknown)
+                ids = pieces_at[size][start]
                 may = np.flatnonzero((ids >= 0) & np.isfinite(score[:, start]))
                 if not len(may):
                     continue
@@ -256,10 +302,21 @@ class Pieces:
         hashes, powers, rank, left, right, reachable = tables
         allowed = reachable[ids]
         if start:
-            code = before.astype(np.int64) * len(hashes) + ids
-            distinct, inverse = np.unique(code, return_inverse=True)
-            a, b = (distinct // len(hashes)).astype(np.int32), (distinct % len(hashes)).astype(np.int32)
-            allowed = allowed & self._stay_apart(a, b, hashes, powers, rank, left, right)[inverse]
+            code = (before.astype(np.int64) << 32) | ids
+            slot = ((code.view(np.uint64) * _BASE) >> np.uint64(64 - _SLOTS)).astype(np.int64)
+            apart = self.pair_apart[slot]
+            new = np.flatnonzero(self.pair_codes[slot] != code)
+            if len(new):
+                distinct, first, inverse = np.unique(code[new], return_index=True, return_inverse=True)
+                a, b = (distinct >> 32).astype(np.int32), (distinct & 0xFFFFFFFF).astype(np.int32)
+                found = self._stay_apart(a, b, hashes, powers, rank, left, right)
+                apart[new] = found[inverse]
+                # characters that are no piece have other numbers in every batch
+                lasting = (a < len(self.texts)) & (b < len(self.texts))
+                kept = slot[new[first[lasting]]]
+                # of pairs that share a slot the last one stays, in both tables
+                self.pair_codes[kept], self.pair_apart[kept] = distinct[lasting], found[lasting]
+            allowed = allowed & apart
         return np.where(allowed, 0.0, -np.inf)
 
     def _walk_back(self, words, n, back, piece) -> list[bytes]:
