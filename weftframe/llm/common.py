@@ -26,7 +26,25 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._scratch = path
+    return table
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables made by ``written`` that nothing reads any more; others are left alone.
+
+    The collector then lets Spark remove the shuffle files of the steps that made them.
+    """
+    for table in tables:
+        path = getattr(table, "_scratch", None)
+        if path is None:
+            continue
+        jvm = table.sparkSession.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        table._scratch = None
+        jvm.System.gc()
 
 
 def map_batches(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:

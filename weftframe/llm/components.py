@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftframe.llm.common import written
+from weftframe.llm.common import discard, written
 
 
 def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -28,7 +28,8 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         small = small.select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        edges = written(small, "links")
+        last, edges = edges, written(small, "links")
+        discard(last)
         # a round's digest: small sums over the slim link table
         digest = edges.agg(F.count("*"), F.sum("v"), F.sum(F.hash("u", "v").cast("long"))).first()
         if digest == before:

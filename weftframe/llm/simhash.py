@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftframe.llm.common import hash_sample, map_batches, written
+from weftframe.llm.common import discard, hash_sample, map_batches, written
 from weftframe.llm.components import connected_components
 
 SEED = 42
@@ -225,11 +225,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 def jaccard_at_least(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
     """The pairs (a, b) whose word-shingle sets overlap by ``similarity`` or more.
 
-    ``texts`` has one row (id, text) per id. Compared in tasks, pair by pair.
+    ``texts`` holds (id, text); of several texts of an id one similar one is enough.
+    Only texts that take part in a pair are shuffled. Compared in tasks, pair by pair.
     """
+    pairs = written(pairs.select("a", "b").distinct(), "pairs")
+    due = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = texts.join(due, "id", "left_semi")
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    joined = pairs.select("a", "b").distinct().join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
 
     def run(batch):
         out = {"a": [], "b": []}
@@ -329,21 +333,25 @@ def _repeated(rows: DataFrame) -> DataFrame:
 def _may_be_similar(a, b, similarity: float) -> Column:
     """Whether sizes and places of a shared shingle leave room; true at the first one that similar texts share."""
     after = F.least(a["size"] - a["place"], b["size"] - b["place"])
-    return (after >= similarity / (1 + similarity) * (a["size"] + b["size"]) - 1e-6) & (
-        F.least(a["size"], b["size"]) >= similarity * F.greatest(a["size"], b["size"]) - 1e-6
-    )
+    return (after >= similarity / (1 + similarity) * (a["size"] + b["size"]) - 1e-6) & _sizes_fit(a, b, similarity)
+
+
+def _sizes_fit(a, b, similarity: float) -> Column:
+    return F.least(a["size"], b["size"]) >= similarity * F.greatest(a["size"], b["size"]) - 1e-6
 
 
 def _still_apart(pool: DataFrame, links: DataFrame | None) -> DataFrame:
-    """The pool with the group of each text so far, without the buckets that lie in one group."""
+    """The pool, written, with the group of each text so far, without the buckets that lie in one group."""
     pool = pool.select("hash", "id", "size", "place")
     if links is None:
-        return pool.withColumn("group", F.col("id"))
+        return written(pool.withColumn("group", F.col("id")), "pool")
     groups = connected_components(links)
     pool = pool.join(groups, pool["id"] == groups["node"], "left").withColumn("group", F.coalesce("component", "id"))
     pool = written(pool.select("hash", "id", "size", "place", "group"), "pool")
     apart = pool.groupBy("hash").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high")
-    return pool.join(apart.select("hash"), "hash", "left_semi")
+    left = written(pool.join(apart.select("hash"), "hash", "left_semi"), "pool")
+    discard(pool)
+    return left
 
 
 def _pairs_within(pool: DataFrame, similarity: float, side: int) -> DataFrame:
@@ -351,6 +359,11 @@ def _pairs_within(pool: DataFrame, similarity: float, side: int) -> DataFrame:
 
     A bucket is cut into blocks of about ``side`` texts and every two blocks meet in
     their own join key, so a crowded one spreads over tasks.
+
+    The pool holds the first ``p = size - ceil(similarity * size) + 1`` shingles of every
+    text. Whatever two texts share lies in both of these firsts or behind those of the
+    text whose last first comes earlier; so they share no more than what their firsts
+    share and ``size - p`` of one of them, and pairs for which that is too little go.
     """
     sizes = pool.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
     rows = pool.join(sizes, "hash").withColumn("blocks", F.ceil(F.col("n") / side).cast("int"))
@@ -360,8 +373,14 @@ def _pairs_within(pool: DataFrame, similarity: float, side: int) -> DataFrame:
     rows = rows.select("hash", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), F.struct("id", "size", "place", "group", "own").alias("x"))
     a, b = F.col("x"), F.col("y")
     met = rows.join(rows.withColumnRenamed("x", "y"), keys).where((a["id"] < b["id"]) & (a["group"] != b["group"]))
-    met = met.where(((F.col("low") == F.col("high")) | (a["own"] != b["own"])) & _may_be_similar(a, b, similarity))
-    return met.select(a["id"].alias("a"), b["id"].alias("b"))
+    met = met.where((F.col("low") == F.col("high")) | (a["own"] != b["own"]))
+    met = met.where(_sizes_fit(a, b, similarity))
+    met = met.select(a["id"].alias("a"), b["id"].alias("b"), a["size"].alias("n"), b["size"].alias("m"), _may_be_similar(a, b, similarity).alias("may"))
+    # texts of one id, and of one size, are not told apart here; that only counts too many
+    shared = met.groupBy("a", "b", "n", "m").agg(F.count("*").alias("shared"), F.max("may").alias("may"))
+    behind = lambda size: F.ceil(F.col(size) * similarity - 1e-6) - 1
+    most = F.col("shared") + F.greatest(behind("n"), behind("m"))
+    return shared.where(F.col("may") & (most >= similarity / (1 + similarity) * (F.col("n") + F.col("m")) - 1e-6)).select("a", "b")
 
 
 def similar_texts(
@@ -383,19 +402,18 @@ def similar_texts(
     rounds; buckets that this brings into one group are done. All pairs that are left
     and not yet in one group are compared, however many. Null texts count as empty;
     texts without words are equal to each other. Null keys are left out. Repeated
-    keys are one node.
+    keys are one node, linked by any of their texts. ``docs`` is read several times.
     """
     known = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     plain = F.trim(F.regexp_replace(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[\\x20\\x09-\\x0D]+", " "))
-    same = written(known.select("id", F.sha2(plain, 256).alias("digest")), "digests")
-    firsts = same.groupBy("digest").agg(F.min("id").alias("first"))
-    same = same.join(firsts, "digest").select("id", "first")
-    same = written(same, "first-texts")
+    digests = written(known.select("id", F.unhex(F.sha2(plain, 256)).alias("digest")), "digests")
+    firsts = digests.groupBy("digest").agg(F.min("id").alias("first"))
+    same = written(digests.join(firsts, "digest").select("id", "first"), "first-texts")
+    discard(digests)
+    # copies take no part; texts are read where they are needed, not stored again
     kept = same.where("id = first").select("id").distinct()
-    texts = known.join(kept, "id").dropDuplicates(["id"])
-    texts = written(texts, "texts")
-    rare = rare_shingles(texts, width, similarity, frequent_shingles(texts, width))
-    pool = written(_still_apart(_repeated(rare), None), "pool")
+    rare = rare_shingles(known.join(kept, "id", "left_semi"), width, similarity, frequent_shingles(known, width))
+    pool = _still_apart(_repeated(rare), None)
     links = None
     for _ in range(rounds):
         sizes = pool.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") > pair_limit)
@@ -411,14 +429,16 @@ def similar_texts(
         lead = written(lead.select("hash", F.struct("id", "size", "place", "group").alias("y")), "leaders")
         a, b = F.col("x"), F.col("y")
         met = hot.select("hash", F.struct("id", "size", "place", "group").alias("x")).join(lead, "hash")
-        met = met.where((a["group"] != b["group"]) & _may_be_similar(a, b, similarity))
+        # all of them, whatever their places: these buckets lose the leaders, so later counts lack them
+        met = met.where((a["group"] != b["group"]) & (a["id"] != b["id"]) & _sizes_fit(a, b, similarity))
         stars = met.select(F.least(a["id"], b["id"]).alias("a"), F.greatest(a["id"], b["id"]).alias("b"))
-        found = written(jaccard_at_least(stars, texts, width, similarity), "similar")
+        found = written(jaccard_at_least(stars, known, width, similarity), "similar")
         links = found if links is None else links.union(found)
         # leaders have met all others of their bucket
         rest = pool.join(lead.select("hash", b["id"].alias("id")), ["hash", "id"], "left_anti")
-        pool = written(_still_apart(rest, links), "pool")
-    found = written(jaccard_at_least(_pairs_within(pool, similarity, max(pair_limit, 512)), texts, width, similarity), "similar")
+        last, pool = pool, _still_apart(rest, links)
+        discard(last, hot, lead)
+    found = written(jaccard_at_least(_pairs_within(pool, similarity, max(pair_limit, 512)), known, width, similarity), "similar")
     groups = connected_components(found if links is None else links.union(found))
     return same.join(groups, same["first"] == groups["node"], "left").select(
         F.col("id").alias(key), F.coalesce("component", "first").alias("component_id")
