@@ -9,8 +9,9 @@ numbers each, are folded per document, so no rates are stored between steps.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 
 import numpy as np
 import pyarrow as pa
@@ -86,11 +87,11 @@ def learn(docs: DataFrame, labels: DataFrame, domain: Column, key: str = "doc_id
     """Classifier of ``domain``, an expression over ``labels``, from at most ``rows`` labelled documents.
 
     The sample is the labelled keys in the order of a hash, of repeated keys the text
-    of smallest digest; labels without key or domain are left out. The vocabulary is the words most associated with a domain
+    of smallest digest; of several domains of a key the first by name; labels without key or domain are left out. The vocabulary is the words most associated with a domain
     by chi-square among those of at least 8 sampled documents. None without labels.
     """
     known = labels.select(F.col(key).alias("k"), domain.alias("domain")).where("k is not null and domain is not null")
-    chosen = hash_sample(known.dropDuplicates(["k"]), "k", rows, known.count())
+    chosen = hash_sample(known.groupBy("k").agg(F.min("domain").alias("domain")), "k", rows, known.count())
     sample = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     sample = sample.join(F.broadcast(chosen), "k").groupBy("k", "domain").agg(F.min_by("text", F.sha2("text", 256)).alias("text"))
     sample = written(sample, "labelled")
@@ -157,11 +158,12 @@ def _softmax_regression(domains, words, x, y, steps: int = 500, penalty: float =
 
 def members(docs: DataFrame, classifier: Classifier, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_tokens, p0, p1, ...): words and domain posterior of every row, from its whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(classifier)
+    # plain values: executors need not have this package, which a broadcast instance would ask for
+    shared = docs.sparkSession.sparkContext.broadcast({f.name: getattr(classifier, f.name) for f in fields(classifier)})
     names = [f"p{i}" for i in range(len(classifier.domains))]
 
     def run(batches):
-        model = shared.value
+        model = Classifier(**shared.value)
         places = {w: i for i, w in enumerate(model.words)}
         for whole in batches:
             for first in range(0, whole.num_rows, 1_000):
@@ -231,7 +233,7 @@ def fit_rates(members_: DataFrame, wanted, most_steps: int = MOST_STEPS) -> list
     metric that weighs a document by its tokens; there a step of length 1 is safe,
     as its curvature is that of a stochastic matrix. Domains without tokens are left
     out. Steps carry momentum. Stops when no domain's total moves by more than 1e-6
-    of it.
+    of it; a warning tells where ``most_steps`` came first.
     """
     names = [c for c in members_.columns if c.startswith("p") and c[1:].isdigit()]
 
@@ -249,6 +251,8 @@ def fit_rates(members_: DataFrame, wanted, most_steps: int = MOST_STEPS) -> list
         before, now = now, expected(steps)
         if max((abs(a - b) / c for a, b, c in zip(now, before, current) if c > 0), default=0.0) < TOLERANCE:
             break
+    else:
+        warnings.warn(f"the rates moved a domain's total by more than {TOLERANCE} of it in the last of {most_steps} steps", stacklevel=2)
     return steps
 
 
