@@ -146,16 +146,30 @@ def loose_key(column: Column, dtype: T.DataType) -> Column:
     else:
         text = column.cast("string")
     text = F.btrim(text, F.lit(WHITE_SPACE))
-    # exact where the number has a plain decimal form; doubles only beyond
-    plain = text.rlike(r"^[+-]?0*\d{1,20}(\.\d{1,18}0*)?$")
-    exact = F.coalesce(F.when(plain, text.try_cast("decimal(38,18)")), number.try_cast("decimal(38,18)"))
-    exact = F.when(plain | (exact.cast("double") == number), exact)
-    digits = F.regexp_replace(F.regexp_replace(exact.cast("string"), r"0+$", ""), r"\.$", "")
-    # adding zero folds -0.0 into 0.0
-    shown = F.coalesce(F.when(exact == 0, F.lit("0")).otherwise(digits), (number + F.lit(0.0)).cast("string"))
+    if isinstance(dtype, T.FloatType):
+        text = number.cast("string")
+    shown = F.coalesce(_plain_digits(text), (number + F.lit(0.0)).cast("string"))
     return F.when(number.isNotNull(), F.concat(F.lit("n:"), shown)).otherwise(F.concat(F.lit("s:"), column.cast("string")))
 
 
+def _plain_digits(text: Column) -> Column:
+    """A decimal number, with or without an exponent, in the one form without needless zeros; exact at any length.
+
+    Null for other texts, and for exponents beyond those of doubles.
+    """
+    form = r"^([+-]?)(\d*)\.?(\d*)(?:[eE]([+-]?\d{1,3}))?$"
+    sign, whole, part, power = (F.regexp_extract(text, form, i) for i in range(1, 5))
+    digits = F.concat(whole, part)
+    point = F.length(whole) + F.when(power == "", 0).otherwise(power.try_cast("int"))
+    zeros = lambda n: F.repeat(F.lit("0"), n)
+    before = F.when(point <= 0, "").otherwise(F.rpad(F.substring(digits, F.lit(1), point), point, "0"))
+    after = F.when(point < 0, F.concat(zeros(-point), digits)).otherwise(F.substring(digits, F.greatest(point, F.lit(0)) + 1, F.length(digits)))
+    before, after = F.ltrim(before, F.lit("0")), F.rtrim(after, F.lit("0"))
+    size = F.concat(F.when(before == "", "0").otherwise(before), F.when(after == "", "").otherwise(F.concat(F.lit("."), after)))
+    shown = F.when((sign == "-") & (size != "0"), F.concat(F.lit("-"), size)).otherwise(size)
+    return F.when(text.rlike(form) & (digits != "") & (F.abs(point) <= 400 + F.length(digits)), shown)
+
+
 def truth(column: Column, dtype: T.DataType) -> Column:
     """Boolean reading of a value: numbers by non-zero, text by the word lists."""
     if isinstance(dtype, T.BooleanType):

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import json
+import warnings
 from collections.abc import Callable, Iterator, Mapping
 from typing import Any
 
 import pandas as pd
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -107,32 +111,32 @@ def extract_paths(text: Column, outputs: Mapping[str, str], required: bool = Fal
 
 
 def extract_patterns(text: Column, outputs: Mapping[str, str]) -> list[Column]:
-    """One column per output: the group called ``value``, else the whole match."""
+    """One column per output: the group called ``value`` where it takes part in the first match, else the whole match.
+
+    A blank pattern, or one that is no regular expression, gives null; the latter with a warning.
+    """
     columns = []
     for name, pattern in outputs.items():
-        group = 0
-        if "(?<value>" in pattern:
-            group = 1 + capturing_groups(pattern[: pattern.index("(?<value>")])
-        if not pattern.strip():
+        if not pattern.strip() or not _is_pattern(pattern):
             columns.append(F.lit(None).cast("string").alias(name))
             continue
-        whole = F.regexp_extract(text, pattern, 0)
-        value = F.regexp_extract(text, pattern, group)
-        picked = value if group == 0 or _takes_part(pattern) else F.when(value != "", value).otherwise(whole)
+        picked = F.regexp_extract(text, pattern, 0)
+        if "(?<value>" in pattern:
+            value = F.regexp_extract(text, pattern, 1 + capturing_groups(pattern[: pattern.index("(?<value>")]))
+            # a reference to a group that took no part never matches; the rest holds to the first match
+            left_out = text.rlike(rf"\A(?>(?s:.*?)(?>{pattern}))(?!\k<value>)")
+            picked = F.when((value == "") & left_out, picked).otherwise(value)
         columns.append(F.when((text != "") & text.rlike(pattern), picked).alias(name))
     return columns
 
 
-def _takes_part(pattern: str) -> bool:
-    """Whether the group ``value`` is in every match: no choice, and nothing optional, around it."""
-    if "|" in pattern:
+def _is_pattern(pattern: str) -> bool:
+    compile_ = SparkContext._active_spark_context._jvm.java.util.regex.Pattern.compile
+    try:
+        compile_(pattern)
+    except (Py4JJavaError, IllegalArgumentException) as refusal:
+        warnings.warn(f"not a regular expression: {pattern} ({str(refusal).splitlines()[0]})", stacklevel=3)
         return False
-    depth, at = 0, pattern.index("(?<value>")
-    for i in range(at, len(pattern)):
-        escaped = i > 0 and pattern[i - 1] == "\\"
-        depth += 0 if escaped else (pattern[i] == "(") - (pattern[i] == ")")
-        if pattern[i] == ")" and not escaped and depth <= 0 and pattern[i + 1 : i + 2] in ("?", "*", "{"):
-            return False
     return True
 
 

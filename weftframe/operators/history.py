@@ -28,23 +28,33 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], version: Sequence[str | C
 
 def first_steps(df: DataFrame, run: Sequence[str], order_by: Sequence[str], step: int) -> DataFrame:
     """The rows of every run up to a zero-based step; the step is clamped to
-    the run. Positions come from the distributed index, for runs of any length."""
-    return with_group_index(df, run, order_by, "step").where(F.col("step") <= max(step, 0))
+    the run. Spark keeps so many rows per run and task before the shuffle
+    (WindowGroupLimit), so a long run sends little through it."""
+    place = F.row_number().over(Window.partitionBy(*run).orderBy(*order_by))
+    return df.withColumn("step", place).where(F.col("step") <= max(step, 0) + 1).withColumn("step", F.col("step") - 1)
 
 
 def next_versions(
     history: DataFrame, incoming: DataFrame, keys: Sequence[str], order_by: Sequence[str], version: str = "version"
 ) -> DataFrame:
-    """Number new rows per key, continuing after the highest version so far."""
+    """Number new rows per key, continuing after the highest version so far; null is a key like others."""
     numbered = with_group_index(incoming, keys, order_by, "_n")
-    highest = history.groupBy(*keys).agg(F.max(version).alias("_max"))
+    highest = history.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.max(version).alias("_max"))
     return (
-        numbered.join(highest, list(keys), "left")
+        numbered.join(highest, _same_keys(keys), "left")
         .withColumn(version, F.coalesce(F.col("_max"), F.lit(0)) + F.col("_n") + 1)
-        .drop("_max", "_n")
+        .drop("_max", "_n", *[f"_k{i}" for i in range(len(keys))])
     )
 
 
+def _same_keys(keys: Sequence[str]) -> Column:
+    """The keys against columns ``_k0``, ``_k1``, ...; null is a key like others."""
+    same = F.lit(True)
+    for i, key in enumerate(keys):
+        same = same & F.col(key).eqNullSafe(F.col(f"_k{i}"))
+    return same
+
+
 def list_rows(
     df: DataFrame,
     states: Sequence[str] | None = None,
@@ -74,20 +84,22 @@ def upsert(
     """Insert new keys; on known keys overwrite only the ``update`` columns.
 
     Incoming rows are applied in ``sequence`` order: the first row of a new key
-    is inserted, later rows of the key only change the update columns.
+    is inserted, later rows of the key only change the update columns. Null is
+    a key like others.
     """
     order = F.struct(*sequence)
     kept = [c for c in target.columns if c not in keys and c not in update]
-    folded = incoming.groupBy(*keys).agg(
+    folded = incoming.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(
         F.max_by(F.struct(*update), order).alias("_last"),
         F.min_by(F.struct(*kept), order).alias("_first") if kept else F.lit(None).alias("_first"),
     )
     existing = target.withColumn("_known", F.lit(True))
-    merged = existing.join(folded, list(keys), "full")
+    merged = existing.join(folded, _same_keys(keys), "full")
     columns: list[Column] = []
     for name in target.columns:
         if name in keys:
-            columns.append(F.col(name))
+            incoming_key = F.col(f"_k{list(keys).index(name)}")
+            columns.append(F.when(F.col("_known"), F.col(name)).otherwise(incoming_key).alias(name))
         elif name in update:
             columns.append(
                 F.when(F.col("_last").isNotNull(), F.col(f"_last.{name}")).otherwise(F.col(name)).alias(name)
@@ -103,10 +115,13 @@ def ordered_children(df: DataFrame, parent: Sequence[str], order_by: Sequence[st
 
 
 def update_by_key(target: DataFrame, changes: DataFrame, keys: Sequence[str], update: Sequence[str]) -> DataFrame:
-    """Set the update columns where the key occurs in ``changes`` (one row per
-    key); keys that match nothing change nothing."""
-    picked = changes.select(*keys, F.struct(*update).alias("_new"))
-    merged = target.join(picked, list(keys), "left")
+    """Set the update columns where the key occurs in ``changes``; keys that
+    match nothing change nothing, null matches null. Several changes of a key are an
+    error; ``apply_parameter_sets`` takes them in an order."""
+    again = F.raise_error(F.lit("several changes of one key")).cast(changes.select(F.struct(*update).alias("s")).schema["s"].dataType)
+    picked = changes.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.any_value(F.struct(*update)).alias("_one"), F.count("*").alias("_n"))
+    picked = picked.withColumn("_new", F.when(F.col("_n") > 1, again).otherwise(F.col("_one"))).drop("_one", "_n")
+    merged = target.join(picked, _same_keys(keys), "left")
     return merged.select(
         *[
             F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c)
@@ -119,7 +134,7 @@ def update_by_key(target: DataFrame, changes: DataFrame, keys: Sequence[str], up
 
 def affected_rows(target: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row: how many target rows the change set touches."""
-    hit = target.join(changes.select(*keys).distinct(), list(keys), "left_semi")
+    hit = target.join(changes.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).distinct(), _same_keys(keys), "left_semi")
     return hit.agg(F.count(F.lit(1)).alias("affected"))
 
 

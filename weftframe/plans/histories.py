@@ -21,13 +21,16 @@ def latest_per_key(spark, t):
 
 @query(
     "next_version",
-    """WITH old AS (SELECT user_id, count(*) AS top FROM events WHERE event_type IN ('view', 'click') GROUP BY 1)
+    """WITH e AS (SELECT CASE WHEN user_id % 7 > 0 THEN user_id END AS user_id, event_id, ts, event_type FROM events),
+            old AS (SELECT user_id, count(*) AS top FROM e WHERE event_type IN ('view', 'click') GROUP BY 1)
        SELECT e.user_id, e.event_id,
               coalesce(old.top, 0) + row_number() OVER (PARTITION BY e.user_id ORDER BY e.ts, e.event_id) AS version
-       FROM events e LEFT JOIN old ON e.user_id = old.user_id WHERE e.event_type NOT IN ('view', 'click')""",
+       FROM e LEFT JOIN old ON e.user_id IS NOT DISTINCT FROM old.user_id WHERE e.event_type NOT IN ('view', 'click')""",
 )
 def next_version(spark, t):
-    rows = t.events.select("user_id", "event_id", "ts", "event_type")
+    """A seventh of the rows has no user: null is a key like others."""
+    user = F.when(F.col("user_id") % 7 > 0, F.col("user_id"))
+    rows = t.events.select(user.alias("user_id"), "event_id", "ts", "event_type")
     written = rows.where(F.col("event_type").isin("view", "click"))
     # versions so far run from 1 to the number of rows of the key
     so_far = written.groupBy("user_id").agg(F.count(F.lit(1)).alias("version"))
@@ -67,18 +70,21 @@ def hist_list(spark, t):
 
 @query(
     "hist_upsert",
-    """WITH target AS (SELECT user_id, event_type AS state, value, ts AS started_at FROM events WHERE event_type = 'view'
+    """WITH e AS (SELECT * REPLACE (CASE WHEN user_id % 7 > 0 THEN user_id END AS user_id) FROM events),
+            target AS (SELECT user_id, event_type AS state, value, ts AS started_at FROM e WHERE event_type = 'view'
                        QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1),
             inc AS (SELECT user_id, arg_max(event_type, event_id) AS state, arg_max(value, event_id) AS value,
                            arg_min(ts, event_id) AS started_at
-                    FROM events WHERE event_type IN ('error', 'purchase') GROUP BY user_id)
+                    FROM e WHERE event_type IN ('error', 'purchase') GROUP BY user_id)
        SELECT coalesce(t.user_id, i.user_id) AS user_id, coalesce(i.state, t.state) AS state,
               coalesce(i.value, t.value) AS value, coalesce(t.started_at, i.started_at) AS started_at
-       FROM target t FULL JOIN inc i ON t.user_id = i.user_id""",
+       FROM target t FULL JOIN inc i ON t.user_id IS NOT DISTINCT FROM i.user_id""",
 )
 def hist_upsert(spark, t):
+    """A seventh of the rows has no user: null is a key like others."""
+    user = F.when(F.col("user_id") % 7 > 0, F.col("user_id"))
     rows = t.events.select(
-        "user_id", F.col("event_type").alias("state"), "value", F.col("ts").alias("started_at"), "event_id"
+        user.alias("user_id"), F.col("event_type").alias("state"), "value", F.col("ts").alias("started_at"), "event_id"
     )
     target = h.latest_per_key(rows.where("state = 'view'"), ["user_id"], ["event_id"]).drop("event_id")
     incoming = rows.where(F.col("state").isin("error", "purchase"))

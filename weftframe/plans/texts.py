@@ -208,11 +208,13 @@ def new_guid(spark, t):
 
 @query(
     "date_format",
-    """SELECT event_id, strftime(ts, '%d/%m/%Y %A %H:%M:%S %p') AS result FROM events""",
+    """SELECT event_id, strftime(ts, '%d/%m/%Y %A %H:%M:%S %p') || substr(strftime(ts, '.%f'), 1, 5) || ' +05:30 +5' AS result
+       FROM events""",
 )
 def date_format(spark, t):
-    iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-    return _on(t.events, "event_id", dates.format_datetime(iso, "dd/MM/yyyy dddd HH:mm:ss tt"))
+    """In the offset of the text, with four digits of the fraction."""
+    iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'7+05:30'")
+    return _on(t.events, "event_id", dates.format_datetime(iso, "dd/MM/yyyy dddd HH:mm:ss tt.ffff zzz z"))
 
 
 @query("now_iso", "SELECT o_orderkey, true AS same FROM orders")
@@ -311,7 +313,8 @@ def json_extract_map(spark, t):
     "regex_extract_map",
     """SELECT page_id, nullif(regexp_extract(url, '://([^/]+)/', 1), '') AS host,
               nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), '') AS title,
-              nullif(regexp_extract(url, '[?].*', 0), '') AS rest FROM pages""",
+              nullif(regexp_extract(url, '[?].*', 0), '') AS rest, '' AS nothing, 'k=;' AS absent, NULL::VARCHAR AS broken
+       FROM pages""",
 )
 def regex_extract_map(spark, t):
     source = F.concat_ws("\n", "url", "html")
@@ -320,6 +323,11 @@ def regex_extract_map(spark, t):
         "page_id",
         *jsontext.extract_patterns(source, outputs),
         *jsontext.extract_patterns(F.col("url"), {"rest": "[?].*"}),
+        # a group that matches nothing, one that takes no part, and no pattern at all
+        *jsontext.extract_patterns(
+            F.concat("url", F.lit("k=;")),
+            {"nothing": "k=(?<value>[a-z]*)(?:;|,)", "absent": "k=(?:(?<value>[a-z]+)|;)", "broken": "k=("},
+        ),
     )
 
 

@@ -6,6 +6,7 @@ however the events are cut into batches and in whatever order they arrive.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.errors import AnalysisException
@@ -160,8 +161,14 @@ def read_feed(spark: SparkSession, folder: str, schema, pattern: str = "*.parque
 
 def read_table_feed(spark: SparkSession, path: str):
     """A stream over a parquet table, be it one file or a folder of parts. A missing table is an error."""
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).parquet(f"{path.rstrip('/')}*")
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    table = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path.rstrip("/"))
+    files = table.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.getFileStatus(table).isDirectory():
+        return reader.parquet(path)
+    # a stream reads folders: this one file of its folder, and none with a longer name
+    name = re.sub(r"([\\*?\[\]{}])", r"\\\1", table.getName())
+    return reader.option("pathGlobFilter", name).parquet(table.getParent().toString())
 
 
 def fold_stream(
