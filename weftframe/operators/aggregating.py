@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftframe.expressions import TransformError, as_item, numeric_of, quoted, resolve
+from weftframe.operators.indexing import stored
 
 OPERATIONS = ("count", "sum", "avg", "min", "max", "first", "last", "distinct", "median", "mode")
 
-# Rank precision of the first median pass. At most 6 / MEDIAN_ACCURACY of a
-# group is ranked value by value in the second pass: 20 million rows for a group
-# of 3 * 10^11. A sketch of this precision takes about a megabyte.
+# Rank precision of the first median pass; a sketch of it takes about a megabyte.
 MEDIAN_ACCURACY = 100_000
+# Steps that a bracket around the middle is cut into in each later pass.
+MEDIAN_STEPS = 1_024
 
 
 def _order_struct(df: DataFrame, order_by: Sequence[str | Column]) -> Column:
@@ -85,56 +86,66 @@ def _by_value(item: DataFrame, key: Column, value: Column, order: Column, operat
 
 
 def _median(item: DataFrame, key: Column, number: Column, grouped: bool) -> DataFrame:
-    """Exact median without holding a group's values in one task.
-
-    A bounded sketch brackets the middle of each group; rows outside the
-    bracket are only counted (with the nearest value on each side), so the
-    final ranking sees a few thousandths of a group at most.
+    """Exact median by selection: each group's bracket around the middle narrows until it is settled.
+
+    A bounded sketch gives the first bracket. A round then counts every unsettled
+    group's rows below, above and in equal steps of its bracket; the step that holds
+    the middle is the next bracket, with its own least and largest value as ends. The
+    middle is settled once its step holds one value, or the two middle rows lie in two
+    steps. No task sees more of a group than its steps. The rounds run when this is
+    called; each reads the rows once.
     """
     rows = item.select(key.alias("key"), number.alias("v"))
     margin = 3.0 / MEDIAN_ACCURACY
     sketch = F.percentile_approx("v", [0.5 - margin, 0.5 + margin], MEDIAN_ACCURACY)
-    present = rows.where(F.col("v").isNotNull())
-    if grouped:
-        bracket = present.groupBy(F.col("key").alias("_bk")).agg(sketch.alias("_b"))
-        bounded = rows.join(bracket, F.col("key").eqNullSafe(F.col("_bk")), "left")
-    else:
-        bounded = rows.withColumn("_b", present.agg(sketch.alias("_b")).scalar())
-    bounded = bounded.select("key", "v", F.col("_b")[0].alias("lo"), F.col("_b")[1].alias("hi"))
-    zone = F.when(F.col("v") < F.col("lo"), 0).when(F.col("v") > F.col("hi"), 2).otherwise(1)
-    zoned = (
-        bounded.withColumn("zone", F.when(F.col("v").isNotNull(), zone))
-        .groupBy("key", "zone", F.when(F.col("zone") == 1, F.col("v")).alias("inside"))
-        .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lowest"), F.max("v").alias("highest"))
-    )
-    # One row per bracketed value plus one per outer zone: small enough to rank.
-    group = Window.partitionBy("key")
-    upto = group.orderBy("zone", "inside").rowsBetween(Window.unboundedPreceding, 0)
-    is_number = F.col("zone").isNotNull()
-    ranked = (
-        zoned.withColumn("numbers", F.sum(F.when(is_number, F.col("n"))).over(group))
-        .withColumn("upto", F.sum(F.when(is_number, F.col("n")).otherwise(F.lit(0))).over(upto))
-        .withColumn("before", F.col("upto") - F.col("n"))
-    )
-    lower = F.floor((F.col("numbers") + 1) / 2)
-    upper = F.floor((F.col("numbers") + 2) / 2)
-
-    def at_rank(rank: Column) -> Column:
-        # The sketch's error bound lets only the last row of the low zone and
-        # the first of the high zone be a middle one; anything else is a fault.
-        value = (
-            F.when(F.col("zone") == 1, F.col("inside"))
-            .when((F.col("zone") == 0) & (rank == F.col("upto")), F.col("highest"))
-            .when((F.col("zone") == 2) & (rank == F.col("before") + 1), F.col("lowest"))
-            .otherwise(F.raise_error(F.lit("median bracket missed the middle")).cast("double"))
-        )
-        return F.max(F.when(is_number & (F.col("before") < rank) & (rank <= F.col("upto")), value))
-
-    summary = [
-        ((at_rank(lower) + at_rank(upper)) / 2).alias("result"),
-        F.sum("n").alias("count"),
-    ]
-    per_key = ranked.groupBy("key").agg(*summary)
+    counted = rows.groupBy("key").agg(F.count(F.lit(1)).alias("count"), F.count("v").alias("n"), sketch.alias("b"))
+    settled = F.col("n") == 0
+    state = counted.select("key", "count", "n", F.col("b")[0].alias("lo"), F.col("b")[1].alias("hi"), F.lit(None).cast("double").alias("result"), settled.alias("settled"))
+    state = stored(state, "median")
+    done = [state.where("settled")]
+    while True:
+        unsettled = state.where("not settled")
+        if unsettled.isEmpty():
+            break
+        state = stored(_narrowed(rows, unsettled), "median")
+        done.append(state.where("settled"))
+    found = done[0]
+    for more in done[1:]:
+        found = found.unionByName(more)
     if grouped:
-        return per_key.select("key", "result", "count")
-    return per_key.agg(F.max("result").alias("result"))
+        return found.groupBy("key").agg(F.max("result").alias("result"), F.max("count").alias("count"))
+    return found.agg(F.max("result").alias("result"))
+
+
+def _narrowed(rows: DataFrame, brackets: DataFrame) -> DataFrame:
+    """The groups of ``brackets`` after a round over ``rows``: with narrower ends, or settled."""
+    held = brackets.select(F.col("key").alias("_key"), "count", "n", "lo", "hi")
+    met = rows.where(F.col("v").isNotNull()).join(held, F.col("key").eqNullSafe(F.col("_key")))
+    v, lo, hi = F.col("v"), F.col("lo"), F.col("hi")
+    # halves, as the distance of two doubles may be none; infinities and NaN are steps of their own
+    most = float.fromhex("0x1.fffffffffffffp+1023")
+    low, high = F.greatest(lo, F.lit(-most)), F.least(hi, F.lit(most))
+    width = high / 2 - low / 2
+    step = F.when(width > 0, F.floor((v / 2 - low / 2) / width * MEDIAN_STEPS)).when(v > low, MEDIAN_STEPS - 1).otherwise(0)
+    inner = F.least(F.lit(MEDIAN_STEPS - 1), F.greatest(F.lit(0), step.cast("int")))
+    place = F.when(v < lo, -2).when(v > hi, MEDIAN_STEPS + 2).when(F.isnan(v), MEDIAN_STEPS + 1).when(v > most, MEDIAN_STEPS)
+    place = place.when(v < -most, -1).otherwise(inner)
+    steps = met.groupBy("key", "count", "n", place.alias("place")).agg(F.count(F.lit(1)).alias("rows"), F.min("v").alias("least"), F.max("v").alias("most"))
+    listed = F.array_sort(F.collect_list(F.struct("place", "rows", "least", "most")))
+    folded = steps.groupBy("key", "count", "n").agg(listed.alias("steps"))
+    lower, upper = F.floor((F.col("n") + 1) / 2), F.floor((F.col("n") + 2) / 2)
+    none = F.lit(None).cast("struct<place: int, rows: bigint, least: double, most: double>")
+    start = F.struct(F.lit(0).cast("long").alias("before"), none.alias("a"), none.alias("b"))
+
+    def take(at: Column, x: Column) -> Column:
+        upto = at["before"] + x["rows"]
+        first = F.when(at["a"].isNull() & (upto >= lower), x).otherwise(at["a"])
+        second = F.when(at["b"].isNull() & (upto >= upper), x).otherwise(at["b"])
+        return F.struct(upto.alias("before"), first.alias("a"), second.alias("b"))
+
+    a, b = F.col("middle.a"), F.col("middle.b")
+    picked = folded.select("key", "count", "n", F.aggregate("steps", start, take).alias("middle"))
+    apart = a["place"] != b["place"]
+    one = a["least"] == a["most"]
+    result = F.when(apart, (a["most"] + b["least"]) / 2).when(one, a["least"])
+    return picked.select("key", "count", "n", a["least"].alias("lo"), a["most"].alias("hi"), result.alias("result"), (apart | one).alias("settled"))

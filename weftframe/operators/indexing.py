@@ -33,7 +33,7 @@ def _keys(order_by: str | Column | Sequence[str | Column]) -> list[str | Column]
     return list(order_by) if isinstance(order_by, (list, tuple)) else [order_by]
 
 
-def _stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` computed once, in the shared scratch folder; types that Parquet lacks go to a checkpoint."""
     spark = df.sparkSession
     types = df.schema.simpleString()
@@ -63,14 +63,14 @@ def with_row_index(df: DataFrame, order_by=None, name: str = "index") -> DataFra
     free = _free_prefix(df)
     ordered = df if order_by is None else _by_range(df, _keys(order_by))
     # partition in the upper bits, place in it in the lower ones
-    stored = _stored(ordered.withColumn(f"{free}at", F.monotonically_increasing_id()), "rows")
+    kept = stored(ordered.withColumn(f"{free}at", F.monotonically_increasing_id()), "rows")
     part, place = F.shiftright(f"{free}at", _PLACE_BITS), F.col(f"{free}at").bitwiseAND((1 << _PLACE_BITS) - 1)
-    sizes = stored.groupBy(part.alias("part")).agg(F.max(place).alias("last")).orderBy("part").collect()
+    sizes = kept.groupBy(part.alias("part")).agg(F.max(place).alias("last")).orderBy("part").collect()
     offsets, before = {}, 0
     for row in sizes:
         offsets[row["part"]] = before
         before += row["last"] + 1
-    offset = _offset_of(stored, part, offsets, free)
+    offset = _offset_of(kept, part, offsets, free)
     return offset.select(*[F.col(f"`{c}`") for c in df.columns], (place + F.coalesce(f"{free}before", F.lit(0))).alias(name))
 
 
@@ -137,9 +137,9 @@ def with_group_index(df: DataFrame, keys: Sequence[str], order_by, name: str = "
             before, run, last = before + n, int(within[-1]) + 1, [c[n - 1].as_py() for c in columns]
 
     schema = T.StructType([*ordered.schema.fields, *T.StructType.fromDDL(added).fields])
-    stored = _stored(ordered.mapInArrow(count, schema), "groups")
+    kept = stored(ordered.mapInArrow(count, schema), "groups")
     ends = F.struct(*helpers) if helpers else F.lit(True)
-    reports = stored.groupBy(F.col(part).alias("part")).agg(
+    reports = kept.groupBy(F.col(part).alias("part")).agg(
         F.min_by(ends, place).alias("head"),
         F.max_by(ends, place).alias("tail"),
         F.max_by(F.col(inside) + 1, place).alias("run"),
@@ -152,7 +152,7 @@ def with_group_index(df: DataFrame, keys: Sequence[str], order_by, name: str = "
         offsets[row["part"]] = carried if goes_on else 0
         carried = row["run"] + (offsets[row["part"]] if row["single"] else 0)
         tail = row["tail"]
-    met = _offset_of(stored, F.col(part), offsets, free)
+    met = _offset_of(kept, F.col(part), offsets, free)
     index = F.col(inside) + F.when(F.col(lead), F.coalesce(f"{free}before", F.lit(0))).otherwise(0)
     return met.select(*[F.col(f"`{c}`") for c in df.columns], index.alias(name))
 
