@@ -191,7 +191,7 @@ def join_left(spark, t):
 )
 def join_full(spark, t):
     select = {"supplier": "left.s_suppkey", "name": "left.s_name", "part": "right.p_partkey"}
-    return join_tables(t.supplier, t.part, "s_suppkey", "p_size * 3", "full", select).result
+    return join_tables(t.supplier, t.part, "s_suppkey", "p_size * 3", "full", select, once=True).result
 
 
 @query(
