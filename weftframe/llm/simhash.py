@@ -229,7 +229,8 @@ def jaccard_at_least(pairs: DataFrame, texts: DataFrame, width: int, similarity:
     Only texts that take part in a pair are shuffled. Compared in tasks, pair by pair.
     """
     pairs = written(pairs.select("a", "b").distinct(), "pairs")
-    due = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    # a table, so that its size is known when the join with the texts is planned
+    due = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "due")
     texts = texts.join(due, "id", "left_semi")
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
@@ -333,11 +334,9 @@ def _repeated(rows: DataFrame) -> DataFrame:
 def _may_be_similar(a, b, similarity: float) -> Column:
     """Whether sizes and places of a shared shingle leave room; true at the first one that similar texts share."""
     after = F.least(a["size"] - a["place"], b["size"] - b["place"])
-    return (after >= similarity / (1 + similarity) * (a["size"] + b["size"]) - 1e-6) & _sizes_fit(a, b, similarity)
-
-
-def _sizes_fit(a, b, similarity: float) -> Column:
-    return F.least(a["size"], b["size"]) >= similarity * F.greatest(a["size"], b["size"]) - 1e-6
+    return (after >= similarity / (1 + similarity) * (a["size"] + b["size"]) - 1e-6) & (
+        F.least(a["size"], b["size"]) >= similarity * F.greatest(a["size"], b["size"]) - 1e-6
+    )
 
 
 def _still_apart(pool: DataFrame, links: DataFrame | None) -> DataFrame:
@@ -359,11 +358,6 @@ def _pairs_within(pool: DataFrame, similarity: float, side: int) -> DataFrame:
 
     A bucket is cut into blocks of about ``side`` texts and every two blocks meet in
     their own join key, so a crowded one spreads over tasks.
-
-    The pool holds the first ``p = size - ceil(similarity * size) + 1`` shingles of every
-    text. Whatever two texts share lies in both of these firsts or behind those of the
-    text whose last first comes earlier; so they share no more than what their firsts
-    share and ``size - p`` of one of them, and pairs for which that is too little go.
     """
     sizes = pool.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
     rows = pool.join(sizes, "hash").withColumn("blocks", F.ceil(F.col("n") / side).cast("int"))
@@ -373,14 +367,8 @@ def _pairs_within(pool: DataFrame, similarity: float, side: int) -> DataFrame:
     rows = rows.select("hash", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), F.struct("id", "size", "place", "group", "own").alias("x"))
     a, b = F.col("x"), F.col("y")
     met = rows.join(rows.withColumnRenamed("x", "y"), keys).where((a["id"] < b["id"]) & (a["group"] != b["group"]))
-    met = met.where((F.col("low") == F.col("high")) | (a["own"] != b["own"]))
-    met = met.where(_sizes_fit(a, b, similarity))
-    met = met.select(a["id"].alias("a"), b["id"].alias("b"), a["size"].alias("n"), b["size"].alias("m"), _may_be_similar(a, b, similarity).alias("may"))
-    # texts of one id, and of one size, are not told apart here; that only counts too many
-    shared = met.groupBy("a", "b", "n", "m").agg(F.count("*").alias("shared"), F.max("may").alias("may"))
-    behind = lambda size: F.ceil(F.col(size) * similarity - 1e-6) - 1
-    most = F.col("shared") + F.greatest(behind("n"), behind("m"))
-    return shared.where(F.col("may") & (most >= similarity / (1 + similarity) * (F.col("n") + F.col("m")) - 1e-6)).select("a", "b")
+    met = met.where(((F.col("low") == F.col("high")) | (a["own"] != b["own"])) & _may_be_similar(a, b, similarity))
+    return met.select(a["id"].alias("a"), b["id"].alias("b"))
 
 
 def similar_texts(
@@ -411,7 +399,7 @@ def similar_texts(
     same = written(digests.join(firsts, "digest").select("id", "first"), "first-texts")
     discard(digests)
     # copies take no part; texts are read where they are needed, not stored again
-    kept = same.where("id = first").select("id").distinct()
+    kept = written(same.where("id = first").select("id").distinct(), "kept")
     rare = rare_shingles(known.join(kept, "id", "left_semi"), width, similarity, frequent_shingles(known, width))
     pool = _still_apart(_repeated(rare), None)
     links = None
@@ -429,8 +417,7 @@ def similar_texts(
         lead = written(lead.select("hash", F.struct("id", "size", "place", "group").alias("y")), "leaders")
         a, b = F.col("x"), F.col("y")
         met = hot.select("hash", F.struct("id", "size", "place", "group").alias("x")).join(lead, "hash")
-        # all of them, whatever their places: these buckets lose the leaders, so later counts lack them
-        met = met.where((a["group"] != b["group"]) & (a["id"] != b["id"]) & _sizes_fit(a, b, similarity))
+        met = met.where((a["group"] != b["group"]) & _may_be_similar(a, b, similarity))
         stars = met.select(F.least(a["id"], b["id"]).alias("a"), F.greatest(a["id"], b["id"]).alias("b"))
         found = written(jaccard_at_least(stars, known, width, similarity), "similar")
         links = found if links is None else links.union(found)
