@@ -407,6 +407,30 @@ class Pieces:
             out.append(np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32))
         return out
 
+    def gives_back(self, ids: np.ndarray, sizes: np.ndarray, texts: list[bytes]) -> list[bool]:
+        """Whether decoding gives each text; ``ids`` of all texts one after the other, ``sizes`` of them each.
+
+        The bytes of all pieces are gathered at once.
+        """
+        if not hasattr(self, "_bytes"):
+            whole = [t.replace(MARK, " ").encode() for t in self.texts]
+            for i, b in self.byte_of.items():
+                whole[i] = bytes([b])
+            whole[self.unknown] = " ⁇ ".encode()
+            self._bytes = np.frombuffer(b"".join(whole), np.uint8)
+            self._sizes = np.fromiter(map(len, whole), np.int64, len(whole))
+            self._starts = np.cumsum(self._sizes) - self._sizes
+        lengths = self._sizes[ids]
+        before = np.concatenate(([0], np.cumsum(lengths)))
+        flat = self._bytes[np.repeat(self._starts[ids] - before[:-1], lengths) + np.arange(before[-1])].tobytes()
+        edges = before[np.concatenate(([0], np.cumsum(sizes)))].tolist()
+        out = []
+        for a, b, text in zip(edges, edges[1:], texts):
+            if self.dummy_prefix and flat[a : a + 1] == b" " and a < b:
+                a += 1
+            out.append(flat[a:b] == text)
+        return out
+
     def decode(self, ids: list[int]) -> str:
         """The text of a sequence of ids; unknown pieces come out as the model's unknown surface."""
         texts = self.texts
@@ -439,7 +463,7 @@ def pieces_of(path: str) -> Pieces:
     return _loaded[path]
 
 
-def _cut(batch: pa.RecordBatch, most: int = 2_000_000):
+def _cut(batch: pa.RecordBatch, most: int = 4_000_000):
     """Slices of a batch of at most ``most`` characters, or one row."""
     sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
     first, held = 0, 0
@@ -473,8 +497,8 @@ def encode(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "t
                 columns = [batch.column(0), pa.ListArray.from_arrays(offsets, flat), pa.array(sizes)]
                 names = ["k", "ids", "n_pieces"]
                 if check:
-                    back = [pieces.decode(i.tolist()) == t for i, t in zip(ids, texts)]
-                    columns.append(pa.array(back, pa.bool_()))
+                    bodies = [t or b"" for t in batch.column(1).cast(pa.large_binary()).to_pylist()]
+                    columns.append(pa.array(pieces.gives_back(flat.to_numpy(), sizes, bodies), pa.bool_()))
                     names.append("round_trip")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
