@@ -27,7 +27,7 @@ from weftframe.llm.common import uncollected
 # Fixed value: the mark that stands for a blank inside pieces.
 MARK = "▁"
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_SLOTS = 21  # bits of a slot number in the table of known pairs
+_SLOTS = 23  # bits of a slot number in the table of known pairs
 _NONE = np.int32(-1)
 _LEADING = 22
 # words a worker keeps with their ids
