@@ -80,9 +80,9 @@ def import_catalog(spark: SparkSession, tables: Mapping[str, DataFrame]) -> Data
     return spark.createDataFrame(rows, schema)
 
 
-def session_tables(spark: SparkSession) -> dict[str, DataFrame]:
-    """Tables and views of the current database, by name."""
-    return {t.name: spark.table(t.name) for t in spark.catalog.listTables()}
+def session_tables(spark: SparkSession, pattern: str | None = None) -> dict[str, DataFrame]:
+    """Tables and views of the current database, by name; ``pattern`` such as ``sales_*`` chooses some."""
+    return {t.name: spark.table(t.name) for t in spark.catalog.listTables(pattern=pattern)}
 
 
 def sample_value(dtype: T.DataType, index: Column) -> Column:
