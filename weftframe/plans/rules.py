@@ -208,6 +208,58 @@ def dq_schema(spark, t):
     return check_schema(nested, schema).errors("o_orderkey")
 
 
+@query(
+    "dq_schema_nested",
+    """WITH m AS (
+         SELECT p_partkey, '/measures/0' AS place, 'size' AS name, CAST(p_size AS DOUBLE) AS value FROM part
+         UNION ALL SELECT p_partkey, '/measures/1', 'price', p_retailprice FROM part)
+       SELECT p_partkey, place || '/value' AS field, 'multipleOf' AS rule, 'violates multipleOf 5' AS message
+       FROM m WHERE name = 'size' AND value % 5 <> 0
+       UNION ALL SELECT p_partkey, place || '/value', 'exclusiveMaximum', 'violates exclusiveMaximum 1000'
+       FROM m WHERE value >= 1000
+       UNION ALL SELECT p_partkey, place || '/unit', 'additionalProperties', 'nothing is allowed here'
+       FROM m WHERE name = 'price'
+       UNION ALL SELECT p_partkey, '/words', 'contains', 'violates contains {"enum": ["bolt", "widget"]}'
+       FROM part WHERE NOT list_has_any(string_split(p_name, ' '), ['bolt', 'widget'])
+       UNION ALL SELECT p_partkey, '/brand', 'not', 'violates not {"const": "Brand#13"}'
+       FROM part WHERE p_brand = 'Brand#13'
+       UNION ALL SELECT p_partkey, '/type', 'oneOf', 'violates oneOf [{"pattern": "^E"}, {"pattern": "O"}]'
+       FROM part WHERE (p_type LIKE 'E%') = (p_type LIKE '%O%')
+       UNION ALL SELECT p_partkey, '/inner/inner/size', 'type', 'violates type "string"' FROM part""",
+)
+def dq_schema_nested(spark, t):
+    """A recursive schema with references over VARIANT documents, one for each part."""
+    measure = lambda name, value: f"'name', '{name}', 'value', cast({value} as double)"
+    document = F.expr(
+        f"""parse_json(to_json(named_struct('brand', p_brand, 'type', p_type, 'words', split(p_name, ' '),
+            'measures', array(named_struct({measure("size", "p_size")}, 'unit', cast(null as string)),
+                              named_struct({measure("price", "p_retailprice")}, 'unit', 'EUR')),
+            'inner', named_struct('inner', named_struct('size', p_size)))))"""
+    )
+    schema = {
+        "$defs": {
+            "measure": {
+                "required": ["name", "value"],
+                "properties": {"name": {"enum": ["size", "price"]}, "value": {"exclusiveMaximum": 1000}},
+                "additionalProperties": False,
+                "if": {"properties": {"name": {"const": "size"}}},
+                "then": {"properties": {"value": {"multipleOf": 5}}},
+            }
+        },
+        "type": "object",
+        "properties": {
+            "brand": {"not": {"const": "Brand#13"}},
+            "type": {"oneOf": [{"pattern": "^E"}, {"pattern": "O"}]},
+            "words": {"uniqueItems": True, "contains": {"enum": ["bolt", "widget"]}},
+            "measures": {"prefixItems": [{"$ref": "#/$defs/measure"}], "items": {"$ref": "#/$defs/measure"}},
+            "size": {"type": "string"},
+            "inner": {"$ref": "#"},
+        },
+    }
+    parts = t.part.select("p_partkey", document.alias("document"))
+    return check_schema(parts, schema, column="document").errors("p_partkey")
+
+
 @query(
     "dq_split",
     f"""SELECT c_custkey, coalesce(({SEGMENT}) <> '' AND c_acctbal >= 0, false) AS valid FROM customer""",
