@@ -10,12 +10,12 @@ character, is the cross-parsing entropy; the least entropy wins.
 from __future__ import annotations
 
 import hashlib
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
@@ -35,7 +35,7 @@ _SHARPNESS = 12.0
 # pieces parsed together, which bounds the memory of a task
 _LANES = 16_384
 _PARSED_BYTES = 8_000_000
-_GAPS = re.compile(r"[\W\d_]+")
+_GAPS = regex.compile(r"\P{L}+")
 
 
 def normalised(text: str) -> str:
