@@ -172,3 +172,20 @@ def test_plain_bounds_reach_the_scan(spark, tmp_path):
     df = spark.read.parquet(str(tmp_path / "t"))
     checked = check_schema(df, {"properties": {"id": {"minimum": 3}}})
     assert checked.valid.count() == 7
+
+
+def test_errors_evaluate_each_check_once(spark):
+    """No filter on the array of errors, which would repeat every check and the column under check."""
+    made = F.parse_json(F.concat(F.lit('{"a": '), F.col("id").cast("string"), F.lit("}")))
+    df = spark.range(4).select("id", made.alias("v"))
+    schema = {"properties": {"a": {"type": "integer", "minimum": 2}, "b": {"type": "string"}}, "required": ["a"]}
+    errors = check_schema(df, schema, column="v").errors("id")
+    assert {tuple(r) for r in errors.collect()} == {(i, "/a", "minimum", "violates minimum 2") for i in (0, 1)}
+    assert errors._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
+
+
+def test_nested_check_is_spread(spark, small):
+    from weftframe.plans import QUERIES
+
+    plan = QUERIES["dq_schema_nested"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan and plan.count("parseJson") == 1

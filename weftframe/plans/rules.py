@@ -256,7 +256,9 @@ def dq_schema_nested(spark, t):
             "inner": {"$ref": "#"},
         },
     }
-    parts = t.part.select("p_partkey", document.alias("document"))
+    # a check of this size is worth spreading the rows of a file that Spark reads as few splits
+    spread = t.part.repartition("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")
+    parts = spread.select("p_partkey", document.alias("document"))
     return check_schema(parts, schema, column="document").errors("p_partkey")
 
 
