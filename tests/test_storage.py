@@ -206,3 +206,14 @@ def test_catalog_import(spark):
 
 def test_scratch_folder_follows_the_session(spark):
     assert scratch_path(spark, "x").startswith(os.path.join(spark.conf.get("spark.checkpoint.dir"), "weftframe-x-"))
+
+
+def test_xml_files_are_bounded(spark, tmp_path):
+    path = str(tmp_path / "people")
+    rows = spark.range(60_000).select(F.col("id").alias("@id")).coalesce(1)
+    sinks.write_xml(rows, path, root_element="people", row_element="person")
+    assert len([f for f in os.listdir(path) if f.endswith(".xml")]) == 2
+    sinks.write_xml(rows.limit(10), path, root_element="people", row_element="person", rows_per_file=4)
+    assert len([f for f in os.listdir(path) if f.endswith(".xml")]) == 3
+    back = files.read_xml(spark, path, "person", schema="`@id` string")
+    assert sorted(int(r[0]) for r in back.collect()) == list(range(10))

@@ -78,12 +78,19 @@ def write_json(
 
 
 def write_xml(
-    df: DataFrame, path: str, root_element: str = "root", row_element: str = "row", mode: str = "overwrite"
+    df: DataFrame,
+    path: str,
+    root_element: str = "root",
+    row_element: str = "row",
+    mode: str = "overwrite",
+    rows_per_file: int = 50_000,
 ) -> None:
+    """XML parts of at most ``rows_per_file`` rows: Spark cannot split an XML file, so one task reads it whole."""
     (
         df.write.format("xml")
         .mode(save_mode(mode))
         .options(**XML_OPTIONS)
+        .option("maxRecordsPerFile", rows_per_file)
         .option("rootTag", root_element)
         .option("rowTag", row_element)
         .save(path)
