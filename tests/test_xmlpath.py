@@ -129,3 +129,12 @@ def test_random_documents_against_elementtree(spark):
                 once = {id(e): e for e in root.findall(path)}  # it finds some elements twice
                 want = Counter(sorted_json(xmltext.element_value(e)) for e in once.values())
                 assert Counter(sorted_json(json.loads(v)) for v in row[f"p{n}"]) == want, (path, texts[row["i"]])
+
+
+def test_text_is_vetted_and_named_once_for_all_paths(spark):
+    df = spark.createDataFrame([("<a><b>1</b></a>",), (None,)], "x string")
+    q = xmlpath.xml_queries(F.col("x"), {"p": "/a", "q": "//b", "r": "/a/b[1]"})
+    plan = df.select(q.alias("q"))
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("document type declaration is refused") == 1 and text.count("regexp_extract(") == 1
+    assert [r[0] and (r[0]["p"]["matchCount"], r[0]["q"]["matchCount"], r[0]["r"]["matchCount"]) for r in plan.collect()] == [(1, 1, 1), (None, None, None)]

@@ -230,8 +230,8 @@ def _children(node: Column, name: str) -> Column:
     return F.flatten(listed)
 
 
-def _with_descendants(nodes: Column, steps: Column) -> Column:
-    """The nodes and all elements below them; ``steps`` is no less than the depth."""
+def _descendants(nodes: Column, steps: Column) -> Column:
+    """The nodes and all elements below them, level by level; ``steps`` is no less than the depth."""
     start = F.struct(nodes.alias("found"), nodes.alias("last"))
 
     def down(state, _):
@@ -240,7 +240,7 @@ def _with_descendants(nodes: Column, steps: Column) -> Column:
             F.transform(F.array(below), lambda b: F.struct(F.concat(state["found"], b).alias("found"), b.alias("last")))[0]
         )
 
-    return _in_order(F.aggregate(F.sequence(F.lit(1), steps), start, down)["found"])
+    return F.aggregate(F.sequence(F.lit(1), steps), start, down)["found"]
 
 
 def _in_order(nodes: Column) -> Column:
@@ -266,7 +266,7 @@ class _Compiler:
     def walk(self, nodes: Column, steps: list[Step]) -> Column:
         for step in steps:
             if step.deep:
-                nodes = _with_descendants(nodes, self.depth)
+                nodes = _in_order(_descendants(nodes, self.depth))
             nodes = F.flatten(F.transform(nodes, self.step(step)))
         return nodes
 
@@ -358,23 +358,29 @@ class _Compiler:
         return F.exists(values(a), lambda x: F.coalesce(F.exists(right, lambda y: F.coalesce(getattr(x, kinds[op])(y), F.lit(False))), F.lit(False)))
 
 
-def _finder(path: str, safe: Column, from_root: bool) -> Callable[[Column], Column]:
-    """From the parsed text to the array of elements at a path."""
+def _document(xml: Column, on_error: str) -> Column:
+    """Array of the parsed text, its root's name and a bound on its depth, for a lambda to bind them once."""
+    # no element lies deeper than there are closing marks
+    depth = F.length(xml) - F.length(F.replace(xml, F.lit("</"), F.lit("<"))) + 1
+    return F.array(F.struct(xml_variant(xml, on_error).alias("value"), root_name(xml).alias("name"), depth.alias("depth")))
+
+
+def _finder(path: str, from_root: bool) -> Callable[[Column], Column]:
+    """From an entry of ``_document`` to the array of elements at a path."""
     paths = _Reader(path).union()
     if any(p.last or not p.steps for p in paths):
         raise TransformError(f"XPath '{path}' does not select elements")
-    # no element lies deeper than there are closing marks
-    depth = F.length(safe) - F.length(F.replace(safe, F.lit("</"), F.lit("<"))) + 1
-    compiler = _Compiler(depth)
 
-    def at_root(step: Step, root: Column) -> Column:
+    def at_root(step: Step, root: Column, compiler: _Compiler) -> Column:
         own = F.array(root) if step.name == "*" else F.filter(F.array(root), lambda n: n["name"] == step.name)
         for predicate in step.predicates:
             own = F.filter(own, lambda n, i: compiler.holds(predicate, n, i + 1, F.lit(1)))  # noqa: B023
         return own
 
-    def found(value: Column) -> Column:
-        root = _node(root_name(safe), F.lit("/"), value)
+    def found(document: Column) -> Column:
+        value, depth = document["value"], document["depth"]
+        compiler = _Compiler(depth)
+        root = _node(document["name"], F.lit("/"), value)
         parts = []
         for p in paths:
             if from_root and not p.absolute:
@@ -382,12 +388,13 @@ def _finder(path: str, safe: Column, from_root: bool) -> Callable[[Column], Colu
                 continue
             # the document's only child is the root element
             first, *rest = p.steps
-            start = at_root(first, root)
+            start = at_root(first, root, compiler)
             if first.deep:
-                below = F.transform(_with_descendants(F.array(root), depth), compiler.step(first))
+                # put in order at the end
+                below = F.transform(_descendants(F.array(root), depth), compiler.step(first))
                 start = F.concat(start, F.flatten(below))
             parts.append(compiler.walk(start, rest))
-        nodes = F.concat(*parts)
+        nodes = F.concat(*parts) if len(parts) > 1 else parts[0]
         if len(paths) > 1 or any(step.deep for p in paths for step in p.steps):
             nodes = _in_order(nodes)
         return F.when(value.isNotNull(), F.transform(nodes, lambda n: n["value"]))
@@ -406,8 +413,7 @@ def xml_elements(xml: Column, path: str, on_error: str = "fail", from_root: bool
     name. An element with child elements has no text of its own in predicates. Anything else,
     and a path that ends in a text or an attribute, is an error when the expression is built.
     """
-    found = _finder(path, refuse_doctype(xml, on_error), from_root)
-    return F.transform(F.array(xml_variant(xml, on_error)), found)[0]
+    return F.transform(_document(xml, on_error), _finder(path, from_root))[0]
 
 
 def xml_queries(xml: Column, paths: dict[str, str], required: bool = False, on_error: str = "fail") -> Column:
@@ -416,7 +422,7 @@ def xml_queries(xml: Column, paths: dict[str, str], required: bool = False, on_e
     One match is the element itself, none or several are an array. With ``required``
     no match is an error. A null text gives nulls. Paths as in ``xml_elements``.
     """
-    finders = {name: _finder(path, refuse_doctype(xml, on_error), False) for name, path in paths.items()}
+    finders = {name: _finder(path, False) for name, path in paths.items()}
 
     def shaped(found: Column, path: str) -> Column:
         result = F.when(F.size(found) == 1, found[0]).otherwise(F.to_variant_object(found))
@@ -425,12 +431,12 @@ def xml_queries(xml: Column, paths: dict[str, str], required: bool = False, on_e
             result = F.when(F.size(found) == 0, refusal).otherwise(result)
         return F.struct(F.when(found.isNotNull(), result).alias("result"), F.when(found.isNotNull(), F.size(found)).alias("matchCount"))
 
-    def all_of(value: Column) -> Column:
+    def all_of(document: Column) -> Column:
         # each list of elements is bound once
-        lists = {name: F.transform(F.array(find(value)), lambda x: shaped(x, paths[name]))[0] for name, find in finders.items()}  # noqa: B023
+        lists = {name: F.transform(F.array(find(document)), lambda x: shaped(x, paths[name]))[0] for name, find in finders.items()}  # noqa: B023
         return F.struct(*[found.alias(name) for name, found in lists.items()])
 
-    return F.transform(F.array(xml_variant(xml, on_error)), all_of)[0]
+    return F.transform(_document(xml, on_error), all_of)[0]
 
 
 def xml_query(xml: Column, path: str, required: bool = False, on_error: str = "fail") -> Column:
