@@ -450,3 +450,13 @@ def test_pipeline_against_plain_stages(spark, small):
     firsts = {i for i in sets if groups[i] == i}
     assert left == firsts
     assert single.columns == docs.columns == [f.split()[0] for f in DOC_SCHEMA.split(", ")]
+
+
+def test_similar_texts_meet_by_fingerprint_and_are_checked(spark, monkeypatch):
+    """Without any bucket of shingles: equal word counts give equal fingerprints, the shingle sets decide."""
+    words = [f"w{i}" for i in range(300)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[150:] + words[:150])), (3, " ".join(words[::-1])), (4, "other " * 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(simhash, "_repeated", lambda pool: pool.limit(0))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_texts(docs).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4}

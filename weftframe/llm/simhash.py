@@ -5,7 +5,7 @@ agree on at least ``blocks - distance`` of ``blocks`` bit blocks, so they meet
 under at least one choice of that many blocks. Links are sought under every
 choice, then verified by counting the differing bits.
 
-Similar texts are found without fingerprints: see ``similar_texts``.
+Similar texts meet by fingerprint first, then at their rarest shingles: see ``similar_texts``.
 """
 
 from __future__ import annotations
@@ -193,6 +193,24 @@ def close_links(distinct: DataFrame, distance: int = 3, blocks: int = 5, pair_li
     return pairs.union(stars).distinct()
 
 
+def leader_links(leaders: DataFrame, distance: int = 3, blocks: int = 5, pair_limit: int = PAIR_LIMIT) -> DataFrame:
+    """``close_links`` between the leaders of (fingerprint, leader), as (a, b)."""
+    links = close_links(leaders, distance, blocks, pair_limit)
+    return (
+        links.join(leaders.select(F.col("fingerprint").alias("x"), F.col("leader").alias("a")), "x")
+        .join(leaders.select(F.col("fingerprint").alias("y"), F.col("leader").alias("b")), "y")
+        .select("a", "b")
+    )
+
+
+def fingerprint_pairs(texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ids of (id, text): leaders of close weighted-word fingerprints, and each with its equals."""
+    prints = written(fingerprints(texts, "id", "text", width=None), "prints")
+    leaders = written(prints.groupBy("fingerprint").agg(F.min("id").alias("leader")), "leaders")
+    equals = prints.join(leaders, "fingerprint").select(F.col("leader").alias("a"), F.col("id").alias("b"))
+    return leader_links(leaders).union(equals).where("a <> b")
+
+
 def near_groups(prints: DataFrame, key: str = "doc_id", distance: int = 3, blocks: int = 5, pair_limit: int = PAIR_LIMIT) -> DataFrame:
     """(key, fingerprint, component_id): smallest key reachable over close fingerprints.
 
@@ -202,13 +220,7 @@ def near_groups(prints: DataFrame, key: str = "doc_id", distance: int = 3, block
     """
     leaders = prints.groupBy("fingerprint").agg(F.min(key).alias("leader"))
     leaders = written(leaders, "leaders")
-    links = close_links(leaders, distance, blocks, pair_limit)
-    named = (
-        links.join(leaders.select(F.col("fingerprint").alias("x"), F.col("leader").alias("a")), "x")
-        .join(leaders.select(F.col("fingerprint").alias("y"), F.col("leader").alias("b")), "y")
-        .select("a", "b")
-    )
-    groups = connected_components(named)
+    groups = connected_components(leader_links(leaders, distance, blocks, pair_limit))
     labels = leaders.join(groups, leaders["leader"] == groups["node"], "left").select(
         "fingerprint", F.coalesce("component", "leader").alias("component_id")
     )
@@ -339,11 +351,9 @@ def _may_be_similar(a, b, similarity: float) -> Column:
     )
 
 
-def _still_apart(pool: DataFrame, links: DataFrame | None) -> DataFrame:
+def _still_apart(pool: DataFrame, links: DataFrame) -> DataFrame:
     """The pool, written, with the group of each text so far, without the buckets that lie in one group."""
     pool = pool.select("hash", "id", "size", "place")
-    if links is None:
-        return written(pool.withColumn("group", F.col("id")), "pool")
     groups = connected_components(links)
     pool = pool.join(groups, pool["id"] == groups["node"], "left").withColumn("group", F.coalesce("component", "id"))
     pool = written(pool.select("hash", "id", "size", "place", "group"), "pool")
@@ -382,7 +392,8 @@ def similar_texts(
 ) -> DataFrame:
     """(key, component_id): groups of equal texts and of texts at ``similarity`` or more.
 
-    Exact: texts meet in a bucket for each of their rarest shingles, as many as it
+    Texts of close SimHash fingerprints are compared first, and linked where their shingle
+    sets confirm it. Exact: the rest meet in a bucket for each of their rarest shingles, as many as it
     takes for all similar ones to meet (``rare_shingles``), and are compared on the
     sets of ``width``-word shingles. Equal texts (A-Z in lower case, gaps alike) are
     one before any pairing. In a bucket of more than ``pair_limit`` texts all are first
@@ -400,18 +411,17 @@ def similar_texts(
     discard(digests)
     # copies take no part; texts are read where they are needed, not stored again
     kept = written(same.where("id = first").select("id").distinct(), "kept")
-    rare = rare_shingles(known.join(kept, "id", "left_semi"), width, similarity, frequent_shingles(known, width))
-    pool = _still_apart(_repeated(rare), None)
-    links = None
+    distinct = known.join(kept, "id", "left_semi")
+    links = written(jaccard_at_least(fingerprint_pairs(distinct), distinct, width, similarity), "similar")
+    rare = rare_shingles(distinct, width, similarity, frequent_shingles(known, width))
+    pool = _still_apart(_repeated(rare), links)
     for _ in range(rounds):
         sizes = pool.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") > pair_limit)
         hot = written(pool.join(sizes.select("hash"), "hash"), "hot")
         if hot.isEmpty():
             break
-        ranked = hot.withColumn("links", F.lit(0))
-        if links is not None:
-            degrees = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
-            ranked = hot.join(degrees, "id", "left").withColumn("links", F.coalesce("links", F.lit(0)))
+        degrees = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
+        ranked = hot.join(degrees, "id", "left").withColumn("links", F.coalesce("links", F.lit(0)))
         order = Window.partitionBy("hash").orderBy(F.desc("links"), "id")
         lead = ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= LEADERS)
         lead = written(lead.select("hash", F.struct("id", "size", "place", "group").alias("y")), "leaders")
@@ -420,13 +430,13 @@ def similar_texts(
         met = met.where((a["group"] != b["group"]) & _may_be_similar(a, b, similarity))
         stars = met.select(F.least(a["id"], b["id"]).alias("a"), F.greatest(a["id"], b["id"]).alias("b"))
         found = written(jaccard_at_least(stars, known, width, similarity), "similar")
-        links = found if links is None else links.union(found)
+        links = links.union(found)
         # leaders have met all others of their bucket
         rest = pool.join(lead.select("hash", b["id"].alias("id")), ["hash", "id"], "left_anti")
         last, pool = pool, _still_apart(rest, links)
         discard(last, hot, lead)
     found = written(jaccard_at_least(_pairs_within(pool, similarity, max(pair_limit, 512)), known, width, similarity), "similar")
-    groups = connected_components(found if links is None else links.union(found))
+    groups = connected_components(links.union(found))
     return same.join(groups, same["first"] == groups["node"], "left").select(
         F.col("id").alias(key), F.coalesce("component", "first").alias("component_id")
     )
