@@ -452,6 +452,18 @@ def test_pipeline_against_plain_stages(spark, small):
     assert single.columns == docs.columns == [f.split()[0] for f in DOC_SCHEMA.split(", ")]
 
 
+def test_letters_with_runs_of_marks_need_no_whole_encoding(monkeypatch):
+    """Ids as the library's; the whole tokenizer is asked for a run of marks once, never for the words before it."""
+    encoder = token_lists.Encoder(vocabulary("byte_bpe_50k.json"))
+    asked = []
+    whole = encoder.whole
+    monkeypatch.setattr(encoder, "whole", lambda text: asked.append(text) or whole(text))
+    texts = ["Zebus%%% ran.] Zebus.] été%%%\nran!? (no '", "Kühe%%% ran%%%"]
+    want = encoder.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    assert [ids.tolist() for ids in encoder.encode(texts, 2)] == [w.ids + [2] for w in want]
+    assert sorted(asked) == [" '", " (no", "!?", "%%%", ".]"]
+
+
 def test_similar_texts_meet_by_fingerprint_and_are_checked(spark, monkeypatch):
     """Without any bucket of shingles: equal word counts give equal fingerprints, the shingle sets decide."""
     words = [f"w{i}" for i in range(300)]

@@ -23,6 +23,8 @@ from weftframe.llm.common import uncollected
 
 # chunks a worker keeps with their ids
 KNOWN_CHUNKS = 500_000
+# runs of marks it keeps with theirs
+KNOWN_MARKS = 20_000
 
 
 # Fixed rule of byte-level pre-tokens: bytes without a visible letter of their own take those from 256 on.
@@ -30,6 +32,37 @@ _PLAIN_BYTES = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTE_LETTERS = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PLAIN_BYTES)}
 
 
+# marks that the pre-tokenizer cuts off behind letters, a run of them as one; not the apostrophe, which may keep letters
+_MARKS = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum() and chr(i) != "'")
+
+
+class _Chunks(dict):
+    """Ids of chunks that follow ``blank``, as bytes, found when first asked for; None where a text must go whole."""
+
+    def __init__(self, encoder: Encoder, blank: str):
+        super().__init__()
+        self.encoder, self.blank = encoder, blank
+        self.letters = "".join(chr(_BYTE_LETTERS[b]) for b in blank.encode())
+        self.tokenize = encoder.tokenizer.model.tokenize
+
+    def __missing__(self, chunk: str) -> bytes | None:
+        ids = None
+        stem = chunk.rstrip(_MARKS)
+        if self.encoder.direct and stem.isalpha():
+            ids = self.get(stem)
+            if ids is None:
+                # letters go to the tokenizer's merge model, which is what its pre-tokens go to
+                seen = stem if stem.isascii() else stem.encode().decode("latin-1").translate(_BYTE_LETTERS)
+                ids = self[stem] = array("i", [t.id for t in self.tokenize(self.letters + seen)]).tobytes()
+            if stem == chunk:
+                return ids
+            ids += self.encoder.marks(chunk[len(stem) :])
+        elif chunk and not chunk[0].isspace() and not chunk[-1].isspace():
+            ids = self.encoder.whole(self.blank + chunk).tobytes()
+        self[chunk] = ids
+        return ids
+
+
 class Encoder:
     """A tokenizers file with byte-level pre-tokens, remembering what chunks encode to.
 
@@ -37,7 +70,8 @@ class Encoder:
     and around a line end between two visible characters. So a text is cut there, and
     its chunks encode alone as they do within it. Texts with other gaps, whose chunks
     are empty or begin or end with white space, go to the tokenizer whole, and so do
-    texts that hold the string of an added token.
+    texts that hold the string of an added token. A chunk of letters and marks behind
+    them is encoded as these two parts.
     """
 
     def __init__(self, path: str):
@@ -47,86 +81,48 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         # strings that the tokenizer gives an id of their own before it cuts a text
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
-        # first chunks of lines, and chunks after a blank; None where a text must go whole
-        self.first: dict[str, bytes | None] = {}
-        self.later: dict[str, bytes | None] = {}
-        (self.line_id,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.marks = {m: self._whole(m).tobytes() for m in ".,;:!?|"}
+        # first chunks of lines, and chunks after a blank
+        self.first, self.later = _Chunks(self, ""), _Chunks(self, " ")
+        self.line_end = self.whole("\n").tobytes()
+        self.known_marks: dict[str, bytes] = {}
         # whether letters may go to the model directly: where that is what the whole tokenizer does
-        self.direct = False
-        trial = ["word", "Straße", "été,", "ñandú.", "日本", "x"]
-        want = [self._whole(" " + c).tobytes() for c in trial]
         self.direct = True
-        self._learn(got := {}, set(trial), " ")
-        self.direct = [got[c] for c in trial] == want
+        trial = ["word", "Straße", "été,", "ñandú.", "日本", "x", "mot.)", "a$$$", "Wort<|!"]
+        self.direct = all(self.later[c] == self.whole(" " + c).tobytes() for c in trial)
+        self.later.clear()
 
-    def _whole(self, text: str) -> np.ndarray:
+    def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
 
-    def _learn(self, known: dict[str, bytes | None], new: set[str], blank: str) -> None:
-        """Encode new chunks: letters by the tokenizer's merge model, which is what its pre-tokens go to;
-        letters and one mark from their two parts; others a few thousand in one text with line ends between."""
-        mixed: list[str] = []
-        marked: list[str] = []
-        tokenize = self.tokenizer.model.tokenize
-        words = set()
-        for chunk in new:
-            if not chunk or chunk[0].isspace() or chunk[-1].isspace():
-                known[chunk] = None
-            elif not self.direct:
-                mixed.append(chunk)
-            elif chunk.isalpha():
-                words.add(chunk)
-            elif chunk[-1] in self.marks and chunk[:-1].isalpha():
-                marked.append(chunk)
-                if chunk[:-1] not in known:
-                    words.add(chunk[:-1])
-            else:
-                mixed.append(chunk)
-        letters = "".join(chr(_BYTE_LETTERS[b]) for b in blank.encode())
-        for word in words:
-            seen = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_LETTERS)
-            known[word] = array("i", [t.id for t in tokenize(letters + seen)]).tobytes()
-        for chunk in marked:
-            known[chunk] = known[chunk[:-1]] + self.marks[chunk[-1]]
-        for at in range(0, len(mixed), 5_000):
-            part = mixed[at : at + 5_000]
-            ids = self._whole("\n".join([blank + c for c in part]))
-            ends = [*np.flatnonzero(ids == self.line_id).tolist(), len(ids)]
-            if len(ends) != len(part):
-                raise ValueError("the tokenizer joined a line end with a chunk")
-            flat = ids.tobytes()
-            known.update(zip(part, (flat[4 * a : 4 * b] for a, b in zip([0, *[e + 1 for e in ends[:-1]]], ends))))
+    def marks(self, run: str) -> bytes:
+        """Ids of a run of marks."""
+        ids = self.known_marks.get(run)
+        if ids is None:
+            if len(self.known_marks) > KNOWN_MARKS:
+                self.known_marks.clear()
+            ids = self.known_marks[run] = self.whole(run).tobytes()
+        return ids
 
     def encode(self, texts: list[str], end_id: int) -> list[np.ndarray]:
         """Ids of each text followed by ``end_id``."""
-        first, later = self.first, self.later
-        if len(first) + len(later) > KNOWN_CHUNKS:
-            first.clear()
-            later.clear()
-        # no lines for a text that goes whole
-        split = [[] if any(a in t for a in self.added) else [line.split(" ") for line in t.split("\n")] for t in texts]
-        heads: set[str] = set()
-        tails: set[str] = set()
-        for lines in split:
-            for parts in lines:
-                heads.add(parts[0])
-                tails.update(parts[1:])
-        self._learn(first, heads - first.keys(), "")
-        self._learn(later, tails - later.keys(), " ")
-        line_end = np.array([self.line_id], np.int32).tobytes()
+        if len(self.first) + len(self.later) > KNOWN_CHUNKS:
+            self.first.clear()
+            self.later.clear()
+        first, later = self.first.__getitem__, self.later.__getitem__
         end = np.array([end_id], np.int32)
         out = []
-        for text, lines in zip(texts, split):
-            if not lines:
-                out.append(np.concatenate((self._whole(text), end)))
-                continue
-            try:
-                ids = line_end.join([b"".join((first[parts[0]], *map(later.__getitem__, parts[1:]))) for parts in lines])
-                known = np.frombuffer(ids, np.int32)
-            except TypeError:  # a chunk that does not stand alone
-                known = self._whole(text)
-            out.append(np.concatenate((known, end)))
+        for text in texts:
+            known = None
+            if not any(a in text for a in self.added):
+                lines = []
+                for line in text.split("\n"):
+                    parts = line.split(" ")
+                    lines.append((first(parts[0]), *map(later, parts[1:])))
+                try:
+                    known = np.frombuffer(self.line_end.join(map(b"".join, lines)), np.int32)
+                except TypeError:  # None, for a chunk that does not stand alone
+                    pass
+            out.append(np.concatenate((self.whole(text) if known is None else known, end)))
         return out
 
 
