@@ -472,3 +472,36 @@ def test_similar_texts_meet_by_fingerprint_and_are_checked(spark, monkeypatch):
     monkeypatch.setattr(simhash, "_repeated", lambda pool: pool.limit(0))
     got = {r["doc_id"]: r["component_id"] for r in simhash.similar_texts(docs).collect()}
     assert got == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
+def test_sketches_never_lose_a_similar_pair():
+    """A sketch never tells of more different elements than there are, and of enough to part unlike sets."""
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 63, 64, 65, 400, 3000):
+        for share in (0.0, 0.5, 0.8, 0.95, 1.0):
+            pool = np.unique(rng.integers(-(1 << 63), (1 << 63) - 1, 2 * n + 1))
+            x = pool[:n]
+            y = pool[n - int(share * n) : 2 * n - int(share * n)]
+            apart = len(np.setxor1d(x, y))
+            least = simhash.least_difference(simhash.parity_sketch(x), simhash.parity_sketch(y))
+            assert least <= apart
+            assert least == simhash.least_difference(simhash.parity_sketch(y), simhash.parity_sketch(x))
+            if n >= 400 and share <= 0.5:
+                assert least > 2 * n / 9  # what a similarity of 0.8 leaves room for
+
+
+def test_only_texts_of_pairs_with_room_are_compared(spark, monkeypatch):
+    """Texts that share a few rare shingles with others fall out before any text is shuffled."""
+    rng = random.Random(4)
+    words = lambda n: [f"w{rng.randrange(1 << 40)}" for _ in range(n)]
+    common = words(12)
+    texts = [" ".join(common + words(200 + i)) for i in range(30)]
+    base = words(200)
+    texts += [" ".join(base + words(i)) for i in range(3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    pairs = []
+    room = simhash.with_room
+    monkeypatch.setattr(simhash, "with_room", lambda *a: pairs.append(room(*a)) or pairs[-1])
+    groups = {r["doc_id"]: r["component_id"] for r in simhash.similar_texts(docs, pair_limit=8).collect()}
+    assert groups == {i: min(i, 30) for i in range(33)}
+    assert all(r["a"] >= 30 and r["b"] >= 30 for p in pairs for r in p.collect())

@@ -203,9 +203,8 @@ def leader_links(leaders: DataFrame, distance: int = 3, blocks: int = 5, pair_li
     )
 
 
-def fingerprint_pairs(texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of ids of (id, text): leaders of close weighted-word fingerprints, and each with its equals."""
-    prints = written(fingerprints(texts, "id", "text", width=None), "prints")
+def fingerprint_pairs(prints: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ids of (id, fingerprint), a table: leaders of close fingerprints, and each with its equals."""
     leaders = written(prints.groupBy("fingerprint").agg(F.min("id").alias("leader")), "leaders")
     equals = prints.join(leaders, "fingerprint").select(F.col("leader").alias("a"), F.col("id").alias("b"))
     return leader_links(leaders).union(equals).where("a <> b")
@@ -234,13 +233,70 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     return grouped.select(key, F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def jaccard_at_least(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+def parity_sketch(hashes: np.ndarray) -> bytes:
+    """A bit per place, of as many places (a power of two) as there are hashes or more: whether an odd number falls there."""
+    places = max(64, 1 << (len(hashes) - 1).bit_length()) if len(hashes) else 64
+    counts = np.bincount(hashes.view(np.uint64).astype(np.int64) & (places - 1), minlength=places)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """Elements that only one of two sets has, at least: places where their parity sketches differ."""
+    x, y = (a, b) if len(a) >= len(b) else (b, a)
+    wide, places, y = int.from_bytes(x, "little"), 8 * len(x), int.from_bytes(y, "little")
+    while places > 8 * min(len(a), len(b)):  # folded, places of the wider one meet as in the narrower
+        places //= 2
+        wide = (wide >> places) ^ (wide & ((1 << places) - 1))
+    return (wide ^ y).bit_count()
+
+
+def profiles(texts: DataFrame, width: int) -> DataFrame:
+    """(id, digest, fingerprint, size, sketch) of (id, digest, text): weighted words, number of different shingles
+    and their parities (some 2 bits a word), so that most steps need not read or shuffle a text."""
+
+    def run(batch):
+        found = [shingle_hashes(t, width) for t in batch["text"]]
+        return {
+            "id": batch["id"],
+            "digest": batch["digest"],
+            "fingerprint": [word_fingerprint(t) for t in batch["text"]],
+            "size": [len(h) for h in found],
+            "sketch": [parity_sketch(h) for h in found],
+        }
+
+    return map_batches(texts.select("id", "digest", "text"), run, "id long, digest binary, fingerprint long, size int, sketch binary")
+
+
+def with_room(pairs: DataFrame, sketched: DataFrame, similarity: float) -> DataFrame:
+    """The different pairs (a, b) that may reach ``similarity`` by their sizes and sketches; loses none that do.
+
+    Two sets of that similarity differ in at most (1 - s) / (1 + s) of their summed sizes.
+    """
+    left = sketched.select(F.col("id").alias("a"), F.col("size").alias("na"), F.col("sketch").alias("sa"))
+    right = sketched.select(F.col("id").alias("b"), F.col("size").alias("nb"), F.col("sketch").alias("sb"))
+    most = (1 - similarity) / (1 + similarity)
+
+    def run(batch):
+        out = {"a": [], "b": []}
+        for a, b, na, nb, sa, sb in zip(*(batch[c] for c in ("a", "b", "na", "nb", "sa", "sb"))):
+            if least_difference(sa, sb) <= most * (na + nb) + 1e-6:
+                out["a"].append(a)
+                out["b"].append(b)
+        return out
+
+    met = pairs.select("a", "b").distinct().join(left, "a").join(right, "b")
+    met = met.where(F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-6)
+    return map_batches(met.select("a", "b", "na", "nb", "sa", "sb"), run, "a long, b long")
+
+
+def jaccard_at_least(pairs: DataFrame, texts: DataFrame, width: int, similarity: float, sketched: DataFrame) -> DataFrame:
     """The pairs (a, b) whose word-shingle sets overlap by ``similarity`` or more.
 
-    ``texts`` holds (id, text); of several texts of an id one similar one is enough.
-    Only texts that take part in a pair are shuffled. Compared in tasks, pair by pair.
+    ``texts`` holds (id, text), ``sketched`` their ``profiles``; of several texts of an id one similar
+    one is enough. Pairs that the sketches leave room for are compared on the texts, in tasks, pair by
+    pair; only texts of those are shuffled.
     """
-    pairs = written(pairs.select("a", "b").distinct(), "pairs")
+    pairs = written(with_room(pairs, sketched, similarity).distinct(), "pairs")
     # a table, so that its size is known when the join with the texts is planned
     due = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "due")
     texts = texts.join(due, "id", "left_semi")
@@ -405,14 +461,16 @@ def similar_texts(
     """
     known = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     plain = F.trim(F.regexp_replace(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[\\x20\\x09-\\x0D]+", " "))
-    digests = written(known.select("id", F.unhex(F.sha2(plain, 256)).alias("digest")), "digests")
-    firsts = digests.groupBy("digest").agg(F.min("id").alias("first"))
-    same = written(digests.join(firsts, "digest").select("id", "first"), "first-texts")
-    discard(digests)
+    # copies get a profile too: that is less than a shuffle of all texts to leave them out
+    profiled = written(profiles(known.select("id", F.unhex(F.sha2(plain, 256)).alias("digest"), "text"), width), "profiles")
+    firsts = profiled.groupBy("digest").agg(F.min("id").alias("first"))
+    same = written(profiled.select("id", "digest").join(firsts, "digest").select("id", "first"), "first-texts")
     # copies take no part; texts are read where they are needed, not stored again
     kept = written(same.where("id = first").select("id").distinct(), "kept")
     distinct = known.join(kept, "id", "left_semi")
-    links = written(jaccard_at_least(fingerprint_pairs(distinct), distinct, width, similarity), "similar")
+    sketched = written(profiled.join(kept, "id", "left_semi").select("id", "fingerprint", "size", "sketch"), "sketches")
+    discard(profiled)
+    links = written(jaccard_at_least(fingerprint_pairs(sketched), known, width, similarity, sketched), "similar")
     rare = rare_shingles(distinct, width, similarity, frequent_shingles(known, width))
     pool = _still_apart(_repeated(rare), links)
     for _ in range(rounds):
@@ -429,13 +487,13 @@ def similar_texts(
         met = hot.select("hash", F.struct("id", "size", "place", "group").alias("x")).join(lead, "hash")
         met = met.where((a["group"] != b["group"]) & _may_be_similar(a, b, similarity))
         stars = met.select(F.least(a["id"], b["id"]).alias("a"), F.greatest(a["id"], b["id"]).alias("b"))
-        found = written(jaccard_at_least(stars, known, width, similarity), "similar")
+        found = written(jaccard_at_least(stars, known, width, similarity, sketched), "similar")
         links = links.union(found)
         # leaders have met all others of their bucket
         rest = pool.join(lead.select("hash", b["id"].alias("id")), ["hash", "id"], "left_anti")
         last, pool = pool, _still_apart(rest, links)
         discard(last, hot, lead)
-    found = written(jaccard_at_least(_pairs_within(pool, similarity, max(pair_limit, 512)), known, width, similarity), "similar")
+    found = written(jaccard_at_least(_pairs_within(pool, similarity, max(pair_limit, 512)), known, width, similarity, sketched), "similar")
     groups = connected_components(links.union(found))
     return same.join(groups, same["first"] == groups["node"], "left").select(
         F.col("id").alias(key), F.coalesce("component", "first").alias("component_id")
