@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from weftframe.llm.common import uncollected
 
-# chunks a worker keeps with their ids
-KNOWN_CHUNKS = 500_000
+# new chunks after which a worker drops those that it has not met since the last time, so it keeps some twice as many
+KNOWN_CHUNKS = 350_000
 # runs of marks it keeps with theirs
 KNOWN_MARKS = 20_000
 
@@ -37,26 +37,33 @@ _MARKS = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum() and chr(
 
 
 class _Chunks(dict):
-    """Ids of chunks that follow ``blank``, as bytes, found when first asked for; None where a text must go whole."""
+    """Ids of chunks that follow ``blank``, as bytes, found when first asked for; None where a text must go whole.
+
+    ``aged`` drops the chunks that were not asked for since it was called before.
+    """
 
     def __init__(self, encoder: Encoder, blank: str):
         super().__init__()
         self.encoder, self.blank = encoder, blank
         self.letters = "".join(chr(_BYTE_LETTERS[b]) for b in blank.encode())
         self.tokenize = encoder.tokenizer.model.tokenize
+        self.older: dict[str, bytes | None] = {}
+
+    def aged(self) -> None:
+        self.older = dict(self)
+        self.clear()
 
     def __missing__(self, chunk: str) -> bytes | None:
+        if chunk in self.older:
+            ids = self[chunk] = self.older.pop(chunk)
+            return ids
         ids = None
-        stem = chunk.rstrip(_MARKS)
-        if self.encoder.direct and stem.isalpha():
-            ids = self.get(stem)
-            if ids is None:
-                # letters go to the tokenizer's merge model, which is what its pre-tokens go to
-                seen = stem if stem.isascii() else stem.encode().decode("latin-1").translate(_BYTE_LETTERS)
-                ids = self[stem] = array("i", [t.id for t in self.tokenize(self.letters + seen)]).tobytes()
-            if stem == chunk:
-                return ids
-            ids += self.encoder.marks(chunk[len(stem) :])
+        if self.encoder.direct and chunk.isalpha():
+            # letters go to the tokenizer's merge model, which is what its pre-tokens go to
+            seen = chunk if chunk.isascii() else chunk.encode().decode("latin-1").translate(_BYTE_LETTERS)
+            ids = array("i", [t.id for t in self.tokenize(self.letters + seen)]).tobytes()
+        elif self.encoder.direct and (stem := chunk.rstrip(_MARKS)).isalpha():
+            ids = self[stem] + self.encoder.marks(chunk[len(stem) :])
         elif chunk and not chunk[0].isspace() and not chunk[-1].isspace():
             ids = self.encoder.whole(self.blank + chunk).tobytes()
         self[chunk] = ids
@@ -106,8 +113,8 @@ class Encoder:
     def encode(self, texts: list[str], end_id: int) -> list[np.ndarray]:
         """Ids of each text followed by ``end_id``."""
         if len(self.first) + len(self.later) > KNOWN_CHUNKS:
-            self.first.clear()
-            self.later.clear()
+            self.first.aged()
+            self.later.aged()
         first, later = self.first.__getitem__, self.later.__getitem__
         end = np.array([end_id], np.int32)
         out = []
