@@ -14,7 +14,7 @@ import xxhash
 from llm_inputs import DOC_SCHEMA, SMALL, no_docs, odd_docs, prose  # noqa: F401
 from pyspark.sql import functions as F
 
-from weftframe.llm import language_parsing, licence_scan, mixing, pieces, quality_cascade, simhash, token_lists
+from weftframe.llm import components, language_parsing, licence_scan, mixing, pieces, quality_cascade, simhash, token_lists
 from weftframe.llm.common import vocabulary, written
 from weftframe.llm.components import connected_components
 from weftframe.llm.queries import LLM_ORACLES, LLM_QUERIES
@@ -99,6 +99,19 @@ def test_components_of_long_chains_and_stars(spark):
     assert got == {**{i: 0 for i in range(61)}, **{i: 100 for i in range(100, 160)}}
 
 
+def test_components_of_settled_groups_take_no_round(spark, monkeypatch):
+    """Links that lead to the smallest node of their group are written once; a further link takes rounds."""
+    tables = []
+    write = components.written
+    monkeypatch.setattr(components, "written", lambda *a: tables.append(a) or write(*a))
+    stars = [(100, i) for i in range(101, 130)] + [(i, 200) for i in range(201, 230)]
+    want = {**{i: 100 for i in range(100, 130)}, **{i: 200 for i in range(200, 230)}}
+    for links, last in ((stars, 200), ([*stars, (129, 229)], 100)):
+        got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+        assert got == {i: min(last, c) for i, c in want.items()}
+        assert (len(tables) == 1) == (links is stars)
+
+
 def edited(text, seed, changes):
     r = random.Random(seed)
     words = text.split()
@@ -464,6 +477,23 @@ def test_letters_with_runs_of_marks_need_no_whole_encoding(monkeypatch):
     assert sorted(asked) == [" '", " (no", "!?", "%%%", ".]"]
 
 
+def test_frequent_chunks_outlive_rare_ones(monkeypatch):
+    """A chunk of every batch is encoded once, however many rare ones come and go; those are dropped."""
+    monkeypatch.setattr(token_lists, "KNOWN_CHUNKS", 20)
+    encoder = token_lists.Encoder(vocabulary("byte_bpe_50k.json"))
+    asked = []
+    for chunks in (encoder.first, encoder.later):
+        tokenize = chunks.tokenize
+        monkeypatch.setattr(chunks, "tokenize", lambda text, f=tokenize: asked.append(text) or f(text))
+    letters = "abcdefghijklmnopqrst"
+    for a in letters:
+        texts = [" ".join(["often", "often,", "Often", *(f"zeb{a}{b}" for b in letters)])]
+        want = encoder.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        assert [ids.tolist() for ids in encoder.encode(texts, 2)] == [w.ids + [2] for w in want]
+        assert sum(len(c) + len(c.older) for c in (encoder.first, encoder.later)) <= 3 * (len(letters) + 4)
+    assert [w for w in asked if w.endswith(("often", "Often"))] == ["often", "Ġoften", "ĠOften"]
+
+
 def test_similar_texts_meet_by_fingerprint_and_are_checked(spark, monkeypatch):
     """Without any bucket of shingles: equal word counts give equal fingerprints, the shingle sets decide."""
     words = [f"w{i}" for i in range(300)]

@@ -31,6 +31,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return table
 
 
+def settled(df: DataFrame, label: str) -> DataFrame:
+    """``written``, and the collector lets Spark remove the shuffle files of the step, and what the driver kept of it, at once."""
+    table = written(df, label)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return table
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Delete tables made by ``written`` that nothing reads any more; others are left alone.
 

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftframe.llm.common import discard, hash_sample, map_batches, written
+from weftframe.llm.common import discard, hash_sample, map_batches, settled, written
 from weftframe.llm.components import connected_components
 
 SEED = 42
@@ -172,7 +172,7 @@ def close_links(distinct: DataFrame, distance: int = 3, blocks: int = 5, pair_li
     close to both. That joins the same groups with rows in proportion to the
     fingerprints, however dense a bucket is. ``distance`` is 3 at most there.
     """
-    sized = written(_sized(with_buckets(distinct.select("fingerprint"), distance, blocks)), "buckets")
+    sized = settled(_sized(with_buckets(distinct.select("fingerprint"), distance, blocks)), "buckets")
     cool = sized.where(F.col("size") <= pair_limit).select("choice", "shared", "fingerprint")
     a = cool.withColumnRenamed("fingerprint", "x")
     b = cool.withColumnRenamed("fingerprint", "y")
@@ -296,7 +296,7 @@ def jaccard_at_least(pairs: DataFrame, texts: DataFrame, width: int, similarity:
     one is enough. Pairs that the sketches leave room for are compared on the texts, in tasks, pair by
     pair; only texts of those are shuffled.
     """
-    pairs = written(with_room(pairs, sketched, similarity).distinct(), "pairs")
+    pairs = settled(with_room(pairs, sketched, similarity).distinct(), "pairs")
     # a table, so that its size is known when the join with the texts is planned
     due = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "due")
     texts = texts.join(due, "id", "left_semi")
@@ -407,12 +407,16 @@ def _may_be_similar(a, b, similarity: float) -> Column:
     )
 
 
-def _still_apart(pool: DataFrame, links: DataFrame) -> DataFrame:
+def _joined(groups: DataFrame, found: DataFrame) -> DataFrame:
+    """The groups that further links make of ``connected_components``' groups."""
+    return connected_components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found.select("a", "b")))
+
+
+def _still_apart(pool: DataFrame, groups: DataFrame) -> DataFrame:
     """The pool, written, with the group of each text so far, without the buckets that lie in one group."""
     pool = pool.select("hash", "id", "size", "place")
-    groups = connected_components(links)
     pool = pool.join(groups, pool["id"] == groups["node"], "left").withColumn("group", F.coalesce("component", "id"))
-    pool = written(pool.select("hash", "id", "size", "place", "group"), "pool")
+    pool = settled(pool.select("hash", "id", "size", "place", "group"), "pool")
     apart = pool.groupBy("hash").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high")
     left = written(pool.join(apart.select("hash"), "hash", "left_semi"), "pool")
     discard(pool)
@@ -464,15 +468,16 @@ def similar_texts(
     # copies get a profile too: that is less than a shuffle of all texts to leave them out
     profiled = written(profiles(known.select("id", F.unhex(F.sha2(plain, 256)).alias("digest"), "text"), width), "profiles")
     firsts = profiled.groupBy("digest").agg(F.min("id").alias("first"))
-    same = written(profiled.select("id", "digest").join(firsts, "digest").select("id", "first"), "first-texts")
+    same = settled(profiled.select("id", "digest").join(firsts, "digest").select("id", "first"), "first-texts")
     # copies take no part; texts are read where they are needed, not stored again
     kept = written(same.where("id = first").select("id").distinct(), "kept")
     distinct = known.join(kept, "id", "left_semi")
     sketched = written(profiled.join(kept, "id", "left_semi").select("id", "fingerprint", "size", "sketch"), "sketches")
     discard(profiled)
-    links = written(jaccard_at_least(fingerprint_pairs(sketched), known, width, similarity, sketched), "similar")
+    links = settled(jaccard_at_least(fingerprint_pairs(sketched), known, width, similarity, sketched), "similar")
     rare = rare_shingles(distinct, width, similarity, frequent_shingles(known, width))
-    pool = _still_apart(_repeated(rare), links)
+    groups = connected_components(links)
+    pool = _still_apart(_repeated(rare), groups)
     for _ in range(rounds):
         sizes = pool.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") > pair_limit)
         hot = written(pool.join(sizes.select("hash"), "hash"), "hot")
@@ -487,14 +492,15 @@ def similar_texts(
         met = hot.select("hash", F.struct("id", "size", "place", "group").alias("x")).join(lead, "hash")
         met = met.where((a["group"] != b["group"]) & _may_be_similar(a, b, similarity))
         stars = met.select(F.least(a["id"], b["id"]).alias("a"), F.greatest(a["id"], b["id"]).alias("b"))
-        found = written(jaccard_at_least(stars, known, width, similarity, sketched), "similar")
-        links = links.union(found)
+        found = settled(jaccard_at_least(stars, known, width, similarity, sketched), "similar")
+        if not found.isEmpty():
+            links, groups = links.union(found), _joined(groups, found)
         # leaders have met all others of their bucket
         rest = pool.join(lead.select("hash", b["id"].alias("id")), ["hash", "id"], "left_anti")
-        last, pool = pool, _still_apart(rest, links)
+        last, pool = pool, _still_apart(rest, groups)
         discard(last, hot, lead)
-    found = written(jaccard_at_least(_pairs_within(pool, similarity, max(pair_limit, 512)), known, width, similarity, sketched), "similar")
-    groups = connected_components(links.union(found))
+    found = settled(jaccard_at_least(_pairs_within(pool, similarity, max(pair_limit, 512)), known, width, similarity, sketched), "similar")
+    groups = _joined(groups, found)
     return same.join(groups, same["first"] == groups["node"], "left").select(
         F.col("id").alias(key), F.coalesce("component", "first").alias("component_id")
     )
