@@ -93,6 +93,17 @@ def test_crowded_buckets_link_the_same_groups(spark):
         assert got == want
 
 
+def test_points_around_are_all_within_a_radius_and_no_list_in_the_plan(spark):
+    values = [0, -1, 1 << 62, -(1 << 63)]
+    df = spark.createDataFrame([(v,) for v in values], "fingerprint long")
+    for radius, count in ((0, 1), (1, 65), (2, 2081)):
+        points = simhash.points_around(df, radius)
+        got = [(r["fingerprint"], r["point"]) for r in points.collect()]
+        assert len(got) == len(set(got)) == count * len(values)
+        assert all(((a ^ b) & ((1 << 64) - 1)).bit_count() <= radius for a, b in got)
+        assert len(points._jdf.queryExecution().toString()) < 20_000
+
+
 def test_components_of_long_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 160)] + [(7, 7), (None, 3)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
@@ -112,6 +123,59 @@ def test_components_of_settled_groups_take_no_round(spark, monkeypatch):
         assert (len(tables) == 1) == (links is stars)
 
 
+def tasks_of(spark, name, job):
+    """What ``job`` returns, and the tasks of all its Spark jobs."""
+    sc = spark.sparkContext
+    sc.setJobGroup(name, name)
+    try:
+        result = job()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    tracker = sc.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup(name) for s in tracker.getJobInfo(j).stageIds}
+    return result, sum(info.numTasks for s in stages if (info := tracker.getStageInfo(s)))
+
+
+def test_components_take_few_tasks_however_small_the_links(spark):
+    """A round takes one join for either step and one test, so the driver of a session with many partitions keeps few tasks."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        links = spark.createDataFrame([(i, i + 1) for i in range(12)] * 2, "a long, b long").coalesce(1)
+        rows, tasks = tasks_of(spark, "components", lambda: connected_components(links).collect())
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert {r["node"]: r["component"] for r in rows} == {i: 0 for i in range(13)}
+    assert len(rows) == 13
+    assert tasks <= 720
+
+
+def test_links_of_fingerprints_are_a_table_before_texts_are_paired(spark):
+    """The plan that pairs texts reads them, instead of repeating the search for close fingerprints in itself."""
+    prints = spark.createDataFrame([(i, i // 2 * 0x1111) for i in range(40)], "id long, fingerprint long")
+    pairs = simhash.fingerprint_pairs(prints)
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "bit_count" not in plan
+    assert {(0, 1), (2, 3)} <= {(r["a"], r["b"]) for r in pairs.collect()}
+
+
+def test_exploded_rows_are_never_broadcast(spark):
+    """Their size is estimated by the table before the explode, so a broadcast would fill the driver."""
+    prints = spark.createDataFrame([((1 << i) | (1 << j),) for i in range(30) for j in range(i)], "fingerprint long")
+    links = simhash.close_links(prints, pair_limit=8)
+    pool = spark.createDataFrame([(1, i, 10, 0, i) for i in range(600)], "hash long, id long, size int, place int, group long")
+    for df, key in ((links, "point"), (simhash._pairs_within(pool, 0.8, 512), "high")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        joins = [line for line in plan.splitlines() if "Join [" in line and key + "#" in line]
+        assert joins and all("SortMergeJoin" in line for line in joins)
+    near = {r["fingerprint"] for r in prints.collect()}
+    got = {(r["x"], r["y"]) for r in links.collect()}
+    assert {f for pair in got for f in pair} == near
+    assert simhash._pairs_within(pool, 0.8, 512).count() == 600 * 599 // 2
+
+
 def edited(text, seed, changes):
     r = random.Random(seed)
     words = text.split()

@@ -163,6 +163,20 @@ def _sized(buckets: DataFrame) -> DataFrame:
     return buckets.join(sizes, ["choice", "shared"])
 
 
+def points_around(prints: DataFrame, radius: int) -> DataFrame:
+    """(fingerprint, point) for every point that differs in ``radius`` or fewer bits, once each.
+
+    A bit is flipped per step, above the one before; place 64 flips none and has none above it.
+    So the plan holds no list of all flips.
+    """
+    points = prints.select("fingerprint", F.col("fingerprint").alias("point"), F.lit(-1).alias("bit"))
+    for _ in range(radius):
+        points = points.select("fingerprint", "point", F.explode(F.sequence(F.least(F.col("bit") + 1, F.lit(BITS)), F.lit(BITS))).alias("bit"))
+        flip = F.when(F.col("bit") < BITS, F.expr("shiftleft(1L, bit)")).otherwise(F.lit(0).cast("long"))
+        points = points.select("fingerprint", F.col("point").bitwiseXOR(flip).alias("point"), "bit")
+    return points.select("fingerprint", "point")
+
+
 def close_links(distinct: DataFrame, distance: int = 3, blocks: int = 5, pair_limit: int = PAIR_LIMIT) -> DataFrame:
     """Links (x, y) between distinct fingerprints, enough to join all that are close.
 
@@ -179,23 +193,21 @@ def close_links(distinct: DataFrame, distance: int = 3, blocks: int = 5, pair_li
     pairs = a.join(b, ["choice", "shared"]).where((F.col("x") < F.col("y")) & (_differing("x", "y") <= distance))
     pairs = pairs.select("x", "y")
 
-    hot = sized.where(F.col("size") > pair_limit).select("fingerprint").distinct()
-    near, far = distance // 2, distance - distance // 2
-    flips = [sum(1 << i for i in c) for n in range(far + 1) for c in combinations(range(BITS), n)]
-    flips = [f - (1 << BITS) if f >> (BITS - 1) else f for f in flips]
-    near_flips = _longs(flips[: sum(1 for n in range(near + 1) for _ in combinations(range(BITS), n))])
-    at = lambda masks: hot.select("fingerprint", F.explode(masks).alias("flip")).select(
-        "fingerprint", F.col("fingerprint").bitwiseXOR(F.col("flip")).alias("point")
-    )
-    centres = at(near_flips).groupBy("point").agg(F.min("fingerprint").alias("x"))
-    stars = at(_longs(flips)).join(centres, "point").where(F.col("x") < F.col("fingerprint"))
+    hot = written(sized.where(F.col("size") > pair_limit).select("fingerprint").distinct(), "hot")
+    if hot.isEmpty():
+        return pairs.distinct()
+    near = distance // 2
+    centres = points_around(hot, near).groupBy("point").agg(F.min("fingerprint").alias("x"))
+    # Spark takes exploded rows for as small as the table they come of; a broadcast of them would fill the driver
+    stars = points_around(hot, distance - near).hint("merge").join(centres, "point").where(F.col("x") < F.col("fingerprint"))
     stars = stars.select("x", F.col("fingerprint").alias("y"))
     return pairs.union(stars).distinct()
 
 
 def leader_links(leaders: DataFrame, distance: int = 3, blocks: int = 5, pair_limit: int = PAIR_LIMIT) -> DataFrame:
     """``close_links`` between the leaders of (fingerprint, leader), as (a, b)."""
-    links = close_links(leaders, distance, blocks, pair_limit)
+    # a table of its own: with the joins that follow it would be one plan of many stages for the driver to keep
+    links = settled(close_links(leaders, distance, blocks, pair_limit), "close")
     return (
         links.join(leaders.select(F.col("fingerprint").alias("x"), F.col("leader").alias("a")), "x")
         .join(leaders.select(F.col("fingerprint").alias("y"), F.col("leader").alias("b")), "y")
@@ -207,7 +219,7 @@ def fingerprint_pairs(prints: DataFrame) -> DataFrame:
     """Pairs (a, b) of ids of (id, fingerprint), a table: leaders of close fingerprints, and each with its equals."""
     leaders = written(prints.groupBy("fingerprint").agg(F.min("id").alias("leader")), "leaders")
     equals = prints.join(leaders, "fingerprint").select(F.col("leader").alias("a"), F.col("id").alias("b"))
-    return leader_links(leaders).union(equals).where("a <> b")
+    return settled(leader_links(leaders).union(equals).where("a <> b"), "close-ids")
 
 
 def near_groups(prints: DataFrame, key: str = "doc_id", distance: int = 3, blocks: int = 5, pair_limit: int = PAIR_LIMIT) -> DataFrame:
@@ -436,7 +448,8 @@ def _pairs_within(pool: DataFrame, similarity: float, side: int) -> DataFrame:
     keys = ["hash", "low", "high"]
     rows = rows.select("hash", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), F.struct("id", "size", "place", "group", "own").alias("x"))
     a, b = F.col("x"), F.col("y")
-    met = rows.join(rows.withColumnRenamed("x", "y"), keys).where((a["id"] < b["id"]) & (a["group"] != b["group"]))
+    # exploded rows: never to be broadcast by the size of the table they come of
+    met = rows.hint("merge").join(rows.withColumnRenamed("x", "y"), keys).where((a["id"] < b["id"]) & (a["group"] != b["group"]))
     met = met.where(((F.col("low") == F.col("high")) | (a["own"] != b["own"])) & _may_be_similar(a, b, similarity))
     return met.select(a["id"].alias("a"), b["id"].alias("b"))
 
